@@ -222,10 +222,12 @@ def is_plausible(amount: Column, scale: Column) -> Column:
 
 
 def classify_amount(
-    value: Column, evidence: Column, scale: Column, base: Column, green_pct: Column, red_pct: Column
+    amount: Column, value: Column, evidence: Column, scale: Column, base: Column, green_pct: Column, red_pct: Column
 ) -> Column:
-    """An amount against the company's size; `scale` is struct<net_worth,revenue,profit> or null."""
-    amount = amount_of(value, evidence)
+    """An amount against the company's size; `scale` is struct<net_worth,revenue,profit> or null.
+
+    `amount` is amount_of(value, evidence), best computed once as a column of its own.
+    """
     by_base = lambda nw, rev, pat: F.when(base == "net_worth", nw).when(base == "revenue", rev).otherwise(pat)
     against = by_base(scale["net_worth"], scale["revenue"], scale["profit"])
     label = by_base(F.lit("net worth"), F.lit("revenue"), F.lit("PAT"))
@@ -258,9 +260,8 @@ def materiality_rule(item: Column, part: int) -> Column:
 
 
 # --- guards ---------------------------------------------------------------------------------------
-def guard_amount(item: Column, flag: Column, value: Column, evidence: Column, scale: Column) -> Column:
+def guard_amount(item: Column, flag: Column, amount: Column, scale: Column) -> Column:
     """Downgrade of a judged RED whose only figure is small or implausible; null keeps the flag."""
-    amount = amount_of(value, evidence)
     pct = F.when(scale["net_worth"] > 0, amount / scale["net_worth"] * 100)
     shown = N.format_crore(amount)
     applies = (flag == "RED") & item.isin(*fixed.GUARDED_ITEMS) & amount.isNotNull() & scale.isNotNull()

@@ -40,7 +40,7 @@ def rule_fired() -> Column:
 
 
 def apply_rules(analyses: DataFrame) -> DataFrame:
-    """Adds num, rule_fired and the verdict of every step that needs no opinion.
+    """Adds num, amount, rule_fired and the verdict of every step that needs no opinion.
 
     Needs item_id, kind, value, evidence, series array<string>, note_mode, green_band, red_band and
     scale struct<net_worth,revenue,profit>.
@@ -55,13 +55,15 @@ def apply_rules(analyses: DataFrame) -> DataFrame:
         .when(
             fired == "materiality",
             R.classify_amount(
-                value, evidence, F.col("scale"), *[R.materiality_rule(item, part) for part in range(3)]
+                F.col("amount"), value, evidence, F.col("scale"), *[R.materiality_rule(item, part) for part in range(3)]
             ),
         )
         .when(fired == "band", R.classify_band(num, F.col("green_band"), F.col("red_band")))
     )
+    sized = item.isin(*fixed.MATERIALITY, *fixed.GUARDED_ITEMS)
     return (
         analyses.withColumn("num", N.first_number(value))
+        .withColumn("amount", F.when(sized, R.amount_of(value, evidence)))
         .withColumn("rule_fired", rule_fired())
         .withColumn("settled", settled)
     )
@@ -84,7 +86,7 @@ def assign_flags(analyses: DataFrame, opinions: DataFrame, keys: list[str]) -> D
     item, value, evidence = F.col("item_id"), F.col("value"), F.col("evidence")
     first, second = F.col("first"), F.col("second")
     guard = F.coalesce(
-        R.guard_amount(item, first["flag"], value, evidence, F.col("scale")),
+        R.guard_amount(item, first["flag"], F.col("amount"), F.col("scale")),
         R.guard_absence(item, first["flag"], value, evidence),
     )
     judged = (
@@ -121,7 +123,7 @@ def assign_flags(analyses: DataFrame, opinions: DataFrame, keys: list[str]) -> D
         F.col("rule_fired").isin("series", "text", "materiality"), F.lit("deterministic")
     )
     checked = cross_check(joined, own)
-    return with_gate(checked).drop("num", "settled", "first", "second", "guard", "base", "checker", "checked")
+    return with_gate(checked).drop("num", "amount", "settled", "first", "second", "guard", "base", "checker", "checked")
 
 
 def cross_check(df: DataFrame, own_provider: Column) -> DataFrame:

@@ -242,7 +242,13 @@ def crore_divisor(largest: Column, unit: Column) -> Column:
 def build_statements(extracts: DataFrame) -> DataFrame:
     """Statement rows in crore from extracted metric arrays; companies without any are left out."""
     n = F.size("periods")
-    base = extracts.filter(F.col("found") & (n > 0)).select(
+    # asked of the input, before anything is derived: a filter on the finished tables would drag
+    # their whole definition below every projection
+    usable = F.lit(False)
+    for m in METRICS:
+        if m not in ("finance_cost", "current_tax", "total_assets"):
+            usable = usable | F.coalesce(F.exists(F.slice(F.col(m), F.lit(1), n), lambda v: v.isNotNull()), F.lit(False))
+    base = extracts.filter(F.col("found") & (n > 0) & usable).select(
         "company_id", "periods", crore_divisor(max_abs(), F.col("unit")).alias("divisor"),
         *[N.align(F.col(m), n).alias(m) for m in METRICS],
     )
@@ -284,7 +290,7 @@ def build_statements(extracts: DataFrame) -> DataFrame:
     last = lambda m: F.try_element_at(F.filter(F.col(m), lambda v: v.isNotNull()), F.lit(-1))
     worth = F.coalesce(last("share_capital"), F.lit(0.0)) + F.coalesce(last("reserves"), F.lit(0.0))
     ratio = F.when((worth > 0) & last("borrowings").isNotNull(), N.round_half_up(last("borrowings") / worth, 2))
-    out = base.select(
+    return base.select(
         "company_id",
         F.when(ratio.isNotNull(), F.create_map(F.lit("Debt to equity"), N.number_text(ratio)))
         .otherwise(F.expr("cast(map() as map<string,string>)")).alias("ratios"),
@@ -303,6 +309,3 @@ def build_statements(extracts: DataFrame) -> DataFrame:
         table(plain("Debtor Days", "days")).alias("ratios_table"),
         F.expr(f"cast(null as {TABLE_TYPE})").alias("shareholding"),
     )
-    return out.filter(
-        F.col("profit_loss").isNotNull() | F.col("balance_sheet").isNotNull() | F.col("cash_flow").isNotNull()
-    )

@@ -11,7 +11,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flagstone.operators.finance import TABLE_TYPE
 from flagstone.operators.state import Checklist, Item
 
 WRITE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -252,7 +251,7 @@ class Tables:
                         for label, n in rows
                     ]
                 ).alias("rows"),
-            ).cast(TABLE_TYPE)
+            )
 
         return years.select(
             "company_id",
