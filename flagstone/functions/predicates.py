@@ -49,12 +49,7 @@ def is_absence(text: Column) -> Column:
 def states_nil(text: Column) -> Column:
     """States a true zero; a data gap is none."""
     low = _low(text)
-    nil = (
-        low.rlike(fixed.NIL_WORD)
-        | low.rlike(fixed.NO_EXPOSURE)
-        | low.rlike(fixed.ZERO_EXPOSURE)
-        | low.rlike(fixed.ZERO_AMOUNT)
-    )
+    nil = low.rlike("|".join(f"(?:{p})" for p in (fixed.NIL_WORD, fixed.NO_EXPOSURE, fixed.ZERO_EXPOSURE, fixed.ZERO_AMOUNT)))
     return (low != "") & ~low.rlike(fixed.DATA_GAP) & nil
 
 

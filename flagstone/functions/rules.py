@@ -26,6 +26,19 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*cols)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value computed once.
+
+    A column used many times in one expression is otherwise written out, compiled and possibly
+    evaluated at each use; long rules would outgrow what the JVM accepts as one method.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def terms(**columns: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
 def verdict(flag: str, wording: str, **values: Column) -> Column:
     reason = fill(fixed.REASONS.get(wording, wording), **values)
     return F.struct(F.lit(flag).alias("flag"), reason.alias("reason"))
@@ -42,74 +55,89 @@ def both_texts(value: Column, evidence: Column) -> Column:
 # --- text rules ---------------------------------------------------------------------------------
 def rule_committee(value: Column, evidence: Column) -> Column:
     """Two thirds independent and four meetings are compliant; under half is not."""
-    text = both_texts(value, evidence)
-    ratio, meetings = N.parse_ratio(text), N.parse_meetings(text)
-    times = meetings.cast("string")
-    share = F.concat(N.whole(ratio * 100).cast("string"), F.lit("% independent"))
-    met = F.when(meetings.isNotNull(), F.concat(F.lit(", met "), times, F.lit(" times"))).otherwise("")
-    return (
-        F.when(ratio.isNull(), verdict("NEUTRAL", "committee_unclear", value=value))
-        .when(ratio < 0.5, verdict("RED", "committee_minority", share=share))
-        .when(meetings < 4, verdict("RED", "committee_meetings", meetings=times))
-        .when(ratio >= F.lit(2.0) / 3, verdict("GREEN", "committee_good", share=share, met=met))
-        .otherwise(verdict("NEUTRAL", "committee_between", share=share))
+
+    def decide(x: Column) -> Column:
+        ratio, meetings = x["ratio"], x["meetings"]
+        times = meetings.cast("string")
+        share = F.concat(N.whole(ratio * 100).cast("string"), F.lit("% independent"))
+        met = F.when(meetings.isNotNull(), F.concat(F.lit(", met "), times, F.lit(" times"))).otherwise("")
+        return (
+            F.when(ratio.isNull(), verdict("NEUTRAL", "committee_unclear", value=value))
+            .when(ratio < 0.5, verdict("RED", "committee_minority", share=share))
+            .when(meetings < 4, verdict("RED", "committee_meetings", meetings=times))
+            .when(ratio >= F.lit(2.0) / 3, verdict("GREEN", "committee_good", share=share, met=met))
+            .otherwise(verdict("NEUTRAL", "committee_between", share=share))
+        )
+
+    return let(
+        both_texts(value, evidence),
+        lambda t: let(terms(ratio=N.parse_ratio(t), meetings=N.parse_meetings(t)), decide),
     )
 
 
 def rule_cheap_equity(value: Column, evidence: Column) -> Column:
     """A denial is read first; a red needs an insider and a preferential or discounted price."""
-    text = F.lower(both_texts(value, evidence))
-    denials = [fixed.CHEAP_CLEAN, fixed.CHEAP_DENIED_BEFORE, fixed.CHEAP_DENIED_AFTER]
-    denied = states_nil(text)
-    for pattern in denials:
-        denied = denied | text.rlike(pattern)
-    return (
-        F.when(denied, verdict("GREEN", "cheap_none", value=value))
-        .when(
-            text.rlike(fixed.CHEAP_INSIDER) & text.rlike(fixed.CHEAP_MENTION),
-            verdict("RED", "cheap_issued", value=value),
+
+    def decide(text: Column) -> Column:
+        denied = states_nil(text)
+        for pattern in (fixed.CHEAP_CLEAN, fixed.CHEAP_DENIED_BEFORE, fixed.CHEAP_DENIED_AFTER):
+            denied = denied | text.rlike(pattern)
+        return (
+            F.when(denied, verdict("GREEN", "cheap_none", value=value))
+            .when(
+                text.rlike(fixed.CHEAP_INSIDER) & text.rlike(fixed.CHEAP_MENTION),
+                verdict("RED", "cheap_issued", value=value),
+            )
+            .otherwise(verdict("NEUTRAL", "cheap_unclear", value=value))
         )
-        .otherwise(verdict("NEUTRAL", "cheap_unclear", value=value))
-    )
+
+    return let(F.lower(both_texts(value, evidence)), decide)
 
 
 def rule_audit_opinion(value: Column, evidence: Column) -> Column:
     """A modified opinion or a real going-concern emphasis is red; standard wording is not."""
-    text = F.lower(both_texts(value, evidence))
-    emphasis = (
-        text.rlike(fixed.OPINION_GOING_CONCERN)
-        & text.rlike(fixed.OPINION_DOUBT)
-        & ~text.rlike(fixed.OPINION_BOILERPLATE)
-    )
-    return (
-        F.when(text.rlike(fixed.OPINION_MODIFIED) | emphasis, verdict("RED", "opinion_modified", value=value))
-        .when(text.rlike(fixed.OPINION_CLEAN), verdict("GREEN", "opinion_clean", value=value))
-        .when(text.rlike(fixed.OPINION_CONTEXT), verdict("GREEN", "opinion_nothing", value=value))
-        .otherwise(verdict("NEUTRAL", "opinion_unclear", value=value))
-    )
+
+    def decide(text: Column) -> Column:
+        emphasis = (
+            text.rlike(fixed.OPINION_GOING_CONCERN)
+            & text.rlike(fixed.OPINION_DOUBT)
+            & ~text.rlike(fixed.OPINION_BOILERPLATE)
+        )
+        return (
+            F.when(text.rlike(fixed.OPINION_MODIFIED) | emphasis, verdict("RED", "opinion_modified", value=value))
+            .when(text.rlike(fixed.OPINION_CLEAN), verdict("GREEN", "opinion_clean", value=value))
+            .when(text.rlike(fixed.OPINION_CONTEXT), verdict("GREEN", "opinion_nothing", value=value))
+            .otherwise(verdict("NEUTRAL", "opinion_unclear", value=value))
+        )
+
+    return let(F.lower(both_texts(value, evidence)), decide)
 
 
 def rule_separation(value: Column, evidence: Column) -> Column:
     """One person in both roles is red, two persons are green."""
-    text = F.lower(both_texts(value, evidence))
-    return (
-        F.when(text.rlike(fixed.ROLES_COMBINED), verdict("RED", "roles_combined", value=value))
+    return let(
+        F.lower(both_texts(value, evidence)),
+        lambda text: F.when(text.rlike(fixed.ROLES_COMBINED), verdict("RED", "roles_combined", value=value))
         .when(text.rlike(fixed.ROLES_SPLIT), verdict("GREEN", "roles_split", value=value))
-        .otherwise(verdict("NEUTRAL", "roles_unclear", value=value))
+        .otherwise(verdict("NEUTRAL", "roles_unclear", value=value)),
     )
 
 
 def rule_goodwill(value: Column, evidence: Column) -> Column:
     """Only evidence of an impairment of goodwill is red; buying assets is none."""
-    ev = F.lower(F.coalesce(evidence, F.lit("")))
-    both = F.lower(F.concat(value, F.lit(" "), ev))
-    impaired = ev.rlike(fixed.GOODWILL_IMPAIRED) | ev.rlike(fixed.GOODWILL_WRITTEN_DOWN)
-    return (
-        F.when(states_nil(both) | both.rlike(fixed.GOODWILL_NONE), verdict("GREEN", "goodwill_none", value=value))
-        .when(ev.rlike(fixed.GOODWILL_PURCHASE) & ~impaired, verdict("GREEN", "goodwill_purchase", value=value))
-        .when(impaired & F.contains(ev, F.lit("goodwill")), verdict("RED", "goodwill_impaired", value=value))
-        .otherwise(verdict("NEUTRAL", "goodwill_unclear", value=value))
-    )
+
+    def decide(x: Column) -> Column:
+        ev, both = x["ev"], x["both"]
+        impaired = ev.rlike(fixed.GOODWILL_IMPAIRED) | ev.rlike(fixed.GOODWILL_WRITTEN_DOWN)
+        return (
+            F.when(states_nil(both) | both.rlike(fixed.GOODWILL_NONE), verdict("GREEN", "goodwill_none", value=value))
+            .when(ev.rlike(fixed.GOODWILL_PURCHASE) & ~impaired, verdict("GREEN", "goodwill_purchase", value=value))
+            .when(impaired & F.contains(ev, F.lit("goodwill")), verdict("RED", "goodwill_impaired", value=value))
+            .otherwise(verdict("NEUTRAL", "goodwill_unclear", value=value))
+        )
+
+    said = F.lower(F.coalesce(evidence, F.lit("")))
+    return let(terms(ev=said, both=F.concat(F.lower(value), F.lit(" "), said)), decide)
 
 
 # --- numeric rules ------------------------------------------------------------------------------
@@ -117,36 +145,46 @@ def custom_rule(item: str) -> Callable[[Column], Column]:
     """The numeric rule of one item, built from its bounds and wordings."""
     bounds, (green, red, neutral) = fixed.CUSTOM_NUMERIC[item], fixed.CUSTOM_REASONS[item]
 
-    def rule(n: Column) -> Column:
-        shown = N.number_text(n)
+    def decide(x: Column) -> Column:
+        n, shown = x["n"], x["shown"]
         return (
             F.when(N.bounds_hold(n, bounds["green"], every=True), verdict("GREEN", green, n=shown))
             .when(N.bounds_hold(n, bounds["red"], every=False), verdict("RED", red, n=shown))
             .otherwise(verdict("NEUTRAL", neutral, n=shown))
         )
 
-    return rule
+    return lambda n: let(terms(n=n, shown=N.number_text(n)), decide)
 
 
 def classify_band(value: Column, green: Column, red: Column) -> Column:
     """Green or red when exactly one band holds, else NEUTRAL."""
-    in_green, in_red = N.in_band(N.parse_band(green), value), N.in_band(N.parse_band(red), value)
-    g, r = F.trim(F.coalesce(green, F.lit(""))), F.trim(F.coalesce(red, F.lit("")))
     named = lambda t: F.when(t == "", "n/a").otherwise(t)
-    n = N.number_text(value)
-    return (
-        F.when(in_green & ~in_red, verdict("GREEN", "band_green", n=n, green=g))
-        .when(in_red & ~in_green, verdict("RED", "band_red", n=n, red=r))
-        .when(in_green & in_red, verdict("NEUTRAL", "band_both", n=n, green=g, red=r))
-        .otherwise(verdict("NEUTRAL", "band_neither", n=n, green=named(g), red=named(r)))
+
+    def decide(x: Column) -> Column:
+        in_green, in_red, n, g, r = (x[k] for k in ("in_green", "in_red", "n", "g", "r"))
+        return (
+            F.when(in_green & ~in_red, verdict("GREEN", "band_green", n=n, green=g))
+            .when(in_red & ~in_green, verdict("RED", "band_red", n=n, red=r))
+            .when(in_green & in_red, verdict("NEUTRAL", "band_both", n=n, green=g, red=r))
+            .otherwise(verdict("NEUTRAL", "band_neither", n=n, green=named(g), red=named(r)))
+        )
+
+    return let(
+        terms(
+            in_green=N.in_band(N.parse_band(green), value), in_red=N.in_band(N.parse_band(red), value),
+            n=N.number_text(value), g=F.trim(F.coalesce(green, F.lit(""))), r=F.trim(F.coalesce(red, F.lit(""))),
+        ),
+        decide,
     )
 
 
 # --- trend rules --------------------------------------------------------------------------------
 def rule_working_capital(values: Column) -> Column:
     """Judged on the movement of the days, not on their level."""
-    nums = N.numbers_of(values)
-    return working_capital_flag(F.get(nums, F.lit(0)), F.try_element_at(nums, F.lit(-1)))
+    ends = let(
+        N.numbers_of(values), lambda v: terms(first=F.get(v, F.lit(0)), last=F.try_element_at(v, F.lit(-1)))
+    )
+    return let(ends, lambda x: working_capital_flag(x["first"], x["last"]))
 
 
 def working_capital_flag(first: Column, last: Column) -> Column:
@@ -173,17 +211,20 @@ def working_capital_flag(first: Column, last: Column) -> Column:
 
 def rule_dividend(values: Column) -> Column:
     """Green only when every one of the last four reported years paid; never red."""
-    nums = N.numbers_of(values)
-    recent = F.slice(nums, F.greatest(F.size(nums) - 3, F.lit(1)), F.lit(4))
-    size, paid = F.size(recent), F.size(F.filter(recent, lambda v: v > 0))
-    n = size.cast("string")
-    latest = N.whole(F.try_element_at(recent, F.lit(-1))).cast("string")
-    return (
-        F.when(size == 0, verdict("NEUTRAL", "dividend_missing"))
-        .when(paid == size, verdict("GREEN", "dividend_steady", n=n, latest=latest))
-        .when(paid == 0, verdict("NEUTRAL", "dividend_none", n=n))
-        .otherwise(verdict("NEUTRAL", "dividend_erratic", paid=paid.cast("string"), n=n, latest=latest))
-    )
+
+    def decide(recent: Column) -> Column:
+        size, paid = F.size(recent), F.size(F.filter(recent, lambda v: v > 0))
+        n = size.cast("string")
+        latest = N.whole(F.try_element_at(recent, F.lit(-1))).cast("string")
+        return (
+            F.when(size == 0, verdict("NEUTRAL", "dividend_missing"))
+            .when(paid == size, verdict("GREEN", "dividend_steady", n=n, latest=latest))
+            .when(paid == 0, verdict("NEUTRAL", "dividend_none", n=n))
+            .otherwise(verdict("NEUTRAL", "dividend_erratic", paid=paid.cast("string"), n=n, latest=latest))
+        )
+
+    last_four = lambda v: F.slice(v, F.greatest(F.size(v) - 3, F.lit(1)), F.lit(4))
+    return let(let(N.numbers_of(values), last_four), decide)
 
 
 # --- registries ---------------------------------------------------------------------------------
@@ -230,24 +271,37 @@ def classify_amount(
     """
     by_base = lambda nw, rev, pat: F.when(base == "net_worth", nw).when(base == "revenue", rev).otherwise(pat)
     against = by_base(scale["net_worth"], scale["revenue"], scale["profit"])
-    label = by_base(F.lit("net worth"), F.lit("revenue"), F.lit("PAT"))
-    pct = F.when(against > 0, amount / against * 100)
-    shown = N.format_crore(amount)
-    said = {"amount": shown, "base": label}
-    sized = {**said, "pct": N.percent_text(pct)}
-    return (
-        F.when(
-            amount.isNull() & (states_nil(value) | states_nil(evidence)),
-            verdict("GREEN", "amount_nil", value=value),
+
+    def decide(x: Column) -> Column:
+        pct = F.when(x["against"] > 0, x["amount"] / x["against"] * 100)
+        return (
+            F.when(
+                x["amount"].isNull() & (states_nil(value) | states_nil(evidence)),
+                verdict("GREEN", "amount_nil", value=value),
+            )
+            .when(x["amount"].isNull(), verdict("NEUTRAL", "amount_unread"))
+            .otherwise(
+                let(terms(pct=pct, shown=N.format_crore(x["amount"]), pct_text=N.percent_text(pct)), lambda y: sized(x, y))
+            )
         )
-        .when(amount.isNull(), verdict("NEUTRAL", "amount_unread"))
-        .when(scale.isNull(), verdict("NEUTRAL", "amount_no_scale", **said))
-        .when(~is_plausible(amount, scale), verdict("NEUTRAL", "amount_implausible", **said))
-        .when(pct.isNull(), verdict("NEUTRAL", "amount_no_base", **said))
-        .when(pct >= red_pct, verdict("RED", "amount_material", limit=N.number_text(red_pct), **sized))
-        .when(pct <= green_pct, verdict("GREEN", "amount_immaterial", limit=N.number_text(green_pct), **sized))
-        .otherwise(verdict("NEUTRAL", "amount_moderate", **sized))
+
+    def sized(x: Column, y: Column) -> Column:
+        said = {"amount": y["shown"], "base": x["label"]}
+        full = {**said, "pct": y["pct_text"]}
+        return (
+            F.when(scale.isNull(), verdict("NEUTRAL", "amount_no_scale", **said))
+            .when(~is_plausible(x["amount"], scale), verdict("NEUTRAL", "amount_implausible", **said))
+            .when(y["pct"].isNull(), verdict("NEUTRAL", "amount_no_base", **said))
+            .when(y["pct"] >= x["red"], verdict("RED", "amount_material", limit=N.number_text(x["red"]), **full))
+            .when(y["pct"] <= x["green"], verdict("GREEN", "amount_immaterial", limit=N.number_text(x["green"]), **full))
+            .otherwise(verdict("NEUTRAL", "amount_moderate", **full))
+        )
+
+    known = terms(
+        amount=amount, against=against, green=green_pct, red=red_pct,
+        label=by_base(F.lit("net worth"), F.lit("revenue"), F.lit("PAT")),
     )
+    return let(known, decide)
 
 
 def materiality_rule(item: Column, part: int) -> Column:
@@ -262,17 +316,18 @@ def materiality_rule(item: Column, part: int) -> Column:
 # --- guards ---------------------------------------------------------------------------------------
 def guard_amount(item: Column, flag: Column, amount: Column, scale: Column) -> Column:
     """Downgrade of a judged RED whose only figure is small or implausible; null keeps the flag."""
-    pct = F.when(scale["net_worth"] > 0, amount / scale["net_worth"] * 100)
-    shown = N.format_crore(amount)
+    worth = F.when(scale["net_worth"] > 0, amount / scale["net_worth"] * 100)
     applies = (flag == "RED") & item.isin(*fixed.GUARDED_ITEMS) & amount.isNotNull() & scale.isNotNull()
-    return (
-        F.when(~F.coalesce(applies, F.lit(False)), no_verdict())
-        .when(~is_plausible(amount, scale), verdict("NEUTRAL", "guard_implausible", amount=shown))
-        .when(
+    downgrade = let(
+        worth,
+        lambda pct: F.when(
+            ~is_plausible(amount, scale), verdict("NEUTRAL", "guard_implausible", amount=N.format_crore(amount))
+        ).when(
             pct < fixed.GUARD_PERCENT,
-            verdict("NEUTRAL", "guard_immaterial", amount=shown, pct=N.percent_text(pct)),
-        )
+            verdict("NEUTRAL", "guard_immaterial", amount=N.format_crore(amount), pct=N.percent_text(pct)),
+        ),
     )
+    return F.when(F.coalesce(applies, F.lit(False)), downgrade)
 
 
 def guard_absence(item: Column, flag: Column, value: Column, evidence: Column) -> Column:
@@ -299,12 +354,21 @@ def build_verdict(
     flag: Column, reason: Column, rationale: Column, value: Column, kind: Column, expected_na: Column
 ) -> Column:
     """The reader-facing answer of one result."""
-    reason, rationale, value = (
-        F.trim(F.coalesce(c, F.lit(""))) for c in (reason, rationale, value)
+    trimmed = terms(
+        **{n: F.trim(F.coalesce(c, F.lit(""))) for n, c in [("reason", reason), ("rationale", rationale), ("value", value)]}
     )
+    text = let(trimmed, lambda x: _verdict_text(x["reason"], x["rationale"], x["value"], kind))
+    missing = F.when(F.coalesce(expected_na, F.lit(False)), fixed.EXPECTED_NA_VERDICT).otherwise(
+        fixed.MISSING_VERDICT
+    )
+    return F.when(flag == "NOT_AVAILABLE", missing).otherwise(F.substring(text, 1, fixed.VERDICT_CHARS))
+
+
+def _verdict_text(reason: Column, rationale: Column, value: Column, kind: Column) -> Column:
+    """A distrusted figure speaks first; then the rationale, completed by the reason; then the value."""
     has_reason, has_value = reason != "", (value != "") & (F.lower(value) != fixed.NOT_AVAILABLE_TEXT)
     repeats = F.contains(F.lower(rationale), F.lower(reason))
-    text = (
+    return (
         F.when(has_reason & reason.rlike(fixed.DISTRUST), reason)
         .when((rationale != "") & has_reason & ~repeats, F.concat(rationale, F.lit(" "), reason))
         .when(rationale != "", rationale)
@@ -312,7 +376,3 @@ def build_verdict(
         .when(has_reason & ~F.contains(reason, value), F.concat(value, F.lit(" — "), reason))
         .otherwise(value)
     )
-    missing = F.when(F.coalesce(expected_na, F.lit(False)), fixed.EXPECTED_NA_VERDICT).otherwise(
-        fixed.MISSING_VERDICT
-    )
-    return F.when(flag == "NOT_AVAILABLE", missing).otherwise(F.substring(text, 1, fixed.VERDICT_CHARS))

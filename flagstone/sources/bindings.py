@@ -190,6 +190,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row.
+
+        A table of fewer files than cores would be read by a few tasks only, so its rows are dealt
+        out first. A table of many files is left as it is: no shuffle.
+        """
+        table, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
     def companies(self) -> DataFrame:
         return self.raw("supplier").selectExpr(*COMPANY)
 
@@ -210,15 +219,15 @@ class Tables:
         return self.raw("events").selectExpr(*CALL)
 
     def documents(self) -> DataFrame:
-        return self.raw("documents").selectExpr(*DOCUMENT)
+        return self.spread("documents").selectExpr(*DOCUMENT)
 
     def findings(self) -> DataFrame:
-        return self.raw("lineitem").selectExpr(*finding_columns())
+        return self.spread("lineitem").selectExpr(*finding_columns())
 
     def yearly(self) -> DataFrame:
         """Figures in hundredths per company and year, reserves added up."""
         sums = (
-            self.raw("lineitem")
+            self.spread("lineitem")
             .groupBy(F.col("l_suppkey").alias("company_id"), F.year("l_shipdate").alias("yr"))
             .agg(*[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in YEARLY.items()])
         )
