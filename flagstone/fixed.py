@@ -17,7 +17,7 @@ IN_FLIGHT_RUNS = ["QUEUED", "HARVESTING", "HARVESTED", "PROCESSING"]
 NOT_AVAILABLE_TEXT = "not available"
 ERROR_ANSWER_PREFIX = "[Error]"
 DUPLICATE_PREFIX = "duplicate of "
-TABLE_MARKER = "TBL1"
+TABLE_MARKER = "\u0001TBL1\u0001"
 
 # --- limits ---------------------------------------------------------------------------------
 STALE_AFTER_DAYS = 90
