@@ -83,6 +83,11 @@ def assign_flags(analyses: DataFrame, opinions: DataFrame, keys: list[str]) -> D
     `opinions` holds (keys, seq, flag, reason, provider). Without a first opinion an item no rule
     settles is NEUTRAL; without the checking opinion a RED stands but is marked for review.
     """
+    return decide(analyses.join(opinions_wide(opinions, keys), keys, "left"))
+
+
+def decide(analyses: DataFrame) -> DataFrame:
+    """assign_flags for rows that already carry `first` and `second` opinion structs (or nulls)."""
     item, value, evidence = F.col("item_id"), F.col("value"), F.col("evidence")
     first, second = F.col("first"), F.col("second")
     guard = F.coalesce(
@@ -106,7 +111,6 @@ def assign_flags(analyses: DataFrame, opinions: DataFrame, keys: list[str]) -> D
     by_opinion = F.col("rule_fired") == "opinion"
     joined = (
         apply_rules(analyses)
-        .join(opinions_wide(opinions, keys), keys, "left")
         .withColumn("guard", F.when(by_opinion & first.isNotNull(), guard))
         .withColumn("base", F.coalesce(F.col("settled"), judged))
         .withColumn(

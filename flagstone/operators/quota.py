@@ -37,36 +37,44 @@ def admit_daily(
 
 
 def failure_streaks(calls: DataFrame, retire_at: int = fixed.RETIRE_AFTER) -> DataFrame:
-    """Longest run of consecutive failures of each key, and whether it retires the key.
+    """Longest run of consecutive failures of each key, and whether it retires the key."""
+    longest = streak_summary(calls).select("key", "calls", F.col("longest").alias("longest_streak"))
+    return longest.withColumn("retired", F.col("longest_streak") >= retire_at)
+
 
-    Positions inside an hour are exact; a streak that began earlier is carried in from the hours
-    before, which are summarised to one row each.
+def streak_summary(calls: DataFrame) -> DataFrame:
+    """Per key: calls, leading failures (head), trailing failures (tail) and the longest run.
+
+    Two such summaries of consecutive stretches combine into one. Positions inside an hour are
+    exact; a run that began earlier is carried in from the hours before, which are summarised to
+    one row each, so no task sees more than an hour of one key.
     """
-    cut = calls.withColumn("_piece", F.date_trunc("hour", "ts"))
     inside = Window.partitionBy("key", "_piece").orderBy("ts", "call_id")
-    row = cut.withColumn("_pos", F.row_number().over(inside)).withColumn(
-        "_last_ok", F.max(F.when(F.col("ok"), F.col("_pos"))).over(inside)
+    row = (
+        calls.withColumn("_piece", F.date_trunc("hour", "ts"))
+        .withColumn("_pos", F.row_number().over(inside))
+        .withColumn("_last_ok", F.max(F.when(F.col("ok"), F.col("_pos"))).over(inside))
     )
-    # inside an hour: failures since the last success; open ones (no success yet) continue a carry
-    open_len = F.when(F.col("_last_ok").isNull(), F.col("_pos"))
-    closed_len = F.when(~F.col("ok"), F.col("_pos") - F.col("_last_ok"))
     pieces = row.groupBy("key", "_piece").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.max(open_len).alias("_head"),
-        F.max(closed_len).alias("_best"),
+        F.max(F.when(F.col("_last_ok").isNull(), F.col("_pos"))).alias("_open"),
+        F.max(F.when(~F.col("ok"), F.col("_pos") - F.col("_last_ok"))).alias("_closed"),
+        F.min(F.when(F.col("ok"), F.col("_pos"))).alias("_first_ok"),
         F.max("_last_ok").alias("_ok_at"),
     )
     before = Window.partitionBy("key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    ends = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ends = ends.withColumn("_ok_global", F.col("_start") + F.col("_ok_at"))
-    carried = ends.withColumn(
-        "_carry", F.col("_start") - F.coalesce(F.max("_ok_global").over(before), F.lit(0))
+    placed = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumns(
+        {"_ok_first": F.col("_start") + F.col("_first_ok"), "_ok_last": F.col("_start") + F.col("_ok_at")}
     )
+    carried = placed.withColumn("_carry", F.col("_start") - F.coalesce(F.max("_ok_last").over(before), F.lit(0)))
     length = F.greatest(
-        F.coalesce(F.col("_best"), F.lit(0)),
-        F.when(F.col("_head").isNotNull(), F.col("_carry") + F.col("_head")).otherwise(F.lit(0)),
+        F.coalesce("_closed", F.lit(0)),
+        F.when(F.col("_open").isNotNull(), F.col("_carry") + F.col("_open")).otherwise(F.lit(0)),
     )
-    longest = carried.groupBy("key").agg(
-        F.sum("_n").alias("calls"), F.max(length).cast("bigint").alias("longest_streak")
+    total = F.sum("_n")
+    return carried.groupBy("key").agg(
+        total.alias("calls"),
+        F.coalesce(F.min("_ok_first") - 1, total).alias("head"),
+        (total - F.coalesce(F.max("_ok_last"), F.lit(0))).alias("tail"),
+        F.max(length).cast("bigint").alias("longest"),
     )
-    return longest.withColumn("retired", F.col("longest_streak") >= retire_at)
