@@ -11,10 +11,11 @@ from flagstone.catalog.finance import METRIC_SQL, WC_SQL, custom_sql
 from flagstone.catalog.findings import RULE_SQL
 from flagstone.catalog.oracle import first_number, matches, max_amount, na, states_nil, with_ctes
 from flagstone.catalog.registry import query
+from flagstone.operators import finance as fin
 from flagstone.operators import report as RP
 from flagstone.operators.state import Checklist, Item, items_with_results
 from flagstone.plans import acquire, assess, repair
-from flagstone.sources.bindings import WRITE_ORDER, Tables, finding_columns
+from flagstone.sources.bindings import ITEMS, WRITE_ORDER, Tables, finding_columns
 
 SCALE_DIVISOR = 1000.0
 
@@ -232,13 +233,28 @@ def document_plan(t: Tables) -> DataFrame:
     return acquire.document_plan(t.company_pages(), stored.withColumn("run_id", F.lit(0).cast("bigint")))
 
 
+_BLANK_IDS = {1: "A1-02", 2: "A4-05", 3: "A3-05", 4: "A2-01", 5: "A9-04", 6: "A7a-13", 7: "A5-01"}
+
+
 @query("backfill_flags")
 def backfill_flags(t: Tables) -> DataFrame:
-    """Blank items of the assessment answered from the sentences of other lines."""
-    state = assessed(t).join(
-        CHECKLIST.table(t.spark).select("item_id", "output_format", "green_band", "red_band"), "item_id"
-    ).withColumns({"note_mode": F.lit(False), "kind": F.lit("QUALITATIVE")})
-    answers = t.findings().groupBy("company_id").agg(F.max_by("opinion", F.struct("part_id", "run_id", "line_no")).alias("answer"))
-    each = answers.select("company_id", F.explode(F.array(*[F.lit(i.id) for i in CHECKLIST.items])).alias("item_id"), "answer")
-    scale = t.companies().selectExpr("company_id", "CAST(NULL AS DOUBLE) AS net_worth", "CAST(NULL AS DOUBLE) AS revenue", "CAST(NULL AS DOUBLE) AS profit")
-    return repair.backfill(state, each, opinions(t), scale)
+    """Blank stored results answered from the newest sentence of the run's own lines."""
+    state = items_with_results(t.runs().select("run_id", "company_id"), ITEMS, t.results())
+    ids = F.element_at(F.array(*map(F.lit, _BLANK_IDS.values())), F.col("item_id"))
+    none = F.lit(None).cast("string")
+    blanks = state.withColumns(
+        {
+            "item_id": ids, "kind": F.lit("QUALITATIVE"), "note_mode": F.lit(False), "green_band": none, "red_band": none,
+        }
+    )
+    answers = t.findings().groupBy("company_id").agg(
+        F.max_by(F.struct("separation", "opinion", "cheap_equity", "committee", "absence", "amount"), F.struct("part_id", "run_id", "line_no")).alias("x")
+    )
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("item_id"), F.col(f"x.{c}").alias("answer"))
+            for i, c in zip(_BLANK_IDS.values(), ["separation", "opinion", "cheap_equity", "committee", "absence", "amount", "amount"])
+        ]
+    )
+    answers = answers.select("company_id", F.explode(each).alias("y")).select("company_id", "y.*")
+    return repair.backfill(blanks, answers, opinions(t), fin.company_scale(t.statements()))

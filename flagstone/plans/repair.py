@@ -33,7 +33,8 @@ def backfill(state: DataFrame, answers: DataFrame, opinions: DataFrame, scale: D
     green_band, red_band), answers (company_id, item_id, answer), opinions by run and item. Answers
     that lead to no flag are not written: a blank never replaces a blank.
     """
-    blanks = blank_targets(state).drop("status", "flag")
+    needed = ["run_id", "company_id", "item_id", "kind", "note_mode", "non_negotiable", "green_band", "red_band"]
+    blanks = blank_targets(state).select(*needed)
     sized = scale.select("company_id", F.struct("net_worth", "revenue", "profit").alias("scale"))
     rows = (
         blanks.join(answers.select("company_id", "item_id", F.col("answer").alias("value")), ["company_id", "item_id"])

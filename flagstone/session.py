@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recording a Python call site for every column costs more than planning these expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # sessions of one key are merged before the shuffle, so a busy key arrives as few rows
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -29,6 +31,14 @@ def build_session(app: str = "flagstone", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def quiet_columns(spark: SparkSession) -> None:
+    """Turn off call-site recording in a session somebody else built, where it may still be set."""
+    try:
+        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+    except Exception:  # noqa: BLE001 - only a matter of speed
+        pass
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for stream checkpoints and materialised steps.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flagstone.operators.state import Checklist, Item
+from flagstone.session import quiet_columns
 
 WRITE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
@@ -186,6 +187,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        quiet_columns(spark)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
