@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flagstone import fixed
 from flagstone.functions import numbers as N
+from flagstone.functions.once import let, terms
 from flagstone.functions.predicates import is_absence, states_nil
 
 VERDICT_TYPE = "struct<flag:string,reason:string>"
@@ -26,19 +27,6 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*cols)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` over a value computed once.
-
-    A column used many times in one expression is otherwise written out, compiled and possibly
-    evaluated at each use; long rules would outgrow what the JVM accepts as one method.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def terms(**columns: Column) -> Column:
-    return F.struct(*[c.alias(n) for n, c in columns.items()])
-
-
 def verdict(flag: str, wording: str, **values: Column) -> Column:
     reason = fill(fixed.REASONS.get(wording, wording), **values)
     return F.struct(F.lit(flag).alias("flag"), reason.alias("reason"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flagstone import fixed
+from flagstone.functions.once import let
 
 
 def clean_text(text: Column, limit: int | None = None) -> Column:
@@ -161,18 +162,22 @@ def count_hits(low_text: Column, term: Column) -> Column:
 
 def excerpt(text: Column, terms: Column, radius: int = fixed.PASSAGE_RADIUS) -> Column:
     """Text around the earliest term, with ellipses where it was cut."""
-    low = F.lower(text)
-    places = F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0)
-    at = F.array_min(places)
-    start = F.greatest(at - 1 - radius, F.lit(0))
-    end = F.least(at - 1 + radius, F.length(text))
-    body = trim_all(F.substring(text, start + 1, end - start))
-    cut = F.concat(
-        F.when(start > 0, F.lit("…")).otherwise(F.lit("")),
-        body,
-        F.when(end < F.length(text), F.lit("…")).otherwise(F.lit("")),
+    places = let(
+        F.lower(text), lambda low: F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0)
     )
-    return F.when(at.isNull(), trim_all(F.substring(text, 1, radius * 2))).otherwise(cut)
+
+    def around(at: Column) -> Column:
+        start = F.greatest(at - 1 - radius, F.lit(0))
+        end = F.least(at - 1 + radius, F.length(text))
+        return F.when(at.isNull(), trim_all(F.substring(text, 1, radius * 2))).otherwise(
+            F.concat(
+                F.when(start > 0, F.lit("…")).otherwise(F.lit("")),
+                trim_all(F.substring(text, start + 1, end - start)),
+                F.when(end < F.length(text), F.lit("…")).otherwise(F.lit("")),
+            )
+        )
+
+    return let(F.array_min(places), around)
 
 
 def trim_all(text: Column) -> Column:

@@ -63,7 +63,7 @@ def score_chunks(chunks: DataFrame, searches: Sequence[Search]) -> DataFrame:
     one projection: nothing is paired up or shuffled to be thrown away.
     """
     terms = sorted({t for s in searches for t in s.terms})
-    low = F.lower("chunk")
+    low = F.col("_low")
     hits = F.map_filter(
         F.map_from_entries(
             F.transform(
@@ -103,7 +103,8 @@ def score_chunks(chunks: DataFrame, searches: Sequence[Search]) -> DataFrame:
         lambda s: s["score"] > 0,
     )
     return (
-        chunks.withColumn("_hits", hits)
+        chunks.withColumn("_low", F.lower("chunk"))
+        .withColumn("_hits", hits)
         .filter(F.size("_hits") > 0)
         .select(*chunks.columns, F.explode(scored).alias("_s"))
         .select(*chunks.columns, "_s.item_id", "_s.terms", "_s.score")
@@ -134,13 +135,13 @@ def apply_budget(passages: DataFrame, budget: Column) -> DataFrame:
     )
 
 
-def best_heading_offset(text: Column, heading: str) -> Column:
+def best_heading_offset(low: Column, heading: str) -> Column:
     """0-based place of the occurrence with the most digits behind it; null when there is none.
 
     A contents line is followed by few digits, the note itself by many. Walks the occurrences in
-    one pass, holding only the best so far.
+    one pass, holding only the best so far. `low` is the lower-cased text.
     """
-    low, size = F.lower(text), len(heading)
+    size = len(heading)
     pieces = F.split(low, re.escape(heading.lower()))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -183,7 +184,7 @@ def heading_sections(documents: DataFrame, searches: Sequence[Search]) -> DataFr
     """Every located heading with the text window behind it, one row per document, item and heading."""
     headings = sorted({h.lower() for s in searches for h in s.headings})
     places = F.map_filter(
-        F.create_map(*[x for h in headings for x in (F.lit(h), best_heading_offset(F.col("text"), h))]),
+        F.create_map(*[x for h in headings for x in (F.lit(h), best_heading_offset(F.col("_low"), h))]),
         lambda _k, v: v.isNotNull(),
     )
     wanted = F.array(
@@ -206,7 +207,8 @@ def heading_sections(documents: DataFrame, searches: Sequence[Search]) -> DataFr
     )
     others = [c for c in documents.columns if c != "text"]
     found = (
-        documents.withColumn("_places", places)
+        documents.withColumn("_low", F.lower("text"))
+        .withColumn("_places", places)
         .filter(F.size("_places") > 0)
         .select(*others, "text", "_places", F.explode(hit).alias("_h"))
         .select(*others, "text", "_h.*", F.element_at(F.col("_places"), F.col("_h.heading")).alias("at"))

@@ -308,5 +308,7 @@ class Tables:
         )
         return (
             self.statements().join(self.companies(), "company_id")
+            # reading pages is heavy per row: few small partitions would leave most cores idle
+            .repartition(self.spark.sparkContext.defaultParallelism, "company_id")
             .select("company_id", F.concat(F.lit("https://pages.example.org/company/"), cid, F.lit("/")).alias("url"), html.alias("html"))
         )
