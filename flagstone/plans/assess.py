@@ -52,10 +52,14 @@ def structured_by_company(statements: DataFrame) -> DataFrame:
 
 
 def structured_evidence(statements: DataFrame) -> DataFrame:
-    """Every metric of every company that has a value."""
+    """Every metric of every company that has a value.
+
+    explode_outer, because explode makes the optimizer ask for a non-empty map below every projection,
+    which writes out the definition of all metrics once per level.
+    """
     return (
         structured_by_company(statements)
-        .select("company_id", F.explode("metrics").alias("metric", "m"))
+        .select("company_id", F.explode_outer("metrics").alias("metric", "m"))
         .filter(F.col("m").isNotNull())
         .select("company_id", "metric", "m.value", "m.evidence")
     )
