@@ -23,10 +23,10 @@ def words_of(column: Column) -> Column:
     return F.filter(F.split(column, GAP), lambda w: w != F.lit(""))
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage is cut, and the planner knows the true size."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

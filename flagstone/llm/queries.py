@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import quality_rules
+from flagstone.llm import quality_rules, token_files
+from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,6 +17,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = scratch_dir(spark, "token-files")
+    token_files.write_files(_table(spark, folder, "documents"), files)
+    return token_files.read_files(spark, files)
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rated = quality_rules.rate(_table(spark, folder, "documents").select("doc_id", "text", "source"))
     return rated.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lost_share")
@@ -49,6 +56,7 @@ FROM base LEFT JOIN lost ON base.t = lost.t AND base.source IS NOT DISTINCT FROM
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op6_quality_rules": op6_quality_rules,
 }
 SQL: dict[str, str] = {
