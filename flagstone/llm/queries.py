@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import quality_rules, token_files
+from flagstone.llm import quality_rules, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_files(spark, files)
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, folder, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rated = quality_rules.rate(_table(spark, folder, "documents").select("doc_id", "text", "source"))
     return rated.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lost_share")
@@ -57,6 +61,7 @@ FROM base LEFT JOIN lost ON base.t = lost.t AND base.source IS NOT DISTINCT FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
 }
 SQL: dict[str, str] = {
