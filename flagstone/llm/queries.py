@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import quality_rules, token_counts, token_files
+from flagstone.llm import mixing, quality_rules, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,37 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_files(spark, files)
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixing.plan(docs).select("row.doc_id", "size", "source_size", "target", taken)
+
+
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+    (('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE)
+      / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+s1 AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 2.0::DOUBLE AS cap FROM s0),
+s2 AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS unit
+  FROM s1 WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, weight * unit > cap AS is_full FROM s2),
+s4 AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * (SELECT min_by(unit, cap / weight) FROM s3 WHERE NOT is_full) END AS target FROM s3),
+s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM s4),
+o AS (
+  SELECT doc_id, size, source_size, target, certain, target - certain * source_size AS missing,
+    sum(size) OVER (PARTITION BY d.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total,
+    sum(size) OVER (PARTITION BY d.source, u) AS own
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
+SELECT doc_id, size, source_size, target, (size * (certain + CASE
+  WHEN missing > 0 AND (total <= missing OR (total - own < missing AND total - missing < missing - (total - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o
+"""
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"))
 
@@ -61,9 +92,11 @@ FROM base LEFT JOIN lost ON base.t = lost.t AND base.source IS NOT DISTINCT FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
 }
 SQL: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
 }
