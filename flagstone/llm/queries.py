@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import mixing, quality_rules, token_counts, token_files
+from flagstone.llm import mixing, near_duplicates, quality_rules, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,11 +90,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base LEFT JOIN lost ON base.t = lost.t AND base.source IS NOT DISTINCT FROM lost.source
 """
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.join(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
