@@ -36,12 +36,15 @@ def powers(base: np.uint64, n: int, name: str) -> np.ndarray:
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of some UTF-8 texts (null: none), and where each text's words start."""
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some UTF-8 texts (null: none), where each word begins and ends in them, and where each text's words start."""
     texts = texts.fill_null(b"") if texts.null_count else texts
+    none = np.empty(0, np.int64)
+    if len(texts) == 0:
+        return np.empty(0, np.uint8), none, none, np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    if len(texts) == 0 or offsets[0] == offsets[-1]:
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    if offsets[0] == offsets[-1]:
+        return np.empty(0, np.uint8), none, none, np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     inside = ~_GAP[data]
@@ -53,11 +56,21 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     finishes[:-1] &= ~inside[1:]
     finishes[borders - 1] = inside[borders - 1]
     first, end = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+    return data, first, end, np.searchsorted(first, offsets)
+
+
+def hash_spans(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data), "bytes"), out=total[1:])
     hashes = (total[end] - total[first]) * powers(_INVERSE, len(data), "inverse")[first]
-    hashes = mix(hashes + (end - first).astype(np.uint64) * _STEPS[0])
-    return hashes, np.searchsorted(first, offsets)
+    return mix(hashes + (end - first).astype(np.uint64) * _STEPS[0])
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of some texts, and where each text's words start."""
+    data, first, end, offsets = word_spans(texts)
+    return hash_spans(data, first, end), offsets
 
 
 def windows(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import mixing, near_duplicates, quality_rules, token_counts, token_files
+from flagstone.llm import mixing, near_duplicates, quality_rules, substring_dedup, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,14 +94,31 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.join(_table(spark, folder, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
+OP9_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+win AS (SELECT rid, doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+g AS (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY hash(ws[i:i+12]), ws[i:i+12]) AS first FROM win),
+gone AS (SELECT rid, list(DISTINCT p) AS ps FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM g WHERE first < coalesce(doc_id, 9223372036854775807)) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (rid)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
