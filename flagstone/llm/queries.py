@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import mixing, near_duplicates, quality_rules, substring_dedup, token_counts, token_files
+from flagstone.llm import mixing, near_duplicates, neighbours, quality_rules, substring_dedup, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,23 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_files(spark, files)
 
 
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP2_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+FROM p QUALIFY rank <= 20
+"""
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -111,6 +128,7 @@ FROM w LEFT JOIN gone USING (rid)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_neighbours": op2_neighbours,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
@@ -118,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
 }
 SQL: dict[str, str] = {
+    "op2_neighbours": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
