@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import mixing, near_duplicates, neighbours, quality_rules, substring_dedup, token_counts, token_files
+from flagstone.llm import mixing, near_duplicates, neighbours, quality_model, quality_rules, substring_dedup, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -126,6 +126,10 @@ FROM w LEFT JOIN gone USING (rid)
 """
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_neighbours": op2_neighbours,
@@ -134,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 SQL: dict[str, str] = {
     "op2_neighbours": OP2_SQL,
