@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import mixing, near_duplicates, neighbours, quality_model, quality_rules, substring_dedup, token_counts, token_files
+from flagstone.llm import mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, substring_dedup, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,6 +75,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"))
 
 
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.sample_pieces(_table(spark, folder, "documents"), k=2)
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rated = quality_rules.rate(_table(spark, folder, "documents").select("doc_id", "text", "source"))
     return rated.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lost_share")
@@ -135,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neighbours": op2_neighbours,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_pieces": op5_pieces,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
