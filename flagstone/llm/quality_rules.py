@@ -62,8 +62,7 @@ def with_base_counts(docs: DataFrame, min_words: int = 10, max_repeat_pct: int =
     repeats = F.size(F.array_distinct("g")) < F.size("g")
     windows = F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.select("row", "t", "w", "l", F.when(repeats, windows).alias("s"))
-    df = df.select(
-        "row",
+    counts = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("t", SYMBOLS, "")).cast("long").alias("n_symbols"),
@@ -71,6 +70,8 @@ def with_base_counts(docs: DataFrame, min_words: int = 10, max_repeat_pct: int =
         F.when(F.col("s").isNull(), F.lit(0)).otherwise(_covered(F.col("s"))).cast("long").alias("n_repeat_words"),
         *text_key(F.col("row.source"), F.col("t")),
     )
+    # a generator of one row: a filter on the counts stays above it, instead of being worked out again for every use
+    df = df.select("row", F.explode(F.array(counts)).alias("c")).select("row", "c.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
