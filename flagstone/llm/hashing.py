@@ -36,8 +36,9 @@ def powers(base: np.uint64, n: int, name: str) -> np.ndarray:
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of some UTF-8 texts (null: none), where each word begins and ends in them, and where each text's words start."""
+def word_spans(texts: pa.Array, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some UTF-8 texts (null: none), where each word begins and ends in them, and where each text's words start.
+    ``gap`` says which of the 256 bytes separate words."""
     texts = texts.fill_null(b"") if texts.null_count else texts
     none = np.empty(0, np.int64)
     if len(texts) == 0:
@@ -47,7 +48,7 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         return np.empty(0, np.uint8), none, none, np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    inside = ~_GAP[data]
+    inside = ~gap[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     borders = offsets[(offsets > 0) & (offsets < len(data))]

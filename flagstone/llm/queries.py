@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, substring_dedup, token_counts, token_files
+from flagstone.llm import licences, mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, substring_dedup, token_counts, token_files
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,6 +111,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base LEFT JOIN lost ON base.t = lost.t AND base.source IS NOT DISTINCT FROM lost.source
 """
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan_licenses(_table(spark, folder, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.join(_table(spark, folder, "documents"))
 
@@ -141,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_pieces": op5_pieces,
     "op6_quality_rules": op6_quality_rules,
+    "op7_licenses": op7_licenses,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
