@@ -36,6 +36,7 @@ from flagstone.llm.words import Growing, WordTable, chunks, gather_runs
 MARK = "▁"
 FLATTEN = 10.0
 OPEN = 40
+WORDS_AT_ONCE, TEXT_AT_ONCE = 10_000, 500_000
 _SAMPLE, _WORD, _PIECE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -114,17 +115,21 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattices(WordTable):
     """The lattice of each word: nodes between characters, edges for pieces, likeliest first at each node."""
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000) -> None:
         super().__init__(limit)
         self.vocabulary = vocabulary(path)
         self.reset()
 
     def reset(self) -> None:
         self.base, self.last = Growing(np.int64), Growing(np.int64)
-        self.first, self.degree = Growing(np.int64), Growing(np.int32)
-        self.length, self.piece, self.logp, self.upto = Growing(np.int32), Growing(np.int32), Growing(np.float32), Growing(np.float32)
+        self.first, self.degree = Growing(np.int32), Growing(np.uint8)
+        self.length, self.piece, self.logp, self.upto = Growing(np.uint8), Growing(np.int32), Growing(np.float32), Growing(np.float32)
 
     def add(self, words: list[bytes]) -> None:
+        for s in range(0, len(words), WORDS_AT_ONCE):
+            self._add(words[s : s + WORDS_AT_ONCE])
+
+    def _add(self, words: list[bytes]) -> None:
         v = self.vocabulary
         texts = [MARK + w.decode("utf-8", "replace") for w in words]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -193,7 +198,7 @@ class Lattices(WordTable):
         on = np.flatnonzero(node != last)
         while len(on):
             u = unit(keys[on] + _times(len(steps), _PIECE))
-            edge = self.first.data[node[on]].copy()
+            edge = self.first.data[node[on]].astype(np.int64)
             wait = np.flatnonzero(u > self.upto.data[edge])
             while len(wait):
                 edge[wait] += 1
@@ -279,7 +284,7 @@ class Search:
         at = path.offsets[i] + t
         taken = self.taken.setdefault((i, s, t), [int(path.edges[at])])
         node = path.nodes[at]
-        edges = np.setdiff1d(np.arange(self.table.degree.data[node]) + self.table.first.data[node], taken)
+        edges = np.setdiff1d(np.arange(int(self.table.degree.data[node])) + int(self.table.first.data[node]), taken)
         return edges, np.exp(self.table.logp.data[edges].astype(np.float64))
 
     def _open_far(self, i: int, s: int, value: float, u: np.ndarray) -> int:
@@ -395,7 +400,7 @@ def sample_pieces(docs: DataFrame, k: int = 2, key: Column | None = None, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=TEXT_AT_ONCE):
                 texts = part.column(1).to_pylist()
                 search = Search(lattices(path), texts, part.column(2).to_numpy().view(np.uint64), k)
                 limit = search.threshold()

@@ -14,13 +14,13 @@ from flagstone.llm.common import ragged_starts
 CHUNK_BYTES = 4_000_000
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of at most ``CHUNK_BYTES`` of text, or single longer rows."""
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of at most ``most`` bytes of text, or single longer rows."""
     values = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + int(n) > CHUNK_BYTES:
+        if i > start and total + int(n) > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)
