@@ -84,8 +84,8 @@ class Windows:
 
 def by_shard(shard: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     """Runs of arrays that are already ordered by shard."""
-    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=bool(cuts)):
         yield int(shard[a]), *(x[a:b] for x in arrays)
 
 
