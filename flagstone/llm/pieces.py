@@ -36,7 +36,7 @@ from flagstone.llm.words import Growing, WordTable, chunks, gather_runs
 MARK = "▁"
 FLATTEN = 10.0
 OPEN = 40
-WORDS_AT_ONCE, TEXT_AT_ONCE = 10_000, 500_000
+WORDS_AT_ONCE, TEXT_AT_ONCE = 20_000, 1_000_000
 _SAMPLE, _WORD, _PIECE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -94,6 +94,9 @@ class Vocabulary:
         keys = np.array([n * self.n_chars + c for n, c in trie], np.int64)
         order = np.argsort(keys)
         self.keys, self.children = keys[order], np.array([*trie.values()], np.int64)[order]
+        self.roots = np.full(self.n_chars + 1, -1, np.int64)  # the last is for characters the vocabulary lacks
+        first = self.keys < self.n_chars
+        self.roots[self.keys[first]] = self.children[first]
         self.piece_at = np.full(fresh, -1, np.int64)
         self.piece_at[[*found]] = [*found.values()]
         self.lengths = np.array([len(t) for t in texts], np.int64)
@@ -115,7 +118,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattices(WordTable):
     """The lattice of each word: nodes between characters, edges for pieces, likeliest first at each node."""
 
-    def __init__(self, path: str, limit: int = 150_000) -> None:
+    def __init__(self, path: str, limit: int = 450_000) -> None:
         super().__init__(limit)
         self.vocabulary = vocabulary(path)
         self.reset()
@@ -133,53 +136,54 @@ class Lattices(WordTable):
         v = self.vocabulary
         texts = [MARK + w.decode("utf-8", "replace") for w in words]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         codes = v.code[points]
         end = np.repeat(np.cumsum(sizes), sizes)
-        places = np.arange(len(points))
+        at, node, depth = np.arange(len(points)), v.roots[codes], 1
         edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        single = np.zeros(len(points), bool)
-        at, node, depth = places, np.zeros(len(points), np.int64), 0
         while len(at):
-            inside = at + depth < end[at]
-            at, node = at[inside], node[inside]
-            keys = np.where(codes[at + depth] >= 0, node * v.n_chars + codes[at + depth], -1)
-            hit = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
-            ok = v.keys[hit] == keys
-            at, node, depth = at[ok], v.children[hit[ok]], depth + 1
+            on = node >= 0
+            at, node = at[on], node[on]
             pieces = v.piece_at[node]
-            on = pieces >= 0
-            edges.append((at[on], np.full(on.sum(), depth), pieces[on]))
-            if depth == 1:
-                single[at[on]] = True
+            found = np.flatnonzero(pieces >= 0)
+            edges.append((at[found], np.full(len(found), depth), pieces[found]))
+            far = at + depth
+            inside = far < end[at]
+            at, node, code = at[inside], node[inside], codes[far[inside]]
+            keys = np.where(code >= 0, node * v.n_chars + code, -1)
+            hit = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
+            node = np.where(v.keys[hit] == keys, v.children[hit], -1)
+            depth += 1
+        single = np.zeros(len(points), bool)
+        single[edges[0][0]] = True
         bare = np.flatnonzero(~single)
-        edges.append((bare, np.ones(len(bare), np.int64), -1 - points[bare].astype(np.int64)))
+        edges.append((bare, np.ones(len(bare), np.int64), -1 - points[bare]))
         start, length, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
-        width = 1 + (points[start] > 0x7F).astype(int) + (points[start] > 0x7FF) + (points[start] > 0xFFFF)
-        weight = np.where(piece >= 0, v.weights[np.maximum(piece, 0)], width * v.weights[v.bytes_at[0]])
         # node numbers: a word of n characters has n + 1, the last without edges
-        word = np.repeat(np.arange(len(words)), sizes)
-        node_of = start + word[start]
         nodes = len(points) + len(words)
-        beyond = np.zeros(nodes)
-        order = np.argsort(end[start] - start, kind="stable")
-        start, length, piece, weight, node_of = (x[order] for x in (start, length, piece, weight, node_of))
-        cuts = np.flatnonzero(np.diff(end[start] - start, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(start)], strict=True):
-            # edges of one node stand together once sorted by node, all at the same distance from their word's end
-            inner = np.argsort(node_of[a:b], kind="stable")
-            own = node_of[a:b][inner]
-            value = (weight[a:b] + beyond[node_of[a:b] + length[a:b]])[inner]
-            runs = np.flatnonzero(np.diff(own, prepend=-1))
-            top = np.maximum.reduceat(value, runs)
-            spans = np.diff(np.append(runs, len(own)))
-            beyond[own[runs]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, spans)), runs))
-        logp = weight + beyond[node_of + length] - beyond[node_of]
-        order = np.lexsort((-logp, node_of))
-        length, piece, logp, node_of = length[order], piece[order], logp[order], node_of[order]
+        node_of = start + np.repeat(np.arange(len(words)), sizes)[start]
+        distance = end[start] - start
+        order = np.argsort(distance * nodes + node_of)
+        point, length, piece, node_of, distance = points[start[order]], length[order], piece[order], node_of[order], distance[order]
+        width = 1 + (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
+        weight = np.where(piece >= 0, v.weights[np.maximum(piece, 0)], width * v.weights[v.bytes_at[0]])
+        # from the words' ends backwards: nodes at the same distance at once, the edges of a node together
+        beyond, onto = np.zeros(nodes), node_of + length
+        runs = np.flatnonzero(np.diff(node_of, prepend=-1))
+        spans, heads = np.diff(np.append(runs, len(node_of))), node_of[runs]
+        cuts = np.append(np.flatnonzero(np.diff(distance[runs], prepend=-1)), len(runs))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            a, b = runs[x], runs[y] if y < len(runs) else len(node_of)
+            value, own = weight[a:b] + beyond[onto[a:b]], runs[x:y] - a
+            top = np.maximum.reduceat(value, own)
+            beyond[heads[x:y]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, spans[x:y])), own))
+        logp = weight + beyond[onto] - beyond[node_of]
+        p = np.exp(logp)
+        order = np.argsort(node_of - 0.5 * p)
+        length, piece, logp, p, node_of = length[order], piece[order], logp[order], p[order], node_of[order]
         degree = np.bincount(node_of, minlength=nodes)
         first = ragged_starts(degree)[:-1]
-        total = np.cumsum(np.exp(logp))
+        total = np.cumsum(p)
         upto = total - np.repeat(np.concatenate([[0], total])[first], degree)
         ends = (first + degree - 1)[degree > 0]
         upto[ends] = np.inf
@@ -284,8 +288,9 @@ class Search:
         at = path.offsets[i] + t
         taken = self.taken.setdefault((i, s, t), [int(path.edges[at])])
         node = path.nodes[at]
-        edges = np.setdiff1d(np.arange(int(self.table.degree.data[node])) + int(self.table.first.data[node]), taken)
-        return edges, np.exp(self.table.logp.data[edges].astype(np.float64))
+        begin = int(self.table.first.data[node])
+        edges = [e for e in range(begin, begin + int(self.table.degree.data[node])) if e not in taken]
+        return np.array(edges), np.exp(self.table.logp.data[edges].astype(np.float64))
 
     def _open_far(self, i: int, s: int, value: float, u: np.ndarray) -> int:
         """Split the far branches of a path: the one that holds the maximum is returned, the others go on as sets of their own."""
@@ -296,7 +301,10 @@ class Search:
         mass = np.cumsum(np.exp(location - location.max()))
         won = int(np.searchsorted(mass, u[0] * mass[-1]))
         rest = truncated_gumbel(location, np.float64(value), unit(np.arange(len(location), dtype=np.uint64) * _PIECE + self.seeds[i]))
-        self.extra.setdefault(i, []).extend((rest[j], s, int(far + j)) for j in range(len(rest)) if j != won and rest[j] > -np.inf)
+        rest[won] = -np.inf
+        # no more than k sets can still be opened or be the threshold, so the largest k of these are enough
+        top = np.argsort(-rest)[: self.k].tolist()
+        self.extra.setdefault(i, []).extend((float(rest[j]), s, int(far + j)) for j in top if rest[j] > -np.inf)
         self.open[i, s * (OPEN + 1) + OPEN] = -np.inf
         return int(far + won)
 
@@ -412,8 +420,9 @@ def sample_pieces(docs: DataFrame, k: int = 2, key: Column | None = None, seed:
                     ends = np.concatenate([[0], np.cumsum(search.table.vocabulary.lengths[ids])])[starts]
                     same = np.array([text[ends[i] : ends[i + 1]] == wanted[i] for i in on], bool)
                     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+                    some = len(on) < len(texts)
                     yield pa.record_batch(
-                        [part.column(0).take(pa.array(on)), pa.array(np.full(len(on), s + 1), pa.int32()), lists.take(pa.array(on)),
+                        [part.column(0).take(pa.array(on)), pa.array(np.full(len(on), s + 1), pa.int32()), lists.take(pa.array(on)) if some else lists,
                          pa.array(np.diff(starts)[on], pa.int32()), paths.whole[on], search.values[s][on],
                          log_inclusion(paths.whole[on], limit[on]), same],
                         names=["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "decoded"],
