@@ -31,7 +31,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    entries, tables, seconds = load_all(), Tables(spark, folder), {}
+    entries, tables, seconds = load_all(), Tables(spark, folder, deal=int(cpus)), {}  # the files hold one row group each
     for name in HEADLINE:
         for _ in range(2):
             start = time.perf_counter()

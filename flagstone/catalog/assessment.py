@@ -15,6 +15,7 @@ from flagstone.operators import finance as fin
 from flagstone.operators import report as RP
 from flagstone.operators.state import Checklist, Item, items_with_results
 from flagstone.plans import acquire, assess, repair
+from flagstone.sources import pages as PG
 from flagstone.sources.bindings import ITEMS, WRITE_ORDER, Tables, finding_columns
 
 SCALE_DIVISOR = 1000.0
@@ -229,8 +230,13 @@ def structured_evidence(t: Tables) -> DataFrame:
 
 @query("document_plan")
 def document_plan(t: Tables) -> DataFrame:
-    stored = t.documents().select("run_id", "url", F.lit("OK").alias("fetch_status"), "text", F.lit(None).cast("string").alias("note"))
-    return acquire.document_plan(t.company_pages(), stored.withColumn("run_id", F.lit(0).cast("bigint")))
+    """Against a store that holds three of four of the pages' links: fetched, pruned or failed."""
+    some = F.pmod(F.xxhash64("link"), F.lit(4))
+    stored = PG.page_links(PG.structure_pages(t.company_pages())).filter(some > 0).select(
+        F.col("company_id").alias("run_id"), F.col("link").alias("url"), F.when(some == 3, "FAILED").otherwise("OK").alias("fetch_status"),
+        F.when(some == 1, "text").alias("text"), F.lit(None).cast("string").alias("note"),
+    ).distinct()
+    return acquire.document_plan(t.company_pages(), stored)
 
 
 _BLANK_IDS = {1: "A1-02", 2: "A4-05", 3: "A3-05", 4: "A2-01", 5: "A9-04", 6: "A7a-13", 7: "A5-01"}

@@ -298,18 +298,18 @@ def unit_divisor(t: Tables) -> DataFrame:
 @query(
     "series_combine",
     with_ctes(
-        "SELECT company_id, yr - 1995 AS i, CASE WHEN profit_before_tax > 0 THEN floor(current_tax / profit_before_tax * 1000.0e0 + 0.5) / 10.0e0 END AS tax_pct "
-        "FROM extracts WHERE yr < 2000",
+        "SELECT c.company_id, n, i, CASE WHEN profit_before_tax > 0 THEN floor(current_tax / profit_before_tax * 1000.0e0 + 0.5) / 10.0e0 END AS tax_pct "
+        "FROM (SELECT company_id, n, unnest(range(0, n)) AS i FROM (SELECT DISTINCT company_id FROM extracts), (VALUES (5), (9)) v(n)) c "
+        "LEFT JOIN extracts e ON e.company_id = c.company_id AND e.yr - 1995 = c.i",
         "cells", extracts=_EXTRACT_CTE,
     ),
 )
 def series_combine(t: Tables) -> DataFrame:
-    five = F.lit(5)
-    pct = N.combine(
-        N.align(F.col("current_tax"), five), N.align(F.col("profit_before_tax"), five),
-        lambda a, b: F.when(b > 0, F.floor(a / b * 1000.0 + 0.5).cast("double") / 10.0),
-    )
-    return _extracts(t).filter("found").select("company_id", F.posexplode(pct).alias("i", "tax_pct"))
+    """Cut to five of the seven periods, and padded to nine."""
+    share = lambda a, b: F.when(b > 0, F.floor(a / b * 1000.0 + 0.5).cast("double") / 10.0)
+    each = _extracts(t).filter("found").select("company_id", "current_tax", "profit_before_tax", F.explode(F.array(F.lit(5), F.lit(9))).alias("n"))
+    pct = N.combine(N.align(F.col("current_tax"), F.col("n")), N.align(F.col("profit_before_tax"), F.col("n")), share)
+    return each.select("company_id", "n", F.posexplode(pct).alias("i", "tax_pct"))
 
 
 _SHOWN = {

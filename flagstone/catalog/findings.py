@@ -435,7 +435,7 @@ def _verdict_sql() -> str:
 @query("verdict_text", _verdict_sql())
 def verdict_text(t: Tables) -> DataFrame:
     c = {n: F.expr(e) for n, e in _VERDICT_IN.items()}
-    verdict = R.build_verdict(c["flag"], c["reason"], c["rationale"], F.col("amount"), c["kind"], c["expected"])
+    verdict = R.build_verdict(c["flag"], c["reason"], c["rationale"], F.col("amount"), c["kind"], c["expected"], fixed.VERDICT_CHARS)
     return t.findings().select(*LINE, verdict.alias("verdict"))
 
 

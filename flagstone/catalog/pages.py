@@ -83,10 +83,17 @@ _ANCHORS = (
 
 @query(
     "page_links",
-    with_ctes("SELECT page_id, pos, href, trim(regexp_replace(regexp_replace(label, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS label, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || href AS link FROM a WHERE href LIKE '/%'", a=_ANCHORS),
+    with_ctes(
+        "SELECT page_id, pos, href, trim(regexp_replace(regexp_replace(label, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS label, "
+        "CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN split_part(url, '/', 1) || href "
+        "WHEN href LIKE '/%' THEN site || href WHEN href LIKE '#%' THEN split_part(url, '#', 1) || href WHEN href LIKE '?%' THEN page || href "
+        "WHEN page = site THEN site || '/' || href ELSE regexp_extract(page, '^(.*/)', 1) || href END AS link "
+        "FROM (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS site, regexp_extract(url, '^([^?#]*)', 1) AS page FROM a)",
+        a=_ANCHORS,
+    ),
 )
 def page_links(t: Tables) -> DataFrame:
-    return PG.anchors(t.raw("pages")).filter(F.col("href").startswith("/"))
+    return PG.anchors(t.raw("pages"))
 
 
 @query(

@@ -164,7 +164,7 @@ def query_angles(t: Tables) -> DataFrame:
 
 @query(
     "date_window",
-    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 2 YEAR ELSE INTERVAL 25 YEAR END AS DATE)::VARCHAR AS from_date, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS to_date FROM orders",
+    "SELECT o_orderkey, (make_date((year(o_orderdate) - CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 25 END)::INT, month(o_orderdate)::INT, 1) + (day(o_orderdate)::INT - 1))::VARCHAR AS from_date, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS to_date FROM orders",
 )
 def date_window(t: Tables) -> DataFrame:
     section = F.when(F.col("o_orderkey") % 2 == 0, "A15").otherwise("A9")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flagstone.catalog.oracle import with_ctes
 from flagstone.catalog.registry import query
+from flagstone.operators.quota import usage_daily
 from flagstone.session import scratch_dir
 from flagstone.sources.bindings import CALL, DOCUMENT, RESULT_LOG, WRITE_ORDER, Tables
 from flagstone.streaming import jobs as J
@@ -29,18 +30,16 @@ def _appended(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
-_MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
-
-
 @query(
     "stream_usage_daily",
     with_ctes(
-        f"SELECT provider, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS requests, CAST(sum(tokens) AS DOUBLE) AS tokens FROM calls GROUP BY 1, 2 HAVING max(CAST(ts AS DATE)) + INTERVAL 1 DAY <= {_MARK}",
+        "SELECT provider, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS requests, CAST(sum(tokens) AS DOUBLE) AS tokens FROM calls GROUP BY 1, 2",
         "calls",
     ),
 )
 def stream_usage_daily(t: Tables) -> DataFrame:
     rows = _appended(t, J.stream_usage_daily(_stream(t, "events", CALL)), "usage")
+    rows = J.with_open_groups(rows, usage_daily(t.calls()), ["provider", "day"])
     return rows.select("provider", F.col("day").cast("string").alias("day"), "requests", F.col("tokens").cast("double").alias("tokens"))
 
 
@@ -83,12 +82,14 @@ def stream_progress(t: Tables) -> DataFrame:
 
 @query(
     "stream_idle_runs",
-    f"SELECT run_id, max(writes) AS most_writes, count(*) AS stretches FROM (SELECT run_id, s, count(*) AS writes, max(ts) AS last FROM (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS s FROM "
+    "SELECT run_id, max(writes) AS most_writes, count(*) AS stretches FROM (SELECT run_id, s, count(*) AS writes, max(ts) AS last FROM (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS s FROM "
     "(SELECT user_id AS run_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2) "
-    f"WHERE last + INTERVAL 12 MINUTE <= {_MARK} GROUP BY 1",
+    "GROUP BY 1",
 )
 def stream_idle_runs(t: Tables) -> DataFrame:
-    rows = _appended(t, J.stream_idle_runs(_stream(t, "events", ["user_id AS run_id", "ts"])), "idle")
+    writes = ["user_id AS run_id", "CAST(ts AS TIMESTAMP) AS ts"]
+    rows = _appended(t, J.stream_idle_runs(_stream(t, "events", writes)), "idle")
+    rows = J.with_open_groups(rows, J.stream_idle_runs(t.raw("events").selectExpr(*writes)), ["run_id", "last_write"])
     return rows.groupBy("run_id").agg(F.max("writes").alias("most_writes"), F.count(F.lit(1)).alias("stretches"))
 
 

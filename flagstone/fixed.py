@@ -28,8 +28,6 @@ CACHE_TTL_DAYS = 90
 AUDIT_MIN_ROWS = 20
 DIM_GUARD = 50
 VERDICT_CHARS = 700
-AUDIT_NOTE_CHARS = 900
-VALUE_CHARS = 200
 CHUNK_CHARS = 3000
 PASSAGES_KEPT = 4
 PASSAGE_BUDGET = 6500

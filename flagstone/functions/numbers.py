@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flagstone import fixed
+from flagstone.functions.text import trim_all
 
 _PLAIN_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _INFINITY = float("inf")
@@ -50,10 +51,13 @@ def fixed_text(value: Column, places: int) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Shortest plain form: no exponent, no trailing zeros, no point for whole numbers."""
-    is_whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
-    plain = F.regexp_replace(value.cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
-    return F.when(is_whole, value.cast("bigint").cast("string")).otherwise(plain)
+    """Shortest plain form: no exponent, no trailing zeros, no point for whole numbers. Values too
+    large or too small for a plain form keep the exponent of their shortest text."""
+    is_whole = F.abs(value) < F.lit(1e15)
+    is_whole = is_whole & (value == F.floor(F.when(is_whole, value)))
+    shown = F.when((F.abs(value) < F.lit(1e20)) & (F.abs(value) >= F.lit(1e-6)), value.try_cast("decimal(38,16)").cast("string"))
+    plain = F.when(F.contains(shown, F.lit(".")), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+    return F.when(is_whole, F.when(is_whole, value).cast("bigint").cast("string")).otherwise(F.coalesce(plain, value.cast("string")))
 
 
 def format_crore(value: Column) -> Column:
@@ -215,13 +219,13 @@ def sum_numbers(values: Column) -> Column:
 
 def latest_text(values: Column) -> Column:
     """Last entry that is not blank, trimmed."""
-    kept = F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != ""))
-    return F.trim(F.try_element_at(kept, F.lit(-1)))
+    kept = F.filter(values, lambda v: v.isNotNull() & (trim_all(v) != ""))
+    return trim_all(F.try_element_at(kept, F.lit(-1)))
 
 
 def trend_label(values: Column) -> Column:
     """rising, declining or stable between the first and last entry; n/a without two ends."""
-    kept = F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != ""))
+    kept = F.filter(values, lambda v: v.isNotNull() & (trim_all(v) != ""))
     return trend_of(first_number(F.get(kept, F.lit(0))), first_number(F.try_element_at(kept, F.lit(-1))))
 
 

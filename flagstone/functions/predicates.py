@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flagstone import fixed
+from flagstone.functions.text import trim_all
 
 
 def _low(text: Column) -> Column:
@@ -32,7 +33,7 @@ def is_committed(status: Column) -> Column:
 def is_na(value: Column) -> Column:
     """Missing, empty or the not-available text in any case."""
     return F.coalesce(
-        (value == "") | (F.lower(F.trim(value)) == fixed.NOT_AVAILABLE_TEXT), F.lit(True)
+        (value == "") | (F.lower(trim_all(value)) == fixed.NOT_AVAILABLE_TEXT), F.lit(True)
     )
 
 
@@ -43,7 +44,7 @@ def is_unlisted(ticker: Column) -> Column:
 def is_absence(text: Column) -> Column:
     """Reads as "we found nothing" rather than as a confirmation."""
     low = _low(text)
-    return (F.trim(low) == "") | low.rlike(fixed.ABSENCE)
+    return (trim_all(low) == "") | low.rlike(fixed.ABSENCE)
 
 
 def states_nil(text: Column) -> Column:
@@ -95,7 +96,7 @@ def provider_set(*providers: Column) -> Column:
 
 def normalise_enum(value: Column, domain: list[str]) -> Column:
     """Trimmed and upper-cased when in the domain, else null."""
-    upper = F.upper(F.trim(value))
+    upper = F.upper(trim_all(value))
     return F.when(upper.isin(*domain), upper)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flagstone import fixed
 from flagstone.functions import numbers as N
+from flagstone.functions import text as X
 from flagstone.functions.once import let, terms
 from flagstone.functions.predicates import is_absence, states_nil
 
@@ -160,7 +161,7 @@ def classify_band(value: Column, green: Column, red: Column) -> Column:
     return let(
         terms(
             in_green=N.in_band(N.parse_band(green), value), in_red=N.in_band(N.parse_band(red), value),
-            n=N.number_text(value), g=F.trim(F.coalesce(green, F.lit(""))), r=F.trim(F.coalesce(red, F.lit(""))),
+            n=N.number_text(value), g=X.trim_all(F.coalesce(green, F.lit(""))), r=X.trim_all(F.coalesce(red, F.lit(""))),
         ),
         decide,
     )
@@ -339,17 +340,18 @@ def reconcile_debt(doc_high: Column, debt_to_equity: Column) -> Column:
 
 
 def build_verdict(
-    flag: Column, reason: Column, rationale: Column, value: Column, kind: Column, expected_na: Column
+    flag: Column, reason: Column, rationale: Column, value: Column, kind: Column, expected_na: Column,
+    limit: int | None = None,
 ) -> Column:
-    """The reader-facing answer of one result."""
+    """The reader-facing answer of one result; whole, unless a display wants it cut."""
     trimmed = terms(
-        **{n: F.trim(F.coalesce(c, F.lit(""))) for n, c in [("reason", reason), ("rationale", rationale), ("value", value)]}
+        **{n: X.trim_all(F.coalesce(c, F.lit(""))) for n, c in [("reason", reason), ("rationale", rationale), ("value", value)]}
     )
     text = let(trimmed, lambda x: _verdict_text(x["reason"], x["rationale"], x["value"], kind))
     missing = F.when(F.coalesce(expected_na, F.lit(False)), fixed.EXPECTED_NA_VERDICT).otherwise(
         fixed.MISSING_VERDICT
     )
-    return F.when(flag == "NOT_AVAILABLE", missing).otherwise(F.substring(text, 1, fixed.VERDICT_CHARS))
+    return F.when(flag == "NOT_AVAILABLE", missing).otherwise(F.substring(text, 1, limit) if limit else text)
 
 
 def _verdict_text(reason: Column, rationale: Column, value: Column, kind: Column) -> Column:

@@ -145,11 +145,11 @@ def host_in(url: Column, domains: Sequence[str]) -> Column:
     return out
 
 
-def keywords_from(text: Column, hint: Column) -> Column:
-    """Up to eight distinct words of more than three letters, in order."""
+def keywords_from(text: Column, hint: Column, most: int = 8) -> Column:
+    """The first distinct words of more than three letters, in order."""
     base = F.lower(F.concat(text, F.lit(" "), F.coalesce(hint, F.lit(""))))
     words = F.filter(F.split(base, r"[^a-z0-9]+"), lambda w: F.length(w) > 3)
-    return F.slice(F.array_distinct(words), 1, 8)
+    return F.slice(F.array_distinct(words), 1, most)
 
 
 def count_hits(low_text: Column, term: Column) -> Column:
@@ -191,13 +191,13 @@ def fingerprint(text: Column) -> Column:
 
 def clean_name(raw: Column) -> Column:
     """A person's name without an honorific; null when it is not at least two words."""
-    name = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), fixed.HONORIFIC, ""))
+    name = trim_all(F.regexp_replace(F.coalesce(raw, F.lit("")), fixed.HONORIFIC, ""))
     return F.when((F.length(name) >= 4) & name.rlike(r"\s"), name)
 
 
 def search_query(name: Column, ticker: Column, topic: Column) -> Column:
     """A topic anchored to one company: name, country unless the name tells it, ticker."""
-    full, symbol = F.trim(F.coalesce(name, F.lit(""))), F.trim(F.coalesce(ticker, F.lit("")))
+    full, symbol = trim_all(F.coalesce(name, F.lit(""))), trim_all(F.coalesce(ticker, F.lit("")))
     who = F.when(full != "", full).otherwise(symbol)
     anchor = F.concat_ws(
         " ",

@@ -9,6 +9,8 @@ under a constant limit is pruned before the exchange, and max_by combines on the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ def numbered(
     """1-based position of each row in its key.
 
     `piece` must not decrease along the order (a time bucket, say), so positions inside a piece plus
-    the rows of all earlier pieces give the position in the key.
+    the rows of all earlier pieces give the position in the key. Null keys are a key like others and
+    rows without a piece come first, so no row is lost.
     """
     cut = df.withColumn("_piece", piece)
     inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
@@ -51,8 +54,10 @@ def numbered(
         .drop("_n")
     )
     placed = cut.withColumn("_in", F.row_number().over(inside))
+    other = offsets.withColumnsRenamed({c: f"_o_{c}" for c in [*keys, "_piece"]})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*keys, "_piece"]])
     return (
-        placed.join(offsets, [*keys, "_piece"])
+        placed.join(other, same)
         .withColumn(name, F.col("_before") + F.col("_in"))
-        .drop("_piece", "_in", "_before")
+        .drop("_piece", "_in", "_before", *[f"_o_{c}" for c in [*keys, "_piece"]])
     )

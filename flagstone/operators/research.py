@@ -29,7 +29,7 @@ def link_rank(label: Column) -> Column:
 
 def is_listing_link(label: Column) -> Column:
     """Navigation to a full list, not a document."""
-    low = F.lower(F.trim(label))
+    low = F.lower(X.trim_all(label))
     return (low == "all") | low.startswith("view all")
 
 
@@ -64,11 +64,12 @@ def hit_text() -> Column:
     return F.trim(F.concat_ws(" — ", some("title"), some("snippet")))
 
 
-def research_hits(hits: DataFrame) -> DataFrame:
+def research_hits(hits: DataFrame, keep_hits: int = 3, keep_research: int = 5) -> DataFrame:
     """Hits pooled over queries, de-duplicated, filtered and cut to the best few.
 
     Needs company_id, item_id, query_idx, pos, url, title, snippet, name and ticker. Research items
-    keep five and ignore filing hosts; items about persons need not name the company.
+    keep more and ignore filing hosts; items about persons need not name the company. How many are
+    kept is a parameter; `left_out` counts those beyond it for each company and item.
     """
     research = F.col("item_id").isin(*fixed.RESEARCH_ITEMS)
     person = F.col("item_id").isin(*fixed.PERSON_ITEMS)
@@ -79,15 +80,18 @@ def research_hits(hits: DataFrame) -> DataFrame:
         & (person | X.hit_relevant(said, F.col("name"), F.col("ticker")))
     )
     unique = dedup_by_url(hits.filter(keep), ["company_id", "item_id"], ["query_idx", "pos"])
-    best = top_k(unique, ["company_id", "item_id"], [F.asc("query_idx"), F.asc("pos"), F.asc("url")], 5)
+    best = top_k(unique, ["company_id", "item_id"], [F.asc("query_idx"), F.asc("pos"), F.asc("url")], max(keep_hits, keep_research))
+    total = unique.groupBy("company_id", "item_id").agg(F.count("*").alias("_all"))
+    limit = F.when(research, keep_research).otherwise(keep_hits)
+    best = best.join(total, ["company_id", "item_id"]).withColumn("left_out", F.greatest(F.col("_all") - limit, F.lit(0))).drop("_all")
     return (
-        best.filter((F.col("rn") <= 3) | research)
+        best.filter(F.col("rn") <= limit)
         .withColumn("passage", hit_text())
         .filter(F.col("passage") != "")
     )
 
 
-def query_angles(targets: DataFrame) -> DataFrame:
+def query_angles(targets: DataFrame, people_asked: int = 3) -> DataFrame:
     """Search queries of each target: plain, adverse and forum for research items, then persons.
 
     Needs company_id, item_id, name, ticker, topic and people array<string>.
@@ -100,7 +104,7 @@ def query_angles(targets: DataFrame) -> DataFrame:
     quoted = lambda n, tail: F.concat(F.lit('"'), n, F.lit('" ' + tail))
     people = F.flatten(
         F.transform(
-            F.slice(F.coalesce("people", F.expr("cast(array() as array<string>)")), 1, 3),
+            F.slice(F.coalesce("people", F.expr("cast(array() as array<string>)")), 1, people_asked),
             lambda n: F.array(quoted(n, "India " + fixed.ADVERSE_TERMS), quoted(n, fixed.PERSON_FORUM_TERMS)),
         )
     )
@@ -196,7 +200,7 @@ def audit_soften(results: DataFrame, findings: DataFrame, min_rows: int = fixed.
     return joined.select(
         *[c for c in results.columns if c not in ("flag", "verdict", "provider")],
         F.coalesce("corrected_flag", "flag").alias("flag"),
-        F.when(changed, F.substring(note, 1, fixed.AUDIT_NOTE_CHARS)).otherwise(F.col("verdict")).alias("verdict"),
+        F.when(changed, note).otherwise(F.col("verdict")).alias("verdict"),
         F.when(changed, F.concat_ws("+", "provider", F.lit("qa"))).otherwise(F.col("provider")).alias("provider"),
         changed.alias("softened"),
     )
@@ -217,7 +221,9 @@ def date_window(now: Column, section: Column) -> tuple[Column, Column]:
     """Search window: two years for current-market sections, else twenty-five."""
     today = F.to_date(now)
     years = F.when(section.isin(*fixed.RECENT_SECTIONS), fixed.RECENT_YEARS).otherwise(fixed.HISTORY_YEARS)
-    return F.add_months(today, -12 * years), today
+    # the day of the month is counted on from the first, so 29 February falls on 1 March where there is none
+    first = F.make_date(F.year(today) - years, F.month(today), F.lit(1))
+    return F.date_add(first, F.dayofmonth(today) - 1), today
 
 
 def choose_evidence(candidates: DataFrame) -> DataFrame:

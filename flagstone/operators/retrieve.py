@@ -233,8 +233,9 @@ def heading_passages(documents: DataFrame, searches: Sequence[Search], k: int =
 def document_evidence(documents: DataFrame, searches: Sequence[Search]) -> DataFrame:
     """Passages of each run and item: by heading where one is found, else by keyword.
 
-    Needs run_id, doc_id, doc_order, doc_type, unlisted and text.
+    Needs run_id, doc_id, doc_order, doc_type, unlisted and text; fetch_status is heeded if there.
     """
+    documents = with_text(documents)
     by_heading = heading_passages(documents, [s for s in searches if s.headings])
     columns = ["run_id", "item_id", "rn", "doc_id", "page", "passage"]
     found = by_heading.select("run_id", "item_id").distinct()
@@ -249,10 +250,11 @@ def document_evidence(documents: DataFrame, searches: Sequence[Search]) -> DataF
 def dedup_by_hash(documents: DataFrame, keys: Sequence[str] = ("run_id",), order: str = "doc_order") -> DataFrame:
     """The first of equal texts keeps its text, the others only name it.
 
-    Only texts that occur twice are looked up; the lookup side has one row per text, so a text with
+    Empty texts and documents that were not fetched have no hash and are nobody's copies. Only texts
+    that occur twice are looked up; the lookup side has one row per text, so a text with
     very many copies is split by the adaptive skew join rather than gathered in one window.
     """
-    hashed = documents.withColumn("content_hash", X.fingerprint(F.col("text")))
+    hashed = documents.withColumn("content_hash", F.when((F.col("text") != "") & _fetched(documents), X.fingerprint(F.col("text"))))
     on = [*keys, "content_hash"]
     copies = (
         hashed.groupBy(*on)
@@ -269,6 +271,16 @@ def dedup_by_hash(documents: DataFrame, keys: Sequence[str] = ("run_id",), order
     )
 
 
+def with_text(documents: DataFrame) -> DataFrame:
+    """Documents with text; where a fetch status is known it must be OK."""
+    some = F.col("text").isNotNull() & (F.col("text") != "")
+    return documents.filter(some & _fetched(documents))
+
+
+def _fetched(documents: DataFrame) -> Column:
+    return F.col("fetch_status") == "OK" if "fetch_status" in documents.columns else F.lit(True)
+
+
 def plan_refetch(links: DataFrame, documents: DataFrame) -> DataFrame:
     """What to do about each link: reuse a stored document, or fetch it (again)."""
     stored = documents.select(
@@ -288,14 +300,15 @@ def plan_refetch(links: DataFrame, documents: DataFrame) -> DataFrame:
 def select_feed(documents: DataFrame, max_chars: int = fixed.FEED_CHARS, pieces: int = 64) -> DataFrame:
     """Documents to read for a run's statements, in order until the characters are used up.
 
-    Statement-like names alone when there are any. A document's heading alone takes some thirty
-    characters, so more documents than max_chars/30 can never fit: an exact bound, applied per
-    piece of a run first, keeps a run with very many documents out of one task.
+    Only documents that were fetched and have text are read; statement-like names alone when there
+    are any. Each of them uses up its heading, some thirty characters, so more documents than
+    max_chars/30 can never fit: an exact bound, applied per piece of a run first, keeps a run with
+    very many documents out of one task.
     """
     head, tail = "\n===== DOCUMENT: ", " =====\n"
     size = F.length(F.concat(F.lit(head), F.coalesce("name", F.lit("financials")), F.lit(tail))) + F.length("text") + 1
     bound = max_chars // (len(head) + len(tail) + 1) + 1
-    named = documents.withColumn("is_statement", F.coalesce(F.col("name").rlike(fixed.STATEMENT_NAME), F.lit(False)))
+    named = with_text(documents).withColumn("is_statement", F.coalesce(F.col("name").rlike(fixed.STATEMENT_NAME), F.lit(False)))
     some = named.filter("is_statement").select("run_id").distinct().withColumn("_some", F.lit(True))
     fed = named.join(some, "run_id", "left").filter(F.col("_some").isNull() | F.col("is_statement")).drop("_some")
     fed = fed.withColumn("chars", size).drop("text").withColumn("_piece", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))

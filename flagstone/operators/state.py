@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,17 +33,16 @@ class Item:
 @dataclass(frozen=True)
 class Checklist:
     """The checklist is configuration of about a hundred entries, so it travels inside the plan as a
-    literal: giving every run its items is a row expansion, neither a join nor a broadcast."""
+    literal: giving every run its items is a row expansion, neither a join nor a broadcast. It is as
+    long as the caller's own list; a scope that names nothing known has no items and gives no rows."""
 
     items: tuple[Item, ...]
     sections: tuple[tuple[str, str], ...] = ()
-    limit: int = field(default=10000, repr=False)
-
-    def __post_init__(self) -> None:
-        if len(self.items) > self.limit:
-            raise ValueError("a checklist this long belongs in a table, not in a literal")
+    key_type: str = "string"
 
     def literal(self, columns: Sequence[str] = ("section_code", "non_negotiable")) -> Column:
+        if not self.items:
+            return self._typed(columns)
         names = dict(self.sections)
         rows = []
         for it in self.items:
@@ -55,6 +54,11 @@ class Checklist:
             rows.append(F.struct(*cols))
         return F.array(*rows)
 
+    def _typed(self, columns: Sequence[str]) -> Column:
+        """No items, with the types that items would have."""
+        some = Checklist((Item("" if self.key_type == "string" else 0, ""),), self.sections)
+        return F.filter(some.literal(columns), lambda _: F.lit(False))
+
     def scoped(self, item_ids: Sequence = (), sections: Sequence[str] = ()) -> Checklist:
         """Only the named items and sections; blank names are dropped, no name means all."""
         ids = {i.strip() if isinstance(i, str) else i for i in item_ids} - {""}
@@ -62,7 +66,10 @@ class Checklist:
         if not ids and not codes:
             return self
         kept = tuple(i for i in self.items if i.id in ids or i.section_code in codes)
-        return Checklist(kept, self.sections)
+        return replace(self, items=kept, key_type=self._key_type())
+
+    def _key_type(self) -> str:
+        return "int" if self.items and isinstance(self.items[0].id, int) else "string" if self.items else self.key_type
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.range(1).select(
@@ -80,17 +87,22 @@ def grid(runs: DataFrame, checklist: Checklist, columns: Sequence[str] = ("secti
 
 
 def results_by_run(results: DataFrame, checklist: Checklist, columns: Sequence[str]) -> DataFrame:
-    """One row per run: map item -> struct of columns. (run, item) is unique and the items are the
-    checklist's, so a map holds at most its length."""
+    """One row per run: map item -> struct of columns, one entry for each item of the checklist that
+    has a result. Of several results of one item the one with the greatest column values counts."""
     ids = [i.id for i in checklist.items]
     entry = F.struct(F.col("item_id"), F.struct(*columns))
     return (
         results.filter(F.col("item_id").isin(*ids))
         .groupBy("run_id")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("_by_item"))
+        .agg(F.sort_array(F.collect_set(entry)).alias("_sorted"))
+        .select("run_id", F.map_from_entries(F.filter("_sorted", _last_of_item)).alias("_by_item"))
     )
 
 
+def _last_of_item(entry: Column, i: Column) -> Column:
+    return ~F.get(F.col("_sorted"), i + 1)["item_id"].eqNullSafe(entry["item_id"])
+
+
 def items_with_results(
     runs: DataFrame, checklist: Checklist, results: DataFrame,
     columns: Sequence[str] = ("status", "flag"),

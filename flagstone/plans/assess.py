@@ -153,7 +153,7 @@ def run_assessment(
         F.when(skip, "not_applicable").when(deferred, "deferred").otherwise(F.col("rule_fired")).alias("rule_fired"),
         F.when(deferred, "DEFERRED").when(F.col("needs_review"), "NEEDS_REVIEW").otherwise("DONE").alias("status"),
         F.when(~deferred, F.col("flag")).alias("flag"),
-        F.when(skip, "not applicable").otherwise(F.substring("value", 1, fixed.VALUE_CHARS)).alias("value"),
+        F.when(skip, "not applicable").otherwise(F.col("value")).alias("value"),
         F.when(skip, fixed.LISTED_ONLY_VERDICT).when(~deferred, verdict).alias("verdict"),
         "evidence",
         F.when(skip | (F.col("source") == "structured"), 0.9).when(F.col("source") == "web", 0.3).otherwise(0.6).alias("confidence"),

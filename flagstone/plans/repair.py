@@ -50,7 +50,7 @@ def backfill(state: DataFrame, answers: DataFrame, opinions: DataFrame, scale: D
     none = F.lit(None).cast("string")
     return flagged.select(
         "run_id", "company_id", "item_id", "flag", "needs_review", "gate_pass", "rule_fired",
-        F.substring("value", 1, fixed.VALUE_CHARS).alias("value"),
+        "value",
         R.build_verdict(F.col("flag"), F.col("reason"), none, F.col("value"), F.col("kind"), F.lit(False)).alias("verdict"),
         F.when(F.col("needs_review"), "NEEDS_REVIEW").otherwise("DONE").alias("status"),
         P.provider_set(F.lit("research"), F.col("provider")).alias("provider"),

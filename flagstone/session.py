@@ -31,14 +31,6 @@ def build_session(app: str = "flagstone", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def quiet_columns(spark: SparkSession) -> None:
-    """Turn off call-site recording in a session somebody else built, where it may still be set."""
-    try:
-        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
-    except Exception:  # noqa: BLE001 - only a matter of speed
-        pass
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for stream checkpoints and materialised steps.
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flagstone.operators.state import Checklist, Item
-from flagstone.session import quiet_columns
 
 WRITE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
@@ -185,21 +184,18 @@ def finding_columns() -> list[str]:
 class Tables:
     """The tables of one data folder. Reads are lazy; nothing is cached."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        quiet_columns(spark)
+    def __init__(self, spark: SparkSession, folder: str, deal: int | None = None):
+        """`deal`: partitions for work that is heavy per row, where the caller knows that the files
+        cannot be split (one row group each). Left out, tables are read as they are split by size."""
+        self.spark, self.folder, self.deal = spark, folder, deal
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row.
-
-        A table of fewer files than cores would be read by a few tasks only, so its rows are dealt
-        out first. A table of many files is left as it is: no shuffle.
-        """
-        table, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if len(table.inputFiles()) < cores else table
+        """A table for work that is heavy per row, dealt out only if the caller asked for it."""
+        table = self.raw(name)
+        return table.repartition(self.deal) if self.deal else table
 
     def companies(self) -> DataFrame:
         return self.raw("supplier").selectExpr(*COMPANY)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flagstone import fixed
+from flagstone.functions.text import trim_all
 
 CHECKLIST_TYPE = (
     "title string, sections array<struct<code:string,name:string,items:array<struct<id:string,item:string,description:string,"
@@ -50,7 +51,7 @@ def intake(files: DataFrame, max_files: int = fixed.MAX_UPLOADS, max_bytes: int
         F.when(F.col("files") > max_files, f"at most {max_files} files")
         .when(F.col("bytes") > max_bytes, "too large (max 15 MB)")
         .when(~pdf, "not a PDF")
-        .when(F.coalesce(F.trim("text"), F.lit("")) == "", "no readable text (scanned PDF?)"),
+        .when(F.coalesce(trim_all(F.col("text")), F.lit("")) == "", "no readable text (scanned PDF?)"),
     ).withColumn("fetch_status", F.when(F.col("reason").isNull(), "OK").when(F.col("reason").startswith("no readable"), "EMPTY"))
 
 

@@ -37,6 +37,8 @@ PAGE_TYPE = (
     + ", peers struct<columns:array<string>,rows:array<array<string>>>, pros array<string>, cons array<string>, "
     "links array<struct<category:string,doc_type:string,pos:int,group_label:string,label:string,href:string>>"
 )
+#: Pages turned into Python objects at a time.
+PAGES_AT_ONCE = 64
 _VOID = {"br", "img", "hr", "input", "meta", "link", "col", "source", "wbr"}
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 
@@ -46,10 +48,12 @@ class _Node:
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
 
     def walk(self) -> Iterator[_Node]:
-        for part in self.parts:
-            if isinstance(part, _Node):
-                yield part
-                yield from part.walk()
+        """All nodes below, in document order. Pages may nest as deep as they like."""
+        waiting = [p for p in reversed(self.parts) if isinstance(p, _Node)]
+        while waiting:
+            node = waiting.pop()
+            yield node
+            waiting += [p for p in reversed(node.parts) if isinstance(p, _Node)]
 
     def all(self, tag: str | None = None, cls: str | None = None, id: str | None = None) -> list[_Node]:
         return [
@@ -60,7 +64,15 @@ class _Node:
         ]
 
     def raw(self) -> str:
-        return "".join(p if isinstance(p, str) else p.raw() for p in self.parts)
+        out: list[str] = []
+        waiting = list(reversed(self.parts))
+        while waiting:
+            part = waiting.pop()
+            if isinstance(part, str):
+                out.append(part)
+            else:
+                waiting += reversed(part.parts)
+        return "".join(out)
 
     def text(self) -> str:
         return re.sub(r"\s+", " ", self.raw()).strip()
@@ -172,11 +184,12 @@ def structure_pages(pages: DataFrame, keep: tuple[str, ...] = ("company_id", "ur
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            records = [{**{k: r[k] for k in keep}, **_read_page(r["html"])} for r in rows]
-            for r in records:
-                r["ratios"] = list(r["ratios"].items())
-            yield pa.RecordBatch.from_pylist(records, schema=arrow)
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                rows = batch.slice(start, PAGES_AT_ONCE).to_pylist()
+                records = [{**{k: r[k] for k in keep}, **_read_page(r["html"])} for r in rows]
+                for r in records:
+                    r["ratios"] = list(r["ratios"].items())
+                yield pa.RecordBatch.from_pylist(records, schema=arrow)
 
     return kept.mapInArrow(read, schema)
 

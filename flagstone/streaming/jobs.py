@@ -7,7 +7,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from flagstone import fixed
 from flagstone.functions.predicates import is_committed
@@ -30,18 +29,6 @@ def start_table(stream: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
 
-def _latest_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version written under a path, before a given batch."""
-    try:
-        versions = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    if below is not None:
-        versions = versions.filter(F.col("version") < below)
-    newest = versions.agg(F.max("version")).first()[0]
-    return None if newest is None else versions.filter(F.col("version") == newest).drop("version")
-
-
 # --- usage ------------------------------------------------------------------------------------------------
 def stream_usage_daily(calls: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Requests and tokens per provider and UTC day; a day is given out once it can no longer change."""
@@ -53,6 +40,16 @@ def stream_usage_daily(calls: DataFrame, watermark: str = "1 hour") -> DataFrame
     )
 
 
+def with_open_groups(closed: DataFrame, everything: DataFrame, keys: list[str]) -> DataFrame:
+    """The closing pass of a stream that has ended: groups given out, and those still open at the end.
+
+    `everything` is the batch twin over the same rows; only its groups that were not given out count.
+    """
+    done = closed.select(*[F.col(k).alias(f"_d_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
+    return closed.unionByName(everything.join(done, same, "left_anti"))
+
+
 # --- result writes -------------------------------------------------------------------------------------------
 def stream_upsert(writes: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
     """Result writes to a log with one folder per batch.
@@ -80,49 +77,23 @@ def compact_log(spark: SparkSession, log_path: str, target: str, keys: list[str]
 
 
 # --- failure streaks -------------------------------------------------------------------------------------------
-def stream_streaks(calls: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Running failure streaks per key: calls, tail, longest, last_ts.
+def stream_streaks(calls: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Calls to a log with one folder per batch, from which `read_streaks` works out the streaks.
 
-    A batch is summarised per key like any table, then joined to the summaries so far, so a busy key
-    is never walked through in one task. Calls older than the key's newest one come too late to be
-    put in order and are left out. State is written as one version per batch, from the version
-    before it, so a retried batch gives the same version.
+    The order of calls is (ts, call_id), whatever batch they came in, so calls of equal time and calls
+    that come late count like all others. A retried batch overwrites its own folder.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = _latest_version(spark, state_path, below=batch_id)
-        if old is not None:
-            seen = old.select("key", F.col("last_ts").alias("_seen"))
-            batch = batch.join(seen, "key", "left").filter(F.col("_seen").isNull() | (F.col("ts") > F.col("_seen"))).drop("_seen")
-        latest = batch.groupBy("key").agg(F.max("ts").alias("last_ts"))
-        new = streak_summary(batch).join(latest, "key")
-        if old is not None:
-            new = _append_summaries(old, new)
-        version = os.path.join(state_path, f"version={batch_id}")
-        new.select("key", "calls", "tail", "longest", "last_ts").write.mode("overwrite").parquet(version)
-
-    return calls.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _append_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
-    o, n = old.alias("o"), new.alias("n")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
-    all_failed = zero("n.head") == zero("n.calls")
-    return o.join(n, "key", "full").select(
-        "key",
-        (zero("o.calls") + zero("n.calls")).alias("calls"),
-        F.when(all_failed, zero("o.tail") + zero("n.calls")).otherwise(zero("n.tail")).alias("tail"),
-        F.greatest(zero("o.longest"), zero("n.longest"), zero("o.tail") + zero("n.head")).alias("longest"),
-        F.coalesce("n.last_ts", "o.last_ts").alias("last_ts"),
-    )
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.select("key", "ts", "call_id", "ok").write.mode("overwrite").parquet(os.path.join(log_path, f"batch_id={batch_id}"))
+
+    return calls.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_streaks(spark: SparkSession, state_path: str, retire_at: int = fixed.RETIRE_AFTER) -> DataFrame:
-    newest = _latest_version(spark, state_path)
-    if newest is None:
-        raise ValueError(f"no streaks were written under {state_path}")
-    return newest.withColumn("retired", F.col("longest") >= retire_at)
+def read_streaks(spark: SparkSession, log_path: str, retire_at: int = fixed.RETIRE_AFTER) -> DataFrame:
+    """Failure streaks per key over all calls landed: calls, tail, longest, retired."""
+    summary = streak_summary(spark.read.parquet(log_path).drop("batch_id"))
+    return summary.select("key", "calls", "tail", "longest", (F.col("longest") >= retire_at).alias("retired"))
 
 
 # --- progress -------------------------------------------------------------------------------------------------
