@@ -13,6 +13,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEPS = (np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D))
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
+#: Powers that a worker keeps between calls; longer runs are worked out again, so that idle workers hold little.
+KEPT = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -24,12 +26,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: np.uint64, n: int, name: str) -> np.ndarray:
-    """base^0 .. base^(n-1), kept for the next call of the same name."""
+    """base^0 .. base^(n-1); short runs are kept for the next call of the same name."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        have = _powers[name] = np.multiply.accumulate(out)
+        have = np.full(max(n, KEPT), base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if n <= KEPT:
+            _powers[name] = have
     return have[:n]
 
 

@@ -36,7 +36,7 @@ from flagstone.llm.words import Growing, WordTable, chunks, gather_runs
 MARK = "▁"
 FLATTEN = 10.0
 OPEN = 40
-WORDS_AT_ONCE, TEXT_AT_ONCE = 20_000, 1_000_000
+WORDS_AT_ONCE, TEXT_AT_ONCE = 10_000, 500_000
 _SAMPLE, _WORD, _PIECE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -118,7 +118,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattices(WordTable):
     """The lattice of each word: nodes between characters, edges for pieces, likeliest first at each node."""
 
-    def __init__(self, path: str, limit: int = 450_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         super().__init__(limit)
         self.vocabulary = vocabulary(path)
         self.reset()

@@ -78,7 +78,7 @@ class Growing:
     def extend(self, values: np.ndarray) -> None:
         need = self.size + len(values)
         if need > len(self.data):
-            self.data = np.concatenate([self.data, np.empty(max(need - len(self.data), len(self.data)), self.data.dtype)])
+            self.data = np.concatenate([self.data, np.empty(max(need - len(self.data), len(self.data) // 4), self.data.dtype)])
         self.data[self.size : need] = values
         self.size = need
 

@@ -221,7 +221,7 @@ def test_pieces_decode_and_repeat(spark, edges):
     by = Counter((r.doc_id, tuple(r.ids)) for r in rows if r.doc_id not in (1, None, 17))
     assert max(by.values()) == 1
     again = pieces.sample_pieces(docs.repartition(7), k=3).collect()
-    assert Counter(map(str, again)) == Counter(map(str, rows))
+    assert Counter((r.doc_id, r.sample, tuple(r.ids)) for r in again) == Counter((r.doc_id, r.sample, tuple(r.ids)) for r in rows)
 
 
 # 6
@@ -251,7 +251,7 @@ def test_keep_good_keeps_columns(spark, edges):
 def test_license_spans(spark):
     mit = licences.TEMPLATES[2][1]
     edited = mit.replace("free of charge", "at no charge").replace("copies or substantial", "or substantial")
-    rows = [(1, f"Some code here.\n{edited}\nEnd."), (2, "licensed UNDER the apache license version 2.0 twice: Licensed under the Apache License, Version 2.0."), (3, None), (4, ""),
+    rows = [(1, f"Some code here.\n{edited}\nEnd."), (2, "licensed UNDER the apache license version 2.0 and some words in between that belong to none of both, then Licensed under the Apache License, Version 2.0."), (3, None), (4, ""),
             (5, "the license of the version is under the public"), (None, "Licensed under CC BY-NC 4.0."), (6, "x " * 3000 + "Licensed under CC BY-SA 4.0.")]
     got = licences.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.license) for r in got) == [(0, "cc-by-nc-4.0"), (1, "mit"), (2, "apache-2.0"), (2, "apache-2.0"), (6, "cc-by-sa-4.0")]
