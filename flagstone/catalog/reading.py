@@ -334,6 +334,32 @@ def member_breakdown(t: Tables) -> DataFrame:
     return R.member_breakdown(members, limit=30)
 
 
+@query(
+    "member_table",
+    "SELECT l_orderkey AS group_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC NULLS LAST, name) AS position, name, coalesce(CAST(n AS VARCHAR), '—') AS shown, "
+    "CASE WHEN n > 30 THEN 'Overboarded' ELSE 'OK' END AS status FROM "
+    "(SELECT l_orderkey, lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS name, CASE WHEN l_partkey % 6 <> 0 THEN CAST(l_quantity AS INT) END AS n FROM lineitem)",
+)
+def member_table(t: Tables) -> DataFrame:
+    members = t.raw("lineitem").selectExpr(
+        "l_orderkey AS group_id", "LPAD(CAST(l_partkey AS STRING), 8, '0') AS name", "CASE WHEN l_partkey % 6 <> 0 THEN CAST(l_quantity AS INT) END AS n"
+    )
+    return R.member_table(members, limit=30)
+
+
+@query(
+    "coverage_gaps",
+    "SELECT *, gaps || ' competency gap(s) — ' || skills || ' competencies identified, ' || (skills - gaps) || ' covered' AS value FROM "
+    "(SELECT l_orderkey AS group_id, count(*) AS skills, count(*) FILTER (l_linenumber % 3 = 0) AS gaps FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1)",
+)
+def coverage_gaps(t: Tables) -> DataFrame:
+    skills = t.raw("lineitem").selectExpr(
+        "l_orderkey AS group_id", "CASE l_partkey % 5 WHEN 0 THEN ' \n' ELSE 'skill' END AS skill",
+        "CASE l_linenumber % 3 WHEN 0 THEN false WHEN 1 THEN true END AS covered",
+    )
+    return R.coverage_gaps(skills)
+
+
 @query(
     "share_pct",
     "SELECT l_orderkey, floor(count(*) FILTER (l_returnflag = 'A') / count(*) * 100.0e0 * 10.0e0 + 0.5) / 10.0e0 AS pct FROM lineitem GROUP BY 1",

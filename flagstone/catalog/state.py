@@ -131,6 +131,17 @@ def dim_sync(t: Tables) -> DataFrame:
     return S.sync_dimension(current, source, "part_id")
 
 
+@query(
+    "dim_sync_results",
+    "SELECT l_orderkey, l_linenumber, l_partkey AS part_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 40)",
+)
+def dim_sync_results(t: Tables) -> DataFrame:
+    """The results of items that the source no longer names go with them."""
+    source = t.raw("part").filter("p_size < 40").select(F.col("p_partkey").alias("part_id"))
+    results = t.raw("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part_id"))
+    return S.prune_results(results, S.stale_ids(results, source, "part_id"), "part_id")
+
+
 @query("audit_unique", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def audit_unique(t: Tables) -> DataFrame:
     return S.audit_unique(t.raw("lineitem"), ["l_orderkey", "l_linenumber"])

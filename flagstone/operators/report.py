@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from flagstone import fixed
 from flagstone.functions import numbers as N
 from flagstone.functions import predicates as P
+from flagstone.functions.text import trim_all
 from flagstone.operators.classify import not_applicable
+from flagstone.operators.ordering import numbered
 from flagstone.operators.state import Checklist, latest_runs
 
 
@@ -332,6 +334,35 @@ def tally(df: DataFrame, *columns: str) -> DataFrame:
 
 
 # --- breakdowns -----------------------------------------------------------------------------------------
+def member_table(members: DataFrame, limit: int = 7) -> DataFrame:
+    """The members of each group, the busiest first, those without a stated count last, ties by name.
+
+    Positions are counted in pieces of one count each, so a group of very many members is not sorted
+    in one task.
+    """
+    stated = F.coalesce(F.col("n"), F.lit(-1))
+    placed = numbered(members.withColumn("_rank", -stated), ["group_id"], F.col("_rank"), ["_rank", "name"])
+    return placed.select(
+        "group_id", "position", "name", F.coalesce(F.col("n").cast("string"), F.lit("—")).alias("shown"),
+        F.when(F.col("n") > limit, "Overboarded").otherwise("OK").alias("status"),
+    )
+
+
+def coverage_gaps(skills: DataFrame) -> DataFrame:
+    """Per group: skills named, those no member covers, and the line that leads the answer.
+
+    Needs group_id, skill and covered; blank skills are left out and an unknown coverage is none missing.
+    """
+    named = skills.filter(trim_all(F.coalesce("skill", F.lit(""))) != "")
+    counted = named.groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("skills"), F.count_if(F.coalesce(~F.col("covered"), F.lit(False))).alias("gaps")
+    )
+    line = F.concat_ws(
+        "", "gaps", F.lit(" competency gap(s) — "), "skills", F.lit(" competencies identified, "), (F.col("skills") - F.col("gaps")), F.lit(" covered")
+    )
+    return counted.withColumn("value", line)
+
+
 def member_breakdown(members: DataFrame, limit: int = 7) -> DataFrame:
     """Per group: how many members, the largest count, how many above the limit, and the busiest.
 

@@ -238,13 +238,13 @@ def document_evidence(documents: DataFrame, searches: Sequence[Search]) -> DataF
     documents = with_text(documents)
     by_heading = heading_passages(documents, [s for s in searches if s.headings])
     columns = ["run_id", "item_id", "rn", "doc_id", "page", "passage"]
-    found = by_heading.select("run_id", "item_id").distinct()
-    by_keyword = apply_budget(
-        top_passages(split_pages(documents), searches), F.lit(fixed.PASSAGE_BUDGET)
-    ).join(found, ["run_id", "item_id"], "left_anti")
-    return by_heading.select(*columns, F.lit("heading").alias("found_by")).unionByName(
+    by_keyword = apply_budget(top_passages(split_pages(documents), searches), F.lit(fixed.PASSAGE_BUDGET))
+    both = by_heading.select(*columns, F.lit("heading").alias("found_by")).unionByName(
         by_keyword.select(*columns, F.lit("keyword").alias("found_by"))
     )
+    # a key has at most twice the passages kept, so looking both ways at once is cheaper than locating headings twice
+    any_heading = F.max(F.col("found_by") == "heading").over(Window.partitionBy("run_id", "item_id"))
+    return both.withColumn("_any", any_heading).filter((F.col("found_by") == "heading") | ~F.col("_any")).drop("_any")
 
 
 def dedup_by_hash(documents: DataFrame, keys: Sequence[str] = ("run_id",), order: str = "doc_order") -> DataFrame:

@@ -183,6 +183,11 @@ def sync_dimension(current: DataFrame, source: DataFrame, key: str, guard: int =
     return source.unionByName(kept.join(stale, key, "left_anti"))
 
 
+def prune_results(results: DataFrame, stale: DataFrame, key: str) -> DataFrame:
+    """Results without those of ids that `sync_dimension` dropped; an id's rows go together, whatever their run."""
+    return results.join(stale.select(key), key, "left_anti")
+
+
 # --- planning -------------------------------------------------------------------------------------------
 def plan_todo(
     runs: DataFrame, checklist: Checklist, results: DataFrame, *, force: bool = False,
