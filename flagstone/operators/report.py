@@ -25,9 +25,10 @@ def section_rollup(state: DataFrame) -> DataFrame:
     A flag of an uncommitted result is stale and counts nowhere.
     """
     live = F.when(P.is_committed(F.col("status")), F.col("flag"))
-    return (
+    counts = ["green", "red", "neutral", "na", "total"]
+    by_section = (
         state.withColumn("_live", live)
-        .groupingSets([["run_id", "section_code"], ["run_id"]], "run_id", "section_code")
+        .groupBy("run_id", "section_code")
         .agg(
             _flag_count("GREEN", F.col("_live")).alias("green"),
             _flag_count("RED", F.col("_live")).alias("red"),
@@ -36,6 +37,11 @@ def section_rollup(state: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("total"),
         )
     )
+    # a run has few sections; its total joins them in the same partition, where grouping sets would shuffle twice the rows
+    own = F.struct("section_code", *counts)
+    whole = F.struct(F.lit(None).cast("string").alias("section_code"), *[F.sum(c).alias(c) for c in counts])
+    by_run = by_section.groupBy("run_id").agg(F.concat(F.collect_list(own), F.array(whole)).alias("_rows"))
+    return by_run.select("run_id", F.explode("_rows").alias("_row")).select("run_id", "_row.*")
 
 
 def gate(state: DataFrame) -> DataFrame:
