@@ -63,13 +63,13 @@ _DOC_LINKS = [
 ]
 
 
-@query(
-    "page_documents",
-    " UNION ALL ".join(
-        f"SELECT s_suppkey AS company_id, '{c}' AS category, '{n}' AS label, 'https://pages.example.org{h}'" + (" || s_suppkey" if c == "annual_report" else "") + " AS link FROM supplier"
-        for c, n, h in _DOC_LINKS
-    ),
+PAGE_DOCUMENTS_SQL = " UNION ALL ".join(
+    f"SELECT s_suppkey AS company_id, '{c}' AS category, '{n}' AS label, 'https://pages.example.org{h}'" + (" || s_suppkey" if c == "annual_report" else "") + " AS link FROM supplier"
+    for c, n, h in _DOC_LINKS
 )
+
+
+@query("page_documents", PAGE_DOCUMENTS_SQL)
 def page_documents(t: Tables) -> DataFrame:
     return PG.page_links(structured(t)).select("company_id", "category", "label", "link")
 
