@@ -37,7 +37,8 @@ SHINGLE, HASHES, STEP, BANDS, ROWS = 5, 128, 32, 20, 3
 #: Similarity of at least 4 / 5, in whole numbers.
 OVER, UNDER = 4, 5
 TOLERANCE = 1e-9
-TILE = 512
+#: Members and shingles of one part of a band key; a tile holds two parts at most.
+TILE, TILE_SHINGLES = 512, 2_000_000
 #: A broadcast of candidate keys is checked against this many rows (16 bytes each); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 2_000_000
 
@@ -115,9 +116,9 @@ def _signed(docs: DataFrame) -> DataFrame:
                     packed[i] = sigs[i].tobytes()
                 blank = pa.array(np.diff(starts) == 0)
                 k1, k2 = (pc.if_else(blank, pa.scalar(None, pa.int64()), part.column(c)) for c in (2, 3))
-                yield pa.record_batch([part.column(0), k1, k2, pa.array(packed, pa.binary())], names=["doc_id", "k1", "k2", "sig"])
+                yield pa.record_batch([part.column(0), k1, k2, np.diff(starts), pa.array(packed, pa.binary())], names=["doc_id", "k1", "k2", "size", "sig"])
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, size long, sig binary")
 
 
 def keys_of(text: F.Column) -> list[F.Column]:
@@ -132,19 +133,21 @@ def _bands(classes: DataFrame) -> DataFrame:
                 continue
             sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
             at = np.repeat(np.arange(batch.num_rows), BANDS)
-            k1, k2 = (batch.column(i).to_numpy()[at] for i in (0, 1))
-            yield pa.record_batch([band_keys(sigs).ravel(), np.tile(np.arange(BANDS, dtype=np.int32), len(sigs)), k1, k2], names=["key", "band", "k1", "k2"])
+            k1, k2, size = (batch.column(i).to_numpy()[at] for i in (0, 1, 3))
+            bands = np.tile(np.arange(BANDS, dtype=np.int32), len(sigs))
+            yield pa.record_batch([band_keys(sigs).ravel(), bands, k1, k2, size], names=["key", "band", "k1", "k2", "size"])
 
-    return classes.select("k1", "k2", "sig").mapInArrow(run, "key long, band int, k1 long, k2 long")
+    return classes.select("k1", "k2", "sig", "size").mapInArrow(run, "key long, band int, k1 long, k2 long, size long")
 
 
 def _tiled(bands: DataFrame) -> DataFrame:
     """The members of every band key with two or more, dealt to tiles of bounded size."""
-    keys = bands.groupBy("key", "band").agg(F.count("*").alias("n"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2")).filter("n > 1")
+    total = F.sum("size").alias("total")
+    keys = bands.groupBy("key", "band").agg(F.count("*").alias("n"), total, F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2")).filter("n > 1")
     # the first of all bands with the same members stands for the others
-    once = keys.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "n")
+    once = keys.groupBy("n", "total", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "n", "total")
     members = bands.join(once, "key")
-    parts = F.ceil(F.col("n") / TILE).cast("int")
+    parts = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
     members = members.select("key", "band", "k1", "k2", parts.alias("parts"), F.pmod(F.xxhash64("k2", "k1"), parts).cast("int").alias("part"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     members = members.select("key", "band", "k1", "k2", "part", other)
@@ -256,10 +259,10 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows as ``doc_id``, ``k1``, ``k2``; and for each text its links, its copies, its group's least
     doc_id (``head``) and whether it is the text that stands for the group."""
     rows = written(_signed(docs), "signed")
-    each = rows.filter("k1 is not null").groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("n"), F.first("sig").alias("sig"))
+    each = rows.filter("k1 is not null").groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"))
-    classes = each.groupBy("k1", "k2").agg(F.min(first).alias("f"), F.sum("n").alias("n_rows"), F.first("sig").alias("sig"))
-    classes = written(classes.select("k1", "k2", F.col("f.d").alias("first"), "n_rows", "sig"), "classes")
+    classes = each.groupBy("k1", "k2").agg(F.min(first).alias("f"), F.sum("n").alias("n_rows"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = written(classes.select("k1", "k2", F.col("f.d").alias("first"), "n_rows", "size", "sig"), "classes")
     links = linked_classes(docs, classes)
     edges = links.select(F.struct("k1", "k2").alias("a"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("b"))
     labels = label_components(edges).select("node.k1", "node.k2", "label")

@@ -279,9 +279,10 @@ def test_alignment_against_full_table():
 # 8
 
 
-@pytest.mark.parametrize("tile", [512, 3])
-def test_jaccard_groups(tile, spark, edges, monkeypatch):
+@pytest.mark.parametrize(("tile", "shingles"), [(512, 2_000_000), (3, 2_000_000), (512, 700)])
+def test_jaccard_groups(tile, shingles, spark, edges, monkeypatch):
     monkeypatch.setattr(near_duplicates, "TILE", tile)
+    monkeypatch.setattr(near_duplicates, "TILE_SHINGLES", shingles)
     for folder in (edges, DATA):
         rows = [(r["doc_id"], r["text"]) for r in table(folder)]
         got = near_duplicates.join(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "class_id", "n_links").collect()
