@@ -14,22 +14,20 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flagstone.llm.common import ragged_starts
+from flagstone.llm.token_files import PLAIN, load
 from flagstone.llm.words import Growing, WordTable, chunks, split_texts
 
-#: White space, the vocabulary's pre-token pattern and its mark of a word's end.
-SPACE = r"[\t-\r\x20\x85\xa0  -     　]"
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The vocabulary's mark of a word's end.
 WORD_END = "</w>"
 NONE = np.uint32(0xFFFFFFFF)
 
@@ -60,9 +58,10 @@ class Merges:
         signs = byte_signs()
         self.inner = np.array([vocabulary[s] for s in signs], np.int64)
         self.last = np.array([vocabulary[s + WORD_END] for s in signs], np.int64)
+        self.byte_of = {s: b for b, s in enumerate(signs)}
         specials = [t["content"] for t in content["added_tokens"]]
-        self.specials = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        self.pattern = regex.compile(PRE_TOKENS.replace(r"\s", SPACE[1:-1]))
+        self.specials = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        self.library = load(path)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, ``NONE`` where the vocabulary has no such merge."""
@@ -70,14 +69,19 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], NONE)
 
-    def pre_tokens(self, word: str) -> tuple[int, list[str]]:
-        """How many special strings stand in a word, and the pre-tokens of the rest."""
+    def pre_tokens(self, word: str) -> tuple[int, list[bytes]]:
+        """How many special strings stand in a word, and the pre-tokens of the rest.
+
+        Plain words are letters and a run of marks. Others are brought to form and cut by the
+        vocabulary's own rules, since which characters are letters depends on their version.
+        """
+        if m := PLAIN.fullmatch(word):
+            return 0, [x.encode() for x in (m[1].lower(), m[2]) if x]
         parts = self.specials.split(word) if self.specials else [word]
-        found: list[str] = []
+        found: list[bytes] = []
         for part in parts:
-            part = unicodedata.normalize("NFC", part)
-            lower = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            found += self.pattern.findall(lower)
+            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+            found += [bytes([self.byte_of[c] for c in piece]) for piece, _ in cut]
         return len(parts) - 1, found
 
     def survivors(self, sequences: list[bytes]) -> np.ndarray:
@@ -139,12 +143,11 @@ class CountedWords(WordTable):
 
     def add(self, words: list[bytes]) -> None:
         cut = [self.merges.pre_tokens(w.decode("utf-8", "replace")) for w in words]
-        own = [[p.encode() for p in found] for _, found in cut]
-        new = list({p for found in own for p in found}.difference(self.known))
+        new = list({p for _, found in cut for p in found}.difference(self.known))
         if new:
             self.known.update(zip(new, self.merges.survivors(new).tolist(), strict=True))
         known = self.known
-        self.counts.extend(np.fromiter((n + sum([known[p] for p in found]) for (n, _), found in zip(cut, own, strict=True)), np.int64, len(words)))
+        self.counts.extend(np.fromiter((n + sum([known[p] for p in found]) for n, found in cut), np.int64, len(words)))
 
     def count(self, texts: list[bytes | None]) -> np.ndarray:
         words, offsets = split_texts(texts)

@@ -35,7 +35,7 @@ from flagstone.llm.words import Growing, WordTable, chunks, gather_runs, split_t
 END = 1
 BLOCK_IDS = 1 << 18
 #: Letters that lower case and normal form map one to one, then a run of marks that stays together.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]*)([.,!|#$%&*:;]*)")
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]*)([.,!|#$%&*:;]*)")
 
 
 def default_tokenizer() -> str:
@@ -70,7 +70,7 @@ class EncodedWords(WordTable):
         texts = [w.decode("utf-8", "replace") for w in words]
         parts = np.zeros(len(words), np.int64)
         for i, text in enumerate(texts):
-            if m := _PLAIN.fullmatch(text):
+            if m := PLAIN.fullmatch(text):
                 parts[i] = bool(m[1]) + bool(m[2])
         plain, odd = np.flatnonzero(parts), np.flatnonzero(parts == 0)
         lines = [" ".join([texts[i] for i in plain[k : k + 500]]) for k in range(0, len(plain), 500)]
