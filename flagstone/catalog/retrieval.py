@@ -217,7 +217,9 @@ def link_rank(t: Tables) -> DataFrame:
     from flagstone.operators.ordering import numbered
 
     ranked = links(t).filter("category = 'concall'").withColumn("rank", RS.link_rank(F.col("label")))
-    return numbered(ranked, ["run_id"], F.col("rank"), ["rank", "doc_id"], "place").select("run_id", "doc_id", "rank", "place")
+    # a rank may hold most links of a run, so its pieces are id ranges too
+    piece = F.struct("rank", F.floor(F.col("doc_id") / 1024).alias("ids"))
+    return numbered(ranked, ["run_id"], piece, ["rank", "doc_id"], "place").select("run_id", "doc_id", "rank", "place")
 
 
 @query(

@@ -24,14 +24,15 @@ def daily_cap(provider: Column, caps: dict[str, int], default: int) -> Column:
 
 
 def admit_daily(
-    calls: DataFrame, caps: dict[str, int] = fixed.DAILY_CAPS, default: int = fixed.DEFAULT_DAILY_CAP
+    calls: DataFrame, caps: dict[str, int] = fixed.DAILY_CAPS, default: int = fixed.DEFAULT_DAILY_CAP, piece: str = "minute"
 ) -> DataFrame:
     """The nth call of a provider's day is SERVED up to the cap, else DEFERRED.
 
-    A busy provider's day is cut by minute, so no task sees more than a minute of one provider.
+    A busy provider's day is cut into pieces of time (`piece`, a unit that date_trunc knows), so no
+    task sees more than one piece of one provider; narrower pieces serve bursts.
     """
     daily = calls.withColumn("day", F.to_date("ts"))
-    placed = numbered(daily, ["provider", "day"], F.date_trunc("minute", "ts"), ["ts", "call_id"], "nth")
+    placed = numbered(daily, ["provider", "day"], F.date_trunc(piece, "ts"), ["ts", "call_id"], "nth")
     admitted = F.col("nth") <= daily_cap(F.col("provider"), caps, default)
     return placed.withColumn("admission", F.when(admitted, "SERVED").otherwise("DEFERRED"))
 
@@ -42,16 +43,16 @@ def failure_streaks(calls: DataFrame, retire_at: int = fixed.RETIRE_AFTER) -> Da
     return longest.withColumn("retired", F.col("longest_streak") >= retire_at)
 
 
-def streak_summary(calls: DataFrame) -> DataFrame:
+def streak_summary(calls: DataFrame, piece: str = "hour") -> DataFrame:
     """Per key: calls, leading failures (head), trailing failures (tail) and the longest run.
 
-    Two such summaries of consecutive stretches combine into one. Positions inside an hour are
-    exact; a run that began earlier is carried in from the hours before, which are summarised to
-    one row each, so no task sees more than an hour of one key.
+    Two such summaries of consecutive stretches combine into one. Positions inside a piece of
+    time are exact; a run that began earlier is carried in from the pieces before, which are summarised
+    to one row each, so no task sees more than one piece (an hour by default) of one key.
     """
     inside = Window.partitionBy("key", "_piece").orderBy("ts", "call_id")
     row = (
-        calls.withColumn("_piece", F.date_trunc("hour", "ts"))
+        calls.withColumn("_piece", F.date_trunc(piece, "ts"))
         .withColumn("_pos", F.row_number().over(inside))
         .withColumn("_last_ok", F.max(F.when(F.col("ok"), F.col("_pos"))).over(inside))
     )

@@ -124,3 +124,14 @@ def test_groups_still_open_at_the_end_come_out(spark):
     closed = spark.createDataFrame([("a", 1, 5), (None, 1, 2)], "k string, d int, n int")
     twin = spark.createDataFrame([("a", 1, 5), (None, 1, 2), ("a", 2, 3)], "k string, d int, n int")
     assert sorted((r["k"] or "", r["d"], r["n"]) for r in jobs.with_open_groups(closed, twin, ["k", "d"]).collect()) == [("", 1, 2), ("a", 1, 5), ("a", 2, 3)]
+
+
+def test_pieces_of_time_do_not_change_the_result(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1, 8) + datetime.timedelta(seconds=s)
+    rows = [("k", n, at(n * 7), n % 11 == 0) for n in range(400)]
+    calls = spark.createDataFrame(rows, "key string, call_id long, ts timestamp, ok boolean")
+    want = quota.streak_summary(calls).collect()
+    assert all(quota.streak_summary(calls, piece).collect() == want for piece in ("second", "minute", "day"))
+    asked = calls.withColumnRenamed("key", "provider")
+    served = lambda piece: {r["call_id"] for r in quota.admit_daily(asked, {"k": 57}, piece=piece).collect() if r["admission"] == "SERVED"}
+    assert served("minute") == served("second") == set(range(57))
