@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flagstone import fixed
 from flagstone.functions import predicates as P
 from flagstone.functions import rules as R
 from flagstone.operators import classify as C
