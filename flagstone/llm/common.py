@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +33,6 @@ def packed(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
-def binary_rows(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
 def ragged_starts(lengths: np.ndarray) -> np.ndarray:
     """Offsets of runs laid one after the other, the total last."""
     out = np.zeros(len(lengths) + 1, np.int64)
