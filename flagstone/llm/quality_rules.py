@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flagstone.llm.common import GAP, text_of, words_of, written
+from flagstone.llm.common import text_of, words_of, written
 
 SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 5
@@ -93,14 +93,17 @@ def line_documents(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != F.lit(""))
     df = df.select("k1", "k2", F.array_distinct(F.transform(lines, line)).alias("lines"))
     total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"])
-    df = df.select("k1", "k2", total.alias("total"), F.explode("lines").alias("x")).select("k1", "k2", "total", "x.*")
+    # an outer explode: for the plain one the planner filters on the size of the lines first, working them out twice
+    df = df.select("k1", "k2", total.alias("total"), F.explode_outer("lines").alias("x")).filter("x is not null").select("k1", "k2", "total", "x.*")
     return df.groupBy("line", "k1", "k2").agg(F.max("n").alias("n"), F.max("total").alias("total"))
 
 
 def lost_words(docs: DataFrame, max_docs: int = 100) -> DataFrame:
     """``k1``, ``k2``, ``lost``, ``total`` for each text with boilerplate lines; the large side is never collected."""
     pairs = line_documents(docs)
-    frequent = pairs.groupBy("line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
+    # asking for the words here too keeps both uses of the pairs alike, so that they are worked out and shuffled once
+    frequent = pairs.groupBy("line").agg(F.count("*").alias("docs"), F.max("n").alias("most"), F.max("total").alias("largest"))
+    frequent = frequent.filter((F.col("docs") > max_docs) & (F.col("most") > 0) & (F.col("largest") > 0)).select("line")
     hits = pairs.join(frequent, "line")
     return hits.groupBy("k1", "k2").agg(F.sum("n").alias("lost"), F.max("total").alias("total"))
 
