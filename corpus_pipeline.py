@@ -1,6 +1,6 @@
 """From documents to training pieces, in stages that each run on the Parquet files of the stage before.
 
-Quality rules drop documents, the n-gram Jaccard join leaves one document of each group, substring dedup
+Quality rules drop documents and the boilerplate lines of those kept, the n-gram Jaccard join leaves one document of each group, substring dedup
 cuts repeated passages, mixing takes documents as often as their source's target asks, and SentencePiece
 sampling gives the pieces. A table without rows passes through every stage.
 """
@@ -16,7 +16,7 @@ from flagstone.session import scratch_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs)
+    return quality_rules.keep_clean(docs)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ its distinct lines is depleted.
 Different documents means different texts: a thousand copies of one text count once, so a group of
 copies is never taken for boilerplate (that is the work of the copy operators).
 
+Boilerplate lines are removed: ``without_boilerplate`` and ``keep_clean`` give the text without them, the
+lines left in their order and ``n_chars`` counted again; other rows stay as they are. All verdicts are
+judged on the input text, before lines are removed.
+
 Defined cases. A null text is an empty one: no words, ``base_failed``. A null host is a host of its
 own. Repeated rows each get a row with the same result. Ties cannot occur. No input rows, no output
 rows. Extra columns never clash: the input row travels in one struct. Windows, lines and texts are
@@ -81,11 +85,16 @@ def text_key(host: Column, text: Column) -> list[Column]:
     return [F.xxhash64(host, text).alias("k1"), F.xxhash64(F.lit(7), F.length(text), text, host).alias("k2")]
 
 
-def line_documents(docs: DataFrame) -> DataFrame:
-    """A row for each distinct line of each different text: ``line``, ``k1``, ``k2``, its words, the text's words."""
+def _text_lines(docs: DataFrame) -> DataFrame:
+    """``host``, ``k1``, ``k2`` and the normalised ``lines`` of each row, not yet trimmed, empty ones too."""
     host, text = F.col("source").cast("string"), text_of(F.col("text"))
     plain = F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "))
-    df = docs.select(host.alias("host"), *text_key(host, text), F.split(plain, "\n").alias("lines"))
+    return docs.select(host.alias("host"), *text_key(host, text), F.split(plain, "\n").alias("lines"))
+
+
+def line_documents(docs: DataFrame) -> DataFrame:
+    """A row for each distinct line of each different text: ``line``, ``k1``, ``k2``, its words, the text's words."""
+    df = _text_lines(docs)
     line = lambda x: F.struct(
         F.xxhash64(F.col("host"), x).alias("line"),
         (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"),
@@ -98,16 +107,57 @@ def line_documents(docs: DataFrame) -> DataFrame:
     return df.groupBy("line", "k1", "k2").agg(F.max("n").alias("n"), F.max("total").alias("total"))
 
 
-def lost_words(docs: DataFrame, max_docs: int = 100) -> DataFrame:
-    """``k1``, ``k2``, ``lost``, ``total`` for each text with boilerplate lines; the large side is never collected."""
+def boilerplate(docs: DataFrame, max_docs: int = 100) -> DataFrame:
+    """The rows of ``line_documents`` that are boilerplate; the large side is never collected."""
     pairs = line_documents(docs)
     # asking for the words here too keeps both uses of the pairs alike, so that they are worked out and shuffled once
     frequent = pairs.groupBy("line").agg(F.count("*").alias("docs"), F.max("n").alias("most"), F.max("total").alias("largest"))
     frequent = frequent.filter((F.col("docs") > max_docs) & (F.col("most") > 0) & (F.col("largest") > 0)).select("line")
-    hits = pairs.join(frequent, "line")
+    return pairs.join(frequent, "line")
+
+
+def _lost(hits: DataFrame) -> DataFrame:
     return hits.groupBy("k1", "k2").agg(F.sum("n").alias("lost"), F.max("total").alias("total"))
 
 
+def lost_words(docs: DataFrame, max_docs: int = 100) -> DataFrame:
+    """``k1``, ``k2``, ``lost``, ``total`` for each text with boilerplate lines."""
+    return _lost(boilerplate(docs, max_docs))
+
+
+def line_places(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``k1``, ``k2``, ``gone``: where the boilerplate lines of each text with any stand, from 0."""
+    df = _text_lines(docs)
+    hashes = F.transform("lines", lambda x: F.xxhash64(F.col("host"), F.trim(x)))
+    df = df.select("k1", "k2", F.posexplode_outer(hashes).alias("place", "line"))
+    # rows of one text have the same places: each counts once, before they are gathered
+    df = df.join(written(hits.select("line").distinct(), "lines"), "line").select("k1", "k2", "place").distinct()
+    return df.groupBy("k1", "k2").agg(F.collect_list("place").alias("gone"))
+
+
+def _without_places(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The input rows in ``row``, their texts without the lines at ``gone`` (null: as they are)."""
+    lines = F.when(F.col("gone").isNotNull(), F.split("row.text", "\n"))
+    df = df.select("row", "gone", lines.alias("lines"))
+    # the difference of two arrays goes by hash, so the work grows with the lines of a text and no faster
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.transform(left, lambda i: F.get("lines", i))
+    df = df.select("row", F.when(F.col("lines").isNotNull(), F.array_join(kept, "\n")).alias("t"))
+    new = {"text": F.coalesce("t", "row.text")}
+    if "n_chars" in columns:
+        kind = df.schema["row"].dataType["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("t").isNotNull(), F.length("t").cast(kind)).otherwise(F.col("row.n_chars"))
+    return df.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
+def without_boilerplate(docs: DataFrame, max_docs: int = 100) -> DataFrame:
+    """Every row, the boilerplate lines removed from its text and ``n_chars`` counted again."""
+    gone = written(line_places(docs, written(boilerplate(docs, max_docs), "boilerplate")), "places")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    df = df.select("row", *text_key(F.col("row.source").cast("string"), text_of(F.col("row.text"))))
+    return _without_places(df.join(gone, ["k1", "k2"], "left"), docs.columns)
+
+
 def rate(docs: DataFrame, max_docs: int = 100, max_lost: float = 0.5) -> DataFrame:
     """Every row with its counts and verdicts: ``row``, counts, ``base_failed``, ``lost_share``, ``kept``."""
     lost = lost_words(docs, max_docs).select("k1", "k2", (F.col("lost") / F.col("total")).alias("lost_share"))
@@ -123,3 +173,13 @@ def keep_good(docs: DataFrame, max_docs: int = 100, max_lost: float = 0.5) -> Da
     lost = lost_words(docs, max_docs).filter(F.col("lost") > max_lost * F.col("total")).select("k1", "k2")
     good = with_base_counts(docs).filter(~F.col("base_failed"))
     return good.join(written(lost, "depleted"), ["k1", "k2"], "left_anti").select("row.*")
+
+
+def keep_clean(docs: DataFrame, max_docs: int = 100, max_lost: float = 0.5) -> DataFrame:
+    """The rows that ``keep_good`` keeps, judged on the input, without the boilerplate lines of their texts."""
+    hits = written(boilerplate(docs, max_docs), "boilerplate")
+    gone = line_places(docs, hits).join(_lost(hits), ["k1", "k2"])
+    good = with_base_counts(docs).filter(~F.col("base_failed")).select("row", "k1", "k2")
+    df = good.join(written(gone, "places"), ["k1", "k2"], "left")
+    df = df.filter(F.col("lost").isNull() | (F.col("lost") <= max_lost * F.col("total")))
+    return _without_places(df, docs.columns)

@@ -246,6 +246,39 @@ def test_keep_good_keeps_columns(spark, edges):
     assert Counter(map(str, good.collect())) == Counter(str(r.row) for r in quality_rules.rate(docs).collect() if r.kept)
 
 
+def test_boilerplate_lines_are_removed(spark):
+    line = "this line stands in very many documents of the host"
+    own = [f"{' '.join(f'w{i}x{j}' for j in range(30))}" for i in range(60)]
+    rows = [(i, f"first {own[i]}\n\n\t{line.upper()} \x0b\n  last Line {i}\n{line}", "h", None, -1, "r") for i in range(30)]
+    rows += [(i, f"{line}\n{own[i]}", None, None, -1, "r") for i in range(30, 36)] + [(40, f"{line}\n{line}\nonly a few words here", "h", None, -1, "r"), (41, None, "h", None, None, "r")]
+    rows += [(0, *rows[0][1:])] * 3 + [(50, f"{line}\n{own[50]}\nx", "h", None, -1, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k1 string, n_chars int, row string")
+
+    def clean(text, host):
+        return "\n".join(x for x in text.split("\n") if host != "h" or " ".join(x.lower().split()) != line)
+
+    want = Counter()
+    for i, text, host, *_ in rows:
+        new = None if text is None else clean(text, host)
+        want[i, new, host, None, (None if text is None else -1) if new == text else len(new), "r"] += 1
+    cleaned = quality_rules.without_boilerplate(df, max_docs=10)
+    assert cleaned.dtypes == df.dtypes
+    assert Counter(map(tuple, cleaned.collect())) == want
+    good = quality_rules.keep_clean(df, max_docs=10)
+    assert good.dtypes == df.dtypes
+    assert Counter(map(tuple, good.collect())) == Counter({k: n for k, n in want.items() if k[0] not in (40, 41)})
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in quality_rules.keep_good(df, max_docs=10).collect())
+
+
+def test_first_stage_removes_boilerplate(spark):
+    import corpus_pipeline
+
+    line = "share this page with all of your many friends"
+    rows = [(i, f"{line}\n" + " ".join(f"w{i}x{j}" for j in range(30)), "h") for i in range(101)]
+    out = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(i, t.split("\n")[1]) for i, t, _ in rows]
+
+
 # 7
 
 
