@@ -70,11 +70,11 @@ def rank_of() -> Column:
 
 
 def _crossing(bins: DataFrame, by: str, missing: str) -> DataFrame:
-    """The bin of each source in which its words pass ``missing``, and what is missing before it."""
+    """The bin of each source in which its words reach ``missing``, and what is missing before it."""
     total = F.sum("size").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
     df = bins.select("*", total.alias("total"))
     left = F.col(missing) - (F.col("total") - F.col("size"))
-    return df.filter((F.col("total") > F.col(missing)) & (left > 0)).select("source", by, left.alias("left"))
+    return df.filter((F.col("total") >= F.col(missing)) & (left > 0)).select("source", by, left.alias("left"))
 
 
 def cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
@@ -94,14 +94,16 @@ def cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
     nearer = (F.col("total") - F.col("missing2")) < (F.col("missing2") - (F.col("total") - F.col("size")))
     taken = last.filter((F.col("total") <= F.col("missing2")) | nearer)
     found = taken.groupBy("source").agg(F.max("v").alias("cut"))
-    # nothing of the last fine bin is taken, or the words never pass the mark: the cut lies at a bin's edge
+    # nothing of the last fine bin is taken: the cut lies at the bin's lower edge
     edges = fine.join(coarse, F.col("s2").eqNullSafe(F.col("s"))).select(
         F.col("s2").alias("source"), ((F.col("h") + F.col("b") / BINS) / BINS).alias("edge")
     )
     edges = edges.withColumnRenamed("source", "s3")
     every = targets.filter("missing > 0").select(F.col("source").alias("s4"))
     df = every.join(found, F.col("s4").eqNullSafe(F.col("source")), "left").join(edges, F.col("s4").eqNullSafe(F.col("s3")), "left")
-    return df.select(F.col("s4").alias("source"), F.coalesce("cut", "edge", F.lit(1.0)).alias("cut"))
+    # less is missing than a source has, so some bin reaches it
+    without = F.raise_error(F.concat(F.lit("no cut for source "), F.coalesce("s4", F.lit("null")))).cast("double")
+    return df.select(F.col("s4").alias("source"), F.coalesce("cut", "edge", without).alias("cut"))
 
 
 def _with_targets(df: DataFrame, targets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from brute import jaccard_groups
 from compare import connect, difference
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
-from llm_data import DATA, edges, empty  # noqa: F401
+from llm_data import DATA, edges, empty, write  # noqa: F401
 from pyspark.sql import functions as F
 
 from flagstone.llm import licences, mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, substring_dedup, token_counts, token_files
@@ -161,6 +161,14 @@ def test_mix_keeps_columns_and_copies(spark, edges):
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixed.collect()))
 
 
+@pytest.mark.parametrize("n", [2, 40])
+def test_mixing_of_equal_sizes(n, spark, tmp_path):
+    """What is missing is met exactly by some document, so at the edge of a bin."""
+    folder = write(str(tmp_path / "equal"), [(i, "one two three four five six seven eight nine ten", "en", "s", 48, "r", 1, "z", 3, 9) for i in range(n)])
+    assert difference(QUERIES["op3_mixing"](spark, folder), oracle(folder), SQL["op3_mixing"]) is None
+    assert QUERIES["op3_mixing"](spark, folder).agg(F.sum("taken")).first()[0] == 15 * n
+
+
 # 5
 
 
