@@ -1,7 +1,8 @@
 """SentencePiece segmentations sampled without replacement, and their decoding.
 
-A text is a row of words, each the mark for a blank and the characters up to the next blank; no piece of
-the vocabulary crosses such a border, so a text's lattice is its words' lattices in a row. A piece of
+A text is a row of words, each a run of marks for blanks and the characters up to the next blank; pieces
+may hold several marks or one before characters, but none has a character before a mark, so no piece
+crosses from a word to the next and a text's lattice is its words' lattices in a row. A piece of
 merge rank r weighs 1 / (r + ``FLATTEN``); characters without a piece of their own fall back to their
 bytes. A segmentation's probability is the product of its pieces' weights over the lattice's total.
 
@@ -21,6 +22,7 @@ library. An empty table gives no rows. Other columns are not read by ``sample_pi
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,9 @@ from flagstone.llm.words import Growing, WordTable, chunks, gather_runs
 MARK = "▁"
 FLATTEN = 10.0
 OPEN = 40
-WORDS_AT_ONCE, TEXT_AT_ONCE = 10_000, 500_000
+WORDS_AT_ONCE, BYTES_AT_ONCE, TEXT_AT_ONCE = 10_000, 100_000, 500_000
+#: Edges a worker keeps between runs of text; a mark in a long run of them has up to sixteen.
+EDGES = 12_000_000
 _SAMPLE, _WORD, _PIECE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -82,7 +86,9 @@ class Vocabulary:
                 continue
             plain = not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
             texts.append(piece.replace(MARK, " ").encode() if plain else b"")
-            if plain and MARK not in piece[1:]:
+            if plain:
+                if MARK in piece.lstrip(MARK):
+                    raise ValueError(f"piece {i} crosses from a word to the next")
                 node = 0
                 for c in piece:
                     key = (node, self.chars.setdefault(c, len(self.chars)))
@@ -115,6 +121,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def words_of_text(text: bytes) -> list[bytes]:
+    """The words of a text, each without its first blank; a mark in the text is a blank."""
+    text = b" " + text.replace(MARK.encode(), b" ")
+    return re.findall(rb" ( *[^ ]*)", text) if b"  " in text else text[1:].split(b" ")
+
+
 class Lattices(WordTable):
     """The lattice of each word: nodes between characters, edges for pieces, likeliest first at each node."""
 
@@ -128,13 +140,24 @@ class Lattices(WordTable):
         self.first, self.degree = Growing(np.int32), Growing(np.uint8)
         self.length, self.piece, self.logp, self.upto = Growing(np.uint8), Growing(np.int32), Growing(np.float32), Growing(np.float32)
 
+    def index(self, words: list[bytes]) -> np.ndarray:
+        if self.length.size > EDGES:
+            self.slot.clear()
+            self.reset()
+        return super().index(words)
+
     def add(self, words: list[bytes]) -> None:
-        for s in range(0, len(words), WORDS_AT_ONCE):
-            self._add(words[s : s + WORDS_AT_ONCE])
+        s, total = 0, 0
+        for i, w in enumerate(words):
+            if i > s and (i - s == WORDS_AT_ONCE or total + len(w) > BYTES_AT_ONCE):
+                self._add(words[s:i])
+                s, total = i, 0
+            total += len(w)
+        self._add(words[s:])
 
     def _add(self, words: list[bytes]) -> None:
         v = self.vocabulary
-        texts = [MARK + w.decode("utf-8", "replace") for w in words]
+        texts = [MARK + w.decode("utf-8", "replace").replace(" ", MARK) for w in words]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         codes = v.code[points]
@@ -257,7 +280,7 @@ class Search:
         self.table, self.seeds, self.k, n = table, seeds, k, len(texts)
         words, counts = [], np.zeros(n, np.int64)
         for i, text in enumerate(texts):
-            own = text.split(b" ") if text else []
+            own = words_of_text(text) if text else []
             counts[i] = len(own)
             words += own
         self.slots, self.offsets = table.index(words), ragged_starts(counts)

@@ -219,6 +219,67 @@ def test_samples_follow_the_distribution():
         assert all(abs(weights[s] - p[s]) < 0.03 for s in top)
 
 
+@pytest.mark.parametrize("text", ["if\n   y", "  a▁ b  "])
+def test_samples_follow_the_distribution_over_runs_of_blanks(text):
+    from sentencepiece import SentencePieceProcessor
+
+    table, n = pieces.Lattices(pieces.default_model()), 6000
+    v, model = table.vocabulary, SentencePieceProcessor(model_file=pieces.default_model())
+    ids = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def ways(s):
+        if not s:
+            yield (), 0.0
+        for m in range(1, len(s) + 1):
+            if (i := ids.get(s[:m])) is not None:
+                yield from (((i, *rest), w + v.weights[i]) for rest, w in ways(s[m:]))
+            elif m == 1:
+                own = v.bytes_at[list(s[0].encode())].tolist()
+                yield from (((*own, *rest), w + len(own) * v.weights[own[0]]) for rest, w in ways(s[m:]))
+
+    every = dict(ways("▁" + text.replace(" ", "▁")))
+    total = math.log(sum(map(math.exp, every.values())))
+    p = {s: math.exp(w - total) for s, w in every.items()}
+    assert tuple(model.encode(text)) in p
+    search = pieces.Search(table, [text.encode()] * n, np.arange(n, dtype=np.uint64) * np.uint64(977), 2)
+    got = []
+    for s in range(2):
+        flat, at = search.pieces(s)
+        got.append([tuple(flat[a:b].tolist()) for a, b in itertools.pairwise(at)])
+        assert all(math.isclose(search.paths[s].whole[i], math.log(p[got[s][i]]), abs_tol=1e-4) for i in range(0, n, 97))
+    first, second = Counter(got[0]), Counter(got[1])
+    for s in sorted(p, key=p.get, reverse=True)[:4]:
+        assert abs(first[s] / n - p[s]) < 0.03
+        assert abs(second[s] / n - sum(p[a] * p[s] / (1 - p[a]) for a in p if a != s)) < 0.03
+
+
+def test_runs_of_blanks_hold_the_models_own_pieces():
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces.default_model())
+    table = pieces.Lattices(pieces.default_model())
+    for text in ("if x:\n    return  y   ", " " * 40 + "z", "   ", "a ▁ b"):
+        at, want, node, seen = 0, model.encode(text), [], []
+        for word in pieces.words_of_text(text.encode()):
+            slot = table.index([word])[0]
+            node, last = table.base.data[slot], table.last.data[slot]
+            while node != last:
+                first = table.first.data[node]
+                edge = [e for e in range(first, first + table.degree.data[node]) if table.piece.data[e] == want[at] or (table.piece.data[e] < 0 and model.is_byte(want[at]))]
+                assert len(edge) == 1
+                seen.append(want[at])
+                at, node = at + 1, node + table.length.data[edge[0]]
+        assert seen == want
+
+
+def test_lattices_stay_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "EDGES", 1000)
+    table = pieces.Lattices(pieces.default_model())
+    for i in range(6):
+        table.index([b" " * 100 + b"w%d" % i])
+        assert table.length.size < 3000 and len(table.slot) < 4
+
+
 def test_pieces_decode_and_repeat(spark, edges):
     docs = spark.read.parquet(f"{edges}/documents.parquet")
     rows = pieces.sample_pieces(docs, k=3).collect()
