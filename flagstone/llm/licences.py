@@ -7,8 +7,10 @@ inverted index of fixed size. Hits of one template whose offsets lie within ``BA
 there the whole template is aligned with the text (fewest edits, both ends of the text free) inside the
 band. A finding holds the template words matched, their share, and the span in words and bytes.
 
-A finding scores matched / (template words + words the text has in between); those of ``least`` and more
-are given out, and of findings that overlap only the best. Defined cases: a null or empty text has no
+A template's deciding words (name, version, kind) tell it from others: all of each run must be matched, with
+nothing in between. A finding scores matched / (template words + words the text has in between); those of
+``least`` and more are given out, and of findings that overlap only the best. Licenses without a template
+have no findings. Defined cases: a null or empty text has no
 findings; repeated rows have theirs each; ties go to the longer, then the first template in the list; an
 empty table gives no rows; only doc_id and text are read; long texts are read whole.
 """
@@ -30,25 +32,46 @@ from flagstone.llm.words import chunks
 
 GRAM, WINDOW, BAND = 3, 3, 12
 
-#: Wordings of public licenses and of the notices that name them.
+#: Wordings of public licenses and of the notices that name them, with their runs of deciding words.
 TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "This project is licensed under the terms of the MIT license."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("cc-by-4.0", "Licensed under CC BY 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software."),
+    ("mit", "Released under the MIT License.", ("MIT License",)),
+    ("mit", "This project is licensed under the terms of the MIT license.", ("MIT license",)),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ()),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0.", ("Apache License, Version 2.0",)),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ("Apache License, Version 2.0",)),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ("GNU General Public License, version 3",)),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("GNU General Public License", "version 3 of")),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("GNU General Public License", "version 2 of")),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("GNU Lesser General Public License", "version 2.1 of")),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ("Mozilla Public License, v. 2.0",)),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ()),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ()),
+    ("cc-by-4.0", "Licensed under CC BY 4.0.", ("CC BY 4.0",)),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0.", ("CC BY-SA 4.0",)),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", ("CC BY-NC 4.0",)),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("Creative Commons Attribution 4.0",)),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.", ()),
+    ("apache-2.0", "Licensed under the Apache License 2.0.", ("Apache License 2.0",)),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2.", ("GNU General Public License, version 2",)),
+    ("lgpl-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1.", ("GNU Lesser General Public License, version 2.1",)),
+    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("GNU Lesser General Public License, version 3",)),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("GNU Affero General Public License, version 3",)),
+    ("lgpl-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("GNU Library General Public License", "version 2 of")),
+    ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("GNU Lesser General Public License", "version 3 of")),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("GNU Affero General Public License", "version 3 of")),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("used to endorse or promote products derived",)),
+    ("bsd-4-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("advertising materials mentioning features", "used to endorse or promote products derived")),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0.", ("CC BY-ND 4.0",)),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0.", ("CC BY-NC-SA 4.0",)),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0.", ("CC BY-NC-ND 4.0",)),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("Creative Commons Attribution-ShareAlike 4.0",)),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("Creative Commons Attribution-NonCommercial 4.0",)),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ("Creative Commons Attribution-NoDerivatives 4.0",)),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0",)),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0",)),
+    ("cc0-1.0", "Licensed under CC0 1.0.", ("CC0 1.0",)),
+    ("cc0-1.0", "This work is marked with CC0 1.0 Universal.", ("CC0 1.0",)),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ("waived all copyright and related or neighboring rights",)),
 ]
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,13 +104,23 @@ def fingerprints(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return hashes[chosen], at[chosen]
 
 
+def run_in(words: np.ndarray, phrase: str) -> tuple[int, int]:
+    """Where a phrase first stands in a template."""
+    own = plain_words(pa.array([phrase.encode()], pa.binary()))[0]
+    for a in range(len(words) - len(own) + 1):
+        if len(own) and (words[a : a + len(own)] == own).all():
+            return a, a + len(own)
+    raise ValueError(f"not in its template: {phrase}")
+
+
 class Index:
-    """The templates' words, and for each fingerprint the templates and positions it stands at."""
+    """The templates' words and deciding runs, and for each fingerprint the templates and positions it stands at."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]) -> None:
-        self.names = [name for name, _ in templates]
-        words, _, _, offsets = plain_words(pa.array([t.encode() for _, t in templates], pa.binary()))
+    def __init__(self, templates: tuple[tuple, ...]) -> None:
+        self.names = [name for name, *_ in templates]
+        words, _, _, offsets = plain_words(pa.array([t[1].encode() for t in templates], pa.binary()))
         self.words = [words[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        self.deciding = [[run_in(own, x) for x in (t[2] if len(t) > 2 else ())] for own, t in zip(self.words, templates, strict=True)]
         hashes, at = fingerprints(words, offsets)
         template = np.searchsorted(offsets, at, "right") - 1
         order = np.argsort(hashes, kind="stable")
@@ -97,12 +130,22 @@ class Index:
 
 
 @functools.lru_cache(maxsize=4)
-def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
+def index_of(templates: tuple[tuple, ...]) -> Index:
     return Index(templates)
 
 
 def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int, int]:
     """Matched words and the span [first, last] of the best alignment of the whole template near an offset; -1 without a match."""
+    return span(aligned(template, text, start))
+
+
+def span(at: np.ndarray) -> tuple[int, int, int]:
+    on = at[at >= 0]
+    return (len(on), int(on[0]), int(on[-1])) if len(on) else (0, -1, -1)
+
+
+def aligned(template: np.ndarray, text: np.ndarray, start: int) -> np.ndarray:
+    """For each word of the template the word of the text that it matches in that alignment, or -1."""
     n, wide = len(template), 2 * BAND + 1
     cost = np.zeros((n + 1, wide))
     shift = np.arange(wide)
@@ -114,14 +157,14 @@ def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int,
         step = cost[i - 1] + np.where(same, 0.0, 1.0) + np.where(inside, 0.0, 1e6)
         step[:-1] = np.minimum(step[:-1], cost[i - 1, 1:] + 1)
         cost[i] = np.minimum.accumulate(step - shift) + shift
-    b, i, matched, first, last = int(cost[n].argmin()), n, 0, -1, -1
+    b, i, at = int(cost[n].argmin()), n, np.full(n, -1)
     while i > 0:
         here = int(place[b]) + i - 1
         inside = 0 <= here < len(text)
         same = inside and text[here] == template[i - 1]
         if inside and cost[i, b] == cost[i - 1, b] + (0 if same else 1):
             if same:
-                matched, first, last = matched + 1, here, here if last < 0 else last
+                at[i - 1] = here
             i -= 1
         elif b + 1 < wide and cost[i, b] == cost[i - 1, b + 1] + 1:
             i, b = i - 1, b + 1
@@ -129,7 +172,12 @@ def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int,
             b -= 1
         else:
             break
-    return matched, first, last
+    return at
+
+
+def decided(at: np.ndarray, runs: list[tuple[int, int]]) -> bool:
+    """Whether every deciding run is matched word by word."""
+    return all(at[a] >= 0 and (at[a:b] == at[a] + np.arange(b - a)).all() for a, b in runs)
 
 
 def findings(words: np.ndarray, hits: np.ndarray, keys: np.ndarray, index: Index, least: float) -> list[tuple[float, int, int, int, int]]:
@@ -147,8 +195,9 @@ def findings(words: np.ndarray, hits: np.ndarray, keys: np.ndarray, index: Index
             elif place is not None and place - begin <= BAND:
                 previous = place
             else:
-                matched, first, last = align(own, words, (begin + previous) // 2)
-                if matched:
+                at = aligned(own, words, (begin + previous) // 2)
+                matched, first, last = span(at)
+                if matched and decided(at, index.deciding[template]):
                     score = matched / (len(own) + max(0, last - first + 1 - len(own)))
                     if score >= least:
                         found.append((score, matched, template, first, last))
@@ -165,9 +214,11 @@ def findings(words: np.ndarray, hits: np.ndarray, keys: np.ndarray, index: Index
 SCHEMA = "doc_id long, license string, coverage double, matched int, start_word int, end_word int, start_byte long, end_byte long"
 
 
-def scan_licenses(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """A row per finding: ``doc_id``, ``license``, ``coverage``, ``matched`` words and the span (ends excluded)."""
-    fixed = tuple(templates or TEMPLATES)
+def scan_licenses(docs: DataFrame, least: float = 0.8, templates: list[tuple] | None = None) -> DataFrame:
+    """A row per finding: ``doc_id``, ``license``, ``coverage``, ``matched`` words and the span (ends excluded).
+
+    A template is a name, a wording and, if some words decide, a tuple of their runs."""
+    fixed = tuple((name, text, *map(tuple, runs)) for name, text, *runs in templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of(fixed)

@@ -364,6 +364,33 @@ def test_license_spans(spark):
     assert all(0.9 < r.coverage < 1 for r in got if r.license == "mit")
 
 
+NOTICES = [
+    ("This work is licensed under the GNU General Public License, version 2.", ["gpl-2.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["gpl-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 9.", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["lgpl-3.0"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["agpl-3.0"]),
+    ("Licensed under CC BY 4.0.", ["cc-by-4.0"]), ("Licensed under CC BY-ND 4.0.", ["cc-by-nd-4.0"]), ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0"]),
+    ("Licensed under CC BY-NC-ND 4.0.", ["cc-by-nc-nd-4.0"]), ("Licensed under CC BY-XX 4.0.", []), ("Licensed under CC BY 3.0.", []), ("Licensed under CC0 1.0.", ["cc0-1.0"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["cc-by-sa-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", []),
+    ("Licensed under the Apache License, Version 1.1.", []), ("Released under the BSD License.", []),
+]
+
+
+def test_deciding_words(spark):
+    wordings = {name: text for name, text, _ in sorted(licences.TEMPLATES, key=lambda t: len(t[1]))}
+    notices = NOTICES + [(t, [n]) for n, t, _ in licences.TEMPLATES]
+    notices += [(wordings["bsd-3-clause"].replace("the copyright holder", "Some Company Inc."), ["bsd-3-clause"]), (wordings["gpl-2.0"].replace("version 2 ", "version 7 "), [])]
+    rows = [(i, f"Some words go before it. {t} And some go after it.") for i, (t, _) in enumerate(notices)]
+    got = {}
+    for r in licences.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert [(t, got.get(i, [])) for i, (t, _) in enumerate(notices)] == notices
+    with pytest.raises(ValueError, match="not in its template"):
+        licences.Index((("x", "some words", ("other words",)),))
+
+
 def test_alignment_against_full_table():
     rng = np.random.default_rng(1)
     for _ in range(60):
