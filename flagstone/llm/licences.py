@@ -2,8 +2,10 @@
 
 Words are runs of letters and digits in lower case. Every run of ``GRAM`` words is hashed and of every
 ``WINDOW`` neighbouring hashes the least is a fingerprint, on both sides, so a template and a text that
-share ``GRAM + WINDOW - 1`` words in a row share a fingerprint. The templates' fingerprints form an
-inverted index of fixed size. Hits of one template whose offsets lie within ``BAND`` words are one place;
+share ``GRAM + WINDOW - 1`` words in a row share a fingerprint. That is too much to ask of templates under
+``SHORT`` words: of these the first words of the longest deciding run are looked up at every place of a text
+or, without deciding words, every run of ``GRAM`` words (two in templates of up to five), so that any place
+of a score of 0.8 is found. The fingerprints form inverted indexes of fixed size. Hits of one template whose offsets lie within ``BAND`` words are one place;
 there the whole template is aligned with the text (fewest edits, both ends of the text free) inside the
 band. A finding holds the template words matched, their share, and the span in words and bytes.
 
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 
 from flagstone.llm.hashing import hash_spans, window_starts, windows, word_spans
 from flagstone.llm.substring_dedup import member
-from flagstone.llm.words import chunks
+from flagstone.llm.words import chunks, gather_runs
 
 GRAM, WINDOW, BAND = 3, 3, 12
+SHORT = 2 * (GRAM + WINDOW)
 
 #: Wordings of public licenses and of the notices that name them, with their runs of deciding words.
 TEMPLATES = [
@@ -113,6 +116,32 @@ def run_in(words: np.ndarray, phrase: str) -> tuple[int, int]:
     raise ValueError(f"not in its template: {phrase}")
 
 
+def short_grams(n: int, deciding: list[tuple[int, int]]) -> tuple[int, range]:
+    """The width of a short template's fingerprints and where they stand."""
+    if deciding:
+        a, b = max(deciding, key=lambda x: x[1] - x[0])
+        return min(GRAM, b - a), range(a, a + 1)
+    width = GRAM if n > 5 else min(2, n)
+    return width, range(n - width + 1)
+
+
+class Postings:
+    """For each hash the templates and positions it stands at."""
+
+    def __init__(self, hashes: np.ndarray, template: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.template, self.at = template[order], at[order]
+        self.keys, self.first, self.counts = np.unique(hashes[order], return_index=True, return_counts=True)
+
+    def look_up(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = member(self.keys, hashes)
+        on = keys >= 0
+        keys, at = keys[on], at[on]
+        counts = self.counts[keys]
+        entry = gather_runs(np.arange(len(self.at)), self.first[keys], counts)
+        return np.repeat(at, counts), self.template[entry], self.at[entry]
+
+
 class Index:
     """The templates' words and deciding runs, and for each fingerprint the templates and positions it stands at."""
 
@@ -123,10 +152,22 @@ class Index:
         self.deciding = [[run_in(own, x) for x in (t[2] if len(t) > 2 else ())] for own, t in zip(self.words, templates, strict=True)]
         hashes, at = fingerprints(words, offsets)
         template = np.searchsorted(offsets, at, "right") - 1
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.template, self.at = hashes[order], template[order], (at - offsets[template])[order]
-        self.keys, self.first = np.unique(self.hashes, return_index=True)
-        self.until = np.append(self.first[1:], len(self.hashes))
+        long = np.diff(offsets)[template] >= SHORT
+        self.winnowed = Postings(hashes[long], template[long], (at - offsets[template])[long])
+        grams: dict[int, list[tuple[np.uint64, int, int]]] = {}
+        for t, own in enumerate(self.words):
+            if 0 < len(own) < SHORT:
+                width, places = short_grams(len(own), self.deciding[t])
+                grams.setdefault(width, []).extend((windows(own, width)[i], t, i) for i in places)
+        self.short = {width: Postings(*(np.array(x) for x in zip(*own, strict=True))) for width, own in grams.items()}
+
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word positions of some texts, the templates that may stand there, and their positions."""
+        found = [self.winnowed.look_up(*fingerprints(words, offsets))]
+        for width, postings in self.short.items():
+            at, _ = window_starts(offsets, width)
+            found.append(postings.look_up(windows(words, width)[at] if len(at) else np.empty(0, np.uint64), at))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 @functools.lru_cache(maxsize=4)
@@ -180,12 +221,11 @@ def decided(at: np.ndarray, runs: list[tuple[int, int]]) -> bool:
     return all(at[a] >= 0 and (at[a:b] == at[a] + np.arange(b - a)).all() for a, b in runs)
 
 
-def findings(words: np.ndarray, hits: np.ndarray, keys: np.ndarray, index: Index, least: float) -> list[tuple[float, int, int, int, int]]:
+def findings(words: np.ndarray, templates: np.ndarray, starts: np.ndarray, index: Index, least: float) -> list[tuple[float, int, int, int, int]]:
     """(score, matched, template, first word, last word) of one text, best first, overlaps left out."""
     offsets: dict[int, set[int]] = {}
-    for at, key in zip(hits.tolist(), keys.tolist(), strict=True):
-        for j in range(index.first[key], index.until[key]):
-            offsets.setdefault(int(index.template[j]), set()).add(at - int(index.at[j]))
+    for template, start in zip(templates.tolist(), starts.tolist(), strict=True):
+        offsets.setdefault(template, set()).add(start)
     found = []
     for template, places in offsets.items():
         own, begin, previous = index.words[template], None, None
@@ -225,16 +265,14 @@ def scan_licenses(docs: DataFrame, least: float = 0.8, templates: list[tuple] |
         for batch in batches:
             for part in chunks(batch):
                 words, first, end, offsets = plain_words(part.column(1))
-                hashes, at = fingerprints(words, offsets)
-                keys = member(index.keys, hashes)
-                at, keys = at[keys >= 0], keys[keys >= 0]
+                at, templates, places = index.hits(words, offsets)
                 doc = np.searchsorted(offsets, at, "right") - 1
                 sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
                 begins = np.cumsum(sizes) - sizes
                 out = []
                 for i in np.unique(doc).tolist():
                     a, own = offsets[i], doc == i
-                    for score, matched, template, x, y in findings(words[a : offsets[i + 1]], at[own] - a, keys[own], index, least):
+                    for score, matched, template, x, y in findings(words[a : offsets[i + 1]], templates[own], (at - places)[own] - a, index, least):
                         out.append((i, index.names[template], score, matched, x, y + 1, int(first[a + x] - begins[i]), int(end[a + y] - begins[i])))
                 if out:
                     rows, *rest = zip(*out, strict=True)

@@ -391,6 +391,25 @@ def test_deciding_words(spark):
         licences.Index((("x", "some words", ("other words",)),))
 
 
+def test_short_notices_do_not_hang_on_a_hash(spark):
+    """One changed word anywhere outside the deciding words, or anywhere without any, leaves a score of 0.8 and more."""
+    deciding = [(n, licences.plain_words(pa.array([t.encode()])), t, d) for n, t, d in licences.TEMPLATES]
+    rows, want, plain = [], [], [(f"n{n}", " ".join(f"q{n}w{i}" for i in range(n))) for n in range(5, 12)]
+    for name, (hashes, first, end, _), text, runs in deciding:
+        fixed = {i for a, b in (licences.run_in(hashes, x) for x in runs) for i in range(a, b)}
+        for i in range(len(first) if len(first) < licences.SHORT else 0):
+            if i not in fixed:
+                rows.append(text[: first[i]] + "other" + text[end[i] :])
+                want.append(name)
+    docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licences.scan_licenses(docs).collect()}
+    assert [got.get(i) for i in range(len(rows))] == want
+    changed = [(n, " ".join("other" if j == i else w for j, w in enumerate(t.split()))) for n, t in plain for i in range(len(t.split()))]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, (_, t) in enumerate(changed)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licences.scan_licenses(docs, templates=plain).collect()}
+    assert [got.get(i) for i in range(len(changed))] == [n for n, _ in changed]
+
+
 def test_alignment_against_full_table():
     rng = np.random.default_rng(1)
     for _ in range(60):
