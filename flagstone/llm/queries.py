@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import licences, mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, substring_dedup, token_counts, token_files
+from flagstone.llm import (
+    lexical_search, licences, minhash_postings, mixing, near_duplicates, neighbours, periodic_runs, pieces, quality_model, quality_rules,
+    substring_dedup, token_counts, token_files,
+)
 from flagstone.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,6 +143,80 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_minhash_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_postings.near_duplicates(_table(spark, folder, "documents"))
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i+2]))) END AS s FROM d),
+kinds AS (SELECT s, row_number() OVER () AS kid, len(s) AS n, min(coalesce(doc_id, 9223372036854775807)) AS first FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT kid, n, unnest(s) AS g FROM kinds),
+posts AS (SELECT kid, n, hash(g) AS g FROM grams),
+pairs AS (
+  SELECT a.kid AS a, b.kid AS b FROM posts a JOIN posts b ON a.g = b.g AND a.kid <> b.kid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.kid, b.kid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT kid, kid AS other FROM kinds UNION SELECT r.kid, p.b FROM reach r JOIN pairs p ON r.other = p.a),
+heads AS (SELECT r.kid, min(k.first) AS head FROM reach r JOIN kinds k ON r.other = k.kid GROUP BY r.kid),
+o AS (
+  SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN head IS NULL THEN doc_id WHEN head < 9223372036854775807 THEN head END AS component_id
+  FROM sets LEFT JOIN kinds ON sets.s = kinds.s LEFT JOIN heads USING (kid))
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o
+"""
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')"
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents),
+q AS (SELECT row_number() OVER () AS qid, item_id, unnest({_TERMS}) AS term FROM benchmark),
+asked AS (SELECT qid, item_id, term, count(*) AS times FROM q GROUP BY ALL),
+totals AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+found AS (SELECT rid, doc_id, 75 + (25 * len(ts) * n_docs) // n_terms AS m, unnest(ts) AS term FROM d, totals),
+posts AS (SELECT rid, doc_id, m, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM posts, totals GROUP BY term),
+scored AS (
+  SELECT qid, item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN posts USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def planted_period(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order of words that the query's contract asks for: from some place on a tenth of the documents repeat a period."""
+    if doc_id is None:
+        return None
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return None
+    a = g % n
+    order = np.arange(n)
+    order[a:] = a + (order[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return order
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(_table(spark, folder, "documents"), planted_period)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    lines = F.array_join(F.transform("runs", line), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("x.s"), F.col("x.n"), -F.col("x.p")
+    return found.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_neighbours": op2_neighbours,
@@ -149,10 +228,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_minhash_postings": op11_minhash_postings,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op2_neighbours": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_minhash_postings": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
 }

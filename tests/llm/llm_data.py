@@ -33,18 +33,28 @@ def edge_rows() -> list[tuple]:
     return [(i, t, "en", s, None if t is None else len(t), "r", 1, "z", 3, 9) for i, t, s in texts]
 
 
-def write(folder: str, rows: list[tuple], labels: list[tuple] | None = None) -> str:
+ITEMS = [
+    (1, "one two THREE word word", 5, "r"), (1, "one two THREE word word", 5, "r"), (2, None, 5, "r"), (3, " ?! \n", 5, "r"), (None, "ÇA été 日本語 don't 12", 5, "r"),
+    (4, prose(1, 60), 5, "r"), (5, prose(2, 900), 5, "r"), (6, "nowherefound", 5, "r"),
+]
+
+
+def write(folder: str, rows: list[tuple], labels: list[tuple] | None = None, items: list[tuple] | None = None) -> str:
     os.makedirs(folder, exist_ok=True)
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in DOCS]
     pq.write_table(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, DOCS, strict=True)], schema=DOCS), f"{folder}/documents.parquet")
     ids, quality = zip(*labels, strict=True) if labels else ([], [])
     pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array(quality, pa.int64())}), f"{folder}/labels.parquet")
+    columns = list(zip(*items, strict=True)) if items else [[]] * 4
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+    columns = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+    pq.write_table(pa.table(columns, names=["item_id", "text", "doc_id", "row"]), f"{folder}/benchmark.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def edges(tmp_path_factory):
-    return write(str(tmp_path_factory.mktemp("edges")), edge_rows(), [(1, 1), (2, 0), (3, 1), (6, None), (9, 1), (16, 0), (16, 0), (99, 1)])
+    return write(str(tmp_path_factory.mktemp("edges")), edge_rows(), [(1, 1), (2, 0), (3, 1), (6, None), (9, 1), (16, 0), (16, 0), (99, 1)], ITEMS)
 
 
 @pytest.fixture(scope="session")
