@@ -28,6 +28,8 @@ from flagstone.llm.common import text_of, words_of, written
 
 SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 5
+#: Hashes of frequent lines that are sent to the rows (8 bytes each).
+FREQUENT_LINES = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -107,13 +109,17 @@ def line_documents(docs: DataFrame) -> DataFrame:
     return df.groupBy("line", "k1", "k2").agg(F.max("n").alias("n"), F.max("total").alias("total"))
 
 
+def frequent_lines(pairs: DataFrame, max_docs: int) -> DataFrame:
+    """``line``: those of ``line_documents`` found in more than ``max_docs`` texts."""
+    # asking for the words here too keeps both uses of the pairs alike, so that they are worked out and shuffled once
+    frequent = pairs.groupBy("line").agg(F.count("*").alias("docs"), F.max("n").alias("most"), F.max("total").alias("largest"))
+    return frequent.filter((F.col("docs") > max_docs) & (F.col("most") > 0) & (F.col("largest") > 0)).select("line")
+
+
 def boilerplate(docs: DataFrame, max_docs: int = 100) -> DataFrame:
     """The rows of ``line_documents`` that are boilerplate; the large side is never collected."""
     pairs = line_documents(docs)
-    # asking for the words here too keeps both uses of the pairs alike, so that they are worked out and shuffled once
-    frequent = pairs.groupBy("line").agg(F.count("*").alias("docs"), F.max("n").alias("most"), F.max("total").alias("largest"))
-    frequent = frequent.filter((F.col("docs") > max_docs) & (F.col("most") > 0) & (F.col("largest") > 0)).select("line")
-    return pairs.join(frequent, "line")
+    return pairs.join(frequent_lines(pairs, max_docs), "line")
 
 
 def _lost(hits: DataFrame) -> DataFrame:
@@ -175,11 +181,46 @@ def keep_good(docs: DataFrame, max_docs: int = 100, max_lost: float = 0.5) -> Da
     return good.join(written(lost, "depleted"), ["k1", "k2"], "left_anti").select("row.*")
 
 
+def _once(columns: dict[str, Column]) -> Column:
+    """Columns worked out once, whatever is built on them: a generator of one row keeps projections from being merged."""
+    return F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
+def _with_places(df: DataFrame, frequent: list[int]) -> DataFrame:
+    """``row`` with ``gone``, the places of its frequent lines (hashes, looked up in a set), and ``lost`` of ``total`` words of its different lines."""
+    host, text = F.col("row.source").cast("string"), text_of(F.col("row.text"))
+    plain = F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "))
+    df = df.select("row", _once({"lines": F.transform(F.split(plain, "\n"), lambda x: F.trim(x))}).alias("x"))
+    line = lambda x, i: F.struct(
+        F.xxhash64(host, x).alias("line"),
+        F.when(x != F.lit(""), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).otherwise(0).alias("n"),
+        i.alias("i"),
+    )
+    df = df.select("row", _once({"lines": F.transform("x.lines", line)}).alias("x"))
+    hits = F.filter("x.lines", lambda x: (x["n"] > 0) & x["line"].isin(frequent))
+    df = df.select("row", _once({"lines": F.col("x.lines"), "hits": hits}).alias("x"))
+    words = lambda own: F.aggregate(
+        F.array_distinct(F.transform(own, lambda x: F.struct(x["line"], x["n"]))), F.lit(0), lambda a, x: a + x["n"]
+    )
+    some = F.size("x.hits") > 0
+    return df.select(
+        "row", F.when(some, F.transform("x.hits", lambda x: x["i"])).alias("gone"),
+        F.when(some, words(F.col("x.hits"))).otherwise(0).alias("lost"), F.when(some, words(F.col("x.lines"))).alias("total"),
+    )
+
+
 def keep_clean(docs: DataFrame, max_docs: int = 100, max_lost: float = 0.5) -> DataFrame:
-    """The rows that ``keep_good`` keeps, judged on the input, without the boilerplate lines of their texts."""
+    """The rows that ``keep_good`` keeps, judged on the input, without the boilerplate lines of their texts.
+
+    Lines are counted first; the hashes of frequent ones, counted against ``FREQUENT_LINES``, then come to the rows,
+    so no text is shuffled. Beyond that many, the places of the lines are joined to the texts by shuffle."""
+    frequent = written(frequent_lines(line_documents(docs), max_docs), "frequent-lines")
+    good = with_base_counts(docs).filter(~F.col("base_failed")).select("row", "k1", "k2")
+    if frequent.count() <= FREQUENT_LINES:
+        df = _with_places(good.select("row"), [r["line"] for r in frequent.collect()])
+        return _without_places(df.filter(F.col("gone").isNull() | (F.col("lost") <= max_lost * F.col("total"))), docs.columns)
     hits = written(boilerplate(docs, max_docs), "boilerplate")
     gone = line_places(docs, hits).join(_lost(hits), ["k1", "k2"])
-    good = with_base_counts(docs).filter(~F.col("base_failed")).select("row", "k1", "k2")
     df = good.join(written(gone, "places"), ["k1", "k2"], "left")
     df = df.filter(F.col("lost").isNull() | (F.col("lost") <= max_lost * F.col("total")))
     return _without_places(df, docs.columns)
