@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flagstone.llm.common import packed, written
-from flagstone.llm.words import Growing, WordTable, chunks, gather_runs, split_texts
+from flagstone.llm.hashing import word_spans
+from flagstone.llm.words import Growing, SpanTable, chunks, gather_runs
 
 END = 1
 BLOCK_IDS = 1 << 18
@@ -50,7 +51,7 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class EncodedWords(WordTable):
+class EncodedWords(SpanTable):
     """The library's ids of each word. White space always ends a pre-token, so a text's ids are its words' ids."""
 
     def __init__(self, path: str) -> None:
@@ -60,10 +61,15 @@ class EncodedWords(WordTable):
         self.size = max(vocabulary.values(), default=0) + 1
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.reset()
+        self.ids, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
-    def reset(self) -> None:
+    def keep(self, slots: np.ndarray) -> None:
+        lengths = self.lengths.data[slots]
+        ids = gather_runs(self.ids.data, self.starts.data[slots], lengths)
         self.ids, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+        self.ids.extend(ids)
+        self.starts.extend(np.cumsum(lengths) - lengths)
+        self.lengths.extend(lengths)
 
     def add(self, words: list[bytes]) -> None:
         """Plain words are encoded many at once and told apart by their word-end ids, others one by one."""
@@ -88,10 +94,10 @@ class EncodedWords(WordTable):
         self.starts.extend(starts)
         self.lengths.extend(lengths)
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of some texts, and where each text's ids start."""
-        words, offsets = split_texts(texts)
-        slots = self.index(words)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some UTF-8 texts (null: none), and where each text's ids start."""
+        data, first, end, offsets = word_spans(texts)
+        slots = self.index(data, first, end)
         lengths = self.lengths.data[slots]
         ids = gather_runs(self.ids.data, self.starts.data[slots], lengths)
         return ids, np.concatenate([[0], np.cumsum(lengths)])[offsets]
@@ -127,7 +133,7 @@ def tokens(docs: DataFrame, path: str, kind: str) -> DataFrame:
         counts = np.zeros(table.size, np.int64)
         for batch in batches:
             for rows in chunks(batch):
-                ids, at = table.encode(rows.column(1).to_pylist())
+                ids, at = table.encode(rows.column(1))
                 ids = np.insert(ids, at[1:], END)
                 at = at + np.arange(len(at))
                 counts += np.bincount(ids, minlength=table.size)
