@@ -2,16 +2,21 @@
 
 Sources share ``share`` times all words by weight; no source is taken beyond ``most`` times its own
 words, and the excess is shared again by weight until none is above. With ratio r = target / size
-every document gets floor(r) whole copies for certain. For the rest, p = r - floor(r), documents are
-ranked by odds(u) / (odds(p) * weight), u being a hash of seed, doc_id and text, and taken in that
-order up to the words still missing; the document that crosses the mark is taken if that comes nearer.
+every document gets floor(r) whole copies for certain. What is then missing of the target is drawn with unequal
+chances: a document's inclusion chance p grows with its measure, the whole square root of its words (a long
+document stands for more different text than its number, and for less than its length), p = min(1, c * measure)
+with c such that the expected words, the sum of p * size, are those missing; documents that reach 1 are certain and
+c is worked out for the others again. Documents are ranked by odds(u) / odds(p), u being a hash of seed, doc_id and
+text, certain ones first, and taken in that order up to the words still missing; the document that crosses the mark
+is taken if that comes nearer. c needs the words of each measure only, so a source is a few hundred rows for it.
 
 The cut in a source's order is found by halves of the rank: words per coarse bin, words per fine bin
 inside the bin that crosses, then the few documents of that fine bin. So no source is ever ordered in
 one task, and a document needs only its source's cut to know its copies.
 
 Defined cases. A null text has size 0 and takes 0. A null source is a source of its own, the last. A
-source without words has target 0. Rows alike in doc_id and text share one rank and one fate. An empty
+source without words has target 0. A very long text counts whole and may exceed what is missing: it is then
+taken or left, whichever comes nearer. Rows alike in doc_id and text share one rank and one fate. An empty
 table gives no rows. Extra columns are kept by ``mix`` and never clash (they travel in one struct).
 """
 
@@ -27,22 +32,22 @@ BINS = 4096
 SEED = "mix-1"
 
 
-def sized(docs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """``row``, its ``source``, ``size`` in words, random ``u`` in (0, 1) and odds factor ``w``."""
+def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """``row``, its ``source``, ``size`` in words, random ``u`` in (0, 1) and ``measure``."""
     text = text_of(F.col("text"))
-    ident = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
+    ident = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
     bits = F.conv(F.substring(F.md5(ident.cast("binary")), 1, 13), 16, 10).cast("long")
-    return docs.select(
+    df = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("source").cast("string").alias("source"),
         F.size(words_of(text)).cast("long").alias("size"),
         ((bits + 0.5) / float(1 << 52)).alias("u"),
-        F.coalesce((weight if weight is not None else F.lit(1.0)).cast("double"), F.lit(1.0)).alias("w"),
     )
+    return df.withColumn("measure", F.floor(F.sqrt("size")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``source``, ``source_size``, ``target``, ``certain``, ``p``, ``missing``: one row per source."""
+    """``source``, ``source_size``, ``target``, ``certain``, ``missing``: one row per source."""
     everything = Window.partitionBy()
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
     df = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -59,14 +64,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     free = F.min_by(F.when(~F.col("full"), F.col("unit")), F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "source"))).over(everything)
     df = df.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * free).alias("target"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    df = df.select("*", F.floor(ratio).alias("certain"), (ratio - F.floor(ratio)).alias("p"))
+    df = df.select("*", F.floor(ratio).alias("certain"))
     return df.select("*", (F.col("target") - F.col("certain") * F.col("source_size")).alias("missing"))
 
 
+def with_chances(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` with ``c``: a document of the source is included with the chance min(1, c * measure)."""
+    measures = sizes.groupBy("source", "measure").agg(F.sum("size").alias("words")).filter("words > 0")
+    df = _with_targets(measures, targets).filter("missing > 0")
+    larger = Window.partitionBy("source").orderBy(F.desc("measure")).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("source").orderBy(F.desc("measure")).rowsBetween(0, Window.unboundedFollowing)
+    # whole numbers in doubles: the sums are exact, whatever their order
+    left = F.col("missing") - F.coalesce(F.sum(F.col("words").cast("double")).over(larger), F.lit(0.0))
+    df = df.select("source", "measure", (left / F.sum((F.col("measure") * F.col("words")).cast("double")).over(others)).alias("c"))
+    # the largest measure that stays under 1 when all larger ones are certain
+    found = df.filter(F.col("c") * F.col("measure") < 1).groupBy("source").agg(F.max_by("c", "measure").alias("c"))
+    return targets.join(found.withColumnRenamed("source", "source_f"), F.col("source").eqNullSafe(F.col("source_f")), "left").drop("source_f")
+
+
 def rank_of() -> Column:
-    """Random odds over inclusion odds, brought to (0, 1)."""
-    odds = F.col("u") / (1 - F.col("u")) * ((1 - F.col("p")) / (F.col("p") * F.col("w")))
-    return F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.col("u"))
+    """Random odds over inclusion odds, brought to [0, 1); certain documents have rank 0."""
+    p = F.col("c") * F.col("measure")
+    odds = F.col("u") / (1 - F.col("u")) * ((1 - p) / p)
+    return F.when((F.col("size") == 0) | F.col("c").isNull(), F.col("u")).when(p >= 1, F.lit(0.0)).otherwise(odds / (1 + odds))
 
 
 def _crossing(bins: DataFrame, by: str, missing: str) -> DataFrame:
@@ -79,7 +99,7 @@ def _crossing(bins: DataFrame, by: str, missing: str) -> DataFrame:
 
 def cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
     """``source``, ``cut``: documents ranked up to it get one more copy; sources that take none are left out."""
-    ranked = _with_targets(slim, targets).filter("missing > 0").select("source", "size", "missing", rank_of().alias("v"))
+    ranked = _with_targets(slim, targets).filter("missing > 0 AND size > 0").select("source", "size", "missing", rank_of().alias("v"))
     high, low = F.floor(F.col("v") * BINS).cast("int"), F.floor(F.col("v") * BINS * BINS % BINS).cast("int")
     ranked = ranked.select("*", high.alias("high"), low.alias("low"))
     coarse = _crossing(ranked.groupBy("source", "missing", "high").agg(F.sum("size").alias("size")), "high", "missing")
@@ -111,11 +131,11 @@ def _with_targets(df: DataFrame, targets: DataFrame) -> DataFrame:
     return df.join(other, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
 
 
-def plan(docs: DataFrame, weight: Column | None = None, **options) -> DataFrame:
+def plan(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """Each row with ``size``, ``source_size``, ``target`` and ``copies``."""
-    rows = sized(docs, weight)
-    slim = written(rows.select("source", "size", "u", "w"), "sizes")
-    targets = written(source_targets(slim, **options), "targets")
+    rows = sized(docs, seed)
+    slim = written(rows.select("source", "size", "u", "measure"), "sizes")
+    targets = written(with_chances(slim, source_targets(slim, **options)), "targets")
     cut = cuts(slim, targets).withColumnRenamed("source", "source_c")
     known = targets.join(cut, F.col("source").eqNullSafe(F.col("source_c")), "left").drop("source_c")
     df = _with_targets(rows, written(known, "cuts"))
@@ -123,6 +143,6 @@ def plan(docs: DataFrame, weight: Column | None = None, **options) -> DataFrame:
     return df.select("row", "size", "source_size", "target", (F.col("certain") + extra).alias("copies"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken."""
-    return plan(docs, weight, **options).select("row", F.explode(F.expr("array_repeat(0, int(copies))"))).select("row.*")
+    return plan(docs, seed, **options).select("row", F.explode(F.expr("array_repeat(0, int(copies))"))).select("row.*")

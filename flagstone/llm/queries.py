@@ -65,11 +65,22 @@ s2 AS (
 s3 AS (SELECT *, weight * unit > cap AS is_full FROM s2),
 s4 AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * (SELECT min_by(unit, cap / weight) FROM s3 WHERE NOT is_full) END AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM s4),
+m0 AS (
+  SELECT d.source, floor(sqrt(size))::BIGINT AS z, sum(size)::DOUBLE AS words, any_value(target - certain * source_size) AS missing
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source WHERE size > 0 AND target - certain * source_size > 0 GROUP BY ALL),
+m1 AS (
+  SELECT source, z, (missing - coalesce(sum(words) OVER (PARTITION BY source ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(z * words) OVER (PARTITION BY source ORDER BY z DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM m0),
+m2 AS (SELECT source, max_by(c, z) AS c FROM m1 WHERE c * z < 1 GROUP BY source),
+v0 AS (
+  SELECT doc_id, d.source, size, source_size, target, certain, target - certain * source_size AS missing, c * floor(sqrt(size)) AS p, u
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN m2 ON d.source IS NOT DISTINCT FROM m2.source),
+v1 AS (SELECT *, CASE WHEN size = 0 OR p IS NULL THEN u WHEN p >= 1 THEN 0 ELSE u / (1 - u) * (1 - p) / p END AS v FROM v0),
 o AS (
-  SELECT doc_id, size, source_size, target, certain, target - certain * source_size AS missing,
-    sum(size) OVER (PARTITION BY d.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total,
-    sum(size) OVER (PARTITION BY d.source, u) AS own
-  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
+  SELECT doc_id, size, source_size, target, certain, missing,
+    sum(size) OVER (PARTITION BY source ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total,
+    sum(size) OVER (PARTITION BY source, v) AS own
+  FROM v1)
 SELECT doc_id, size, source_size, target, (size * (certain + CASE
   WHEN missing > 0 AND (total <= missing OR (total - own < missing AND total - missing < missing - (total - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM o
