@@ -8,10 +8,16 @@ whose upper bound is under the query's k-th best lower bound cannot be among its
 recomputed in double precision, added in the order of dimensions. A task keeps a heap of k per query
 over its tiles; the heaps' contents meet in a last ranking of at most k rows per query and task.
 
+Vectors keep their component type on the way (floats stay floats, all other numbers are doubles) and are brought to
+a largest component of 1 before anything is squared. A row is sent once for each block of QUERY_BLOCK queries, a
+query once for each block of BLOCK rows: N rows with N / 20 queries make N * N / 164,000 copies of a row, 6 tables'
+worth at a million rows and 610 at a hundred million; larger blocks lower that and take memory in proportion.
+
 Results are exact. Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without vec_id; vectors of different dimensions never meet.
 Repeated query rows are one query; other rows of the query's own vec_id are left out with it; repeated
-candidate rows count each. Ties go to the smaller vec_id. Empty tables give no rows; other columns are
+candidate rows count each. Products beyond the range of doubles are infinite; pairs whose sum is no number take no
+part. Ties go to the smaller vec_id. Empty tables give no rows; other columns are
 not read.
 """
 
@@ -26,7 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, BLOCK = 1024, 8192
+QUERY_BLOCK, BLOCK = 8192, 8192
+#: Candidates of a tile that meet the queries at once.
+SLICE = 1024
+#: Products of scales between this and its inverse neither overflow nor lose digits that the bounds need.
+LEAST_SCALE = 1e-280
 #: Dimensions whose int8 products still add up exactly in float32.
 EXACT_DIMS = 1040
 PAIRS_AT_ONCE = 500_000
@@ -40,27 +50,39 @@ def usable(vector: Column) -> Column:
 
 
 class Quantised:
-    """int8 values as float32, scales, and the norms that the bounds need."""
+    """Vectors over their largest component, as int8 values in float32, and the norms that the bounds need."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         exact = vectors.astype(np.float64)
         self.exact = np.ascontiguousarray(exact.T)
-        self.scale = np.abs(exact).max(1) / 127
-        codes = np.rint(exact / self.scale[:, None])
+        self.scale = np.abs(exact).max(1)
+        unit = exact / self.scale[:, None]
+        codes = np.rint(unit * 127)
         self.codes = codes.astype(np.int8).astype(np.float32)
-        near = codes * self.scale[:, None]
-        self.near, self.off, self.norm = (np.sqrt((x * x).sum(1)) for x in (near, exact - near, exact))
+        near = codes / 127
+        self.near, self.off, self.norm = (np.sqrt((x * x).sum(1)) for x in (near, unit - near, unit))
+
+    def part(self, rows: slice) -> Quantised:
+        out = object.__new__(Quantised)
+        out.exact, out.codes = self.exact[:, rows], self.codes[rows]
+        out.scale, out.near, out.off, out.norm = (x[rows] for x in (self.scale, self.near, self.off, self.norm))
+        return out
 
 
 def products(a: Quantised, b: Quantised) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products and the bound of their errors."""
+    """Lower and upper bounds of the inner products; without limits where doubles overflow or lose their digits."""
     total = np.zeros((len(a.scale), len(b.scale)))
     for k in range(0, a.codes.shape[1], EXACT_DIMS):
         total += a.codes[:, k : k + EXACT_DIMS] @ b.codes[:, k : k + EXACT_DIMS].T
-    total *= a.scale[:, None]
-    total *= b.scale
-    bound = np.outer(a.near, b.off) + np.outer(a.off, b.norm)
-    return total, bound + SLACK * np.outer(a.norm, b.norm)
+    total /= 127 * 127
+    bound = np.outer(a.near, b.off) + np.outer(a.off, b.norm) + SLACK * np.outer(a.norm, b.norm)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        scale = np.outer(a.scale, b.scale)
+        low, high = (total - bound) * scale, (total + bound) * scale
+    unsafe = ~((scale > LEAST_SCALE) & (scale < 1 / LEAST_SCALE))
+    if unsafe.any():
+        low[unsafe], high[unsafe] = -np.inf, np.inf
+    return low, high
 
 
 def exact_products(a: Quantised, b: Quantised, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -68,8 +90,9 @@ def exact_products(a: Quantised, b: Quantised, rows: np.ndarray, cols: np.ndarra
     for s in range(0, len(rows), PAIRS_AT_ONCE):
         r, c = rows[s : s + PAIRS_AT_ONCE], cols[s : s + PAIRS_AT_ONCE]
         total = np.zeros(len(r))
-        for x, y in zip(a.exact, b.exact, strict=True):
-            total += x[r] * y[c]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for x, y in zip(a.exact, b.exact, strict=True):
+                total += x[r] * y[c]
         out[s : s + PAIRS_AT_ONCE] = total
     return out
 
@@ -83,15 +106,21 @@ class Heaps:
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         other = Quantised(vectors)
-        near, bound = products(self.q, other)
+        for a in range(0, len(ids), SLICE):
+            self._meet(ids[a : a + SLICE], other.part(slice(a, a + SLICE)))
+
+    def _meet(self, ids: np.ndarray, other: Quantised) -> None:
+        low, high = products(self.q, other)
         own = self.ids[:, None] == ids
-        low = np.where(own, -np.inf, near - bound)
+        low[own] = -np.inf
         floor = np.array([h[0][0] if len(h) == self.k else -np.inf for h in self.best])
         if len(ids) > self.k:
             floor = np.maximum(floor, np.partition(low, len(ids) - self.k, 1)[:, len(ids) - self.k])
-        rows, cols = np.nonzero((near + bound >= floor[:, None]) & ~own)
+        rows, cols = np.nonzero((high >= floor[:, None]) & ~own)
         scores = exact_products(self.q, other, rows, cols)
         for r, score, vec in zip(rows.tolist(), scores.tolist(), ids[cols].tolist(), strict=True):
+            if score != score:  # infinities of both signs add up to no number
+                continue
             heap, item = self.best[r], (score, -vec)
             if len(heap) < self.k:
                 heapq.heappush(heap, item)
@@ -153,7 +182,8 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k nearest rows for each row for which ``queries`` holds."""
-    v = F.col("embedding").cast("array<float>")
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     asked = rows.filter(queries).select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).dropDuplicates(["id", "v"])
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"))
