@@ -188,6 +188,8 @@ def span(at: np.ndarray) -> tuple[int, int, int]:
 def aligned(template: np.ndarray, text: np.ndarray, start: int) -> np.ndarray:
     """For each word of the template the word of the text that it matches in that alignment, or -1."""
     n, wide = len(template), 2 * BAND + 1
+    if 0 <= start <= len(text) - n and (text[start : start + n] == template).all():
+        return np.arange(start, start + n)  # nothing is cheaper than no edit
     cost = np.zeros((n + 1, wide))
     shift = np.arange(wide)
     place = start - BAND + shift
@@ -235,7 +237,10 @@ def findings(words: np.ndarray, templates: np.ndarray, starts: np.ndarray, index
             elif place is not None and place - begin <= BAND:
                 previous = place
             else:
-                at = aligned(own, words, (begin + previous) // 2)
+                middle = (begin + previous) // 2
+                near = words[max(0, middle - BAND) : max(0, middle + len(own) + BAND + 1)]
+                # no alignment matches more words than stand there at all
+                at = aligned(own, words, middle) if np.isin(own, near).sum() / len(own) >= least else np.full(len(own), -1)
                 matched, first, last = span(at)
                 if matched and decided(at, index.deciding[template]):
                     score = matched / (len(own) + max(0, last - first + 1 - len(own)))
@@ -270,9 +275,14 @@ def scan_licenses(docs: DataFrame, least: float = 0.8, templates: list[tuple] |
                 sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
                 begins = np.cumsum(sizes) - sizes
                 out = []
-                for i in np.unique(doc).tolist():
-                    a, own = offsets[i], doc == i
-                    for score, matched, template, x, y in findings(words[a : offsets[i + 1]], templates[own], (at - places)[own] - a, index, least):
+                # hits of one text stand together
+                order = np.argsort(doc, kind="stable")
+                doc, templates, starts = doc[order], templates[order], (at - places)[order]
+                cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
+                for b, c in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+                    i = int(doc[b])
+                    a = offsets[i]
+                    for score, matched, template, x, y in findings(words[a : offsets[i + 1]], templates[b:c], starts[b:c] - a, index, least):
                         out.append((i, index.names[template], score, matched, x, y + 1, int(first[a + x] - begins[i]), int(end[a + y] - begins[i])))
                 if out:
                     rows, *rest = zip(*out, strict=True)
