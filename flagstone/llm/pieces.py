@@ -421,19 +421,69 @@ def log_inclusion(log_prob: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     return np.where(x < -30, x, np.log(np.maximum(chance, 1e-300)))
 
 
-SCHEMA = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, decoded boolean"
+SCHEMA = "doc_id long, copy int, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, decoded boolean"
+
+
+class Copies:
+    """Numbers rows of one seed and text that follow each other, from batch to batch."""
+
+    def __init__(self) -> None:
+        self.last: tuple[int, bytes | None] | None = None
+        self.count = 0
+
+    def numbers(self, seeds: np.ndarray, texts: list[bytes | None]) -> np.ndarray:
+        out = np.zeros(len(texts), np.int64)
+        for i, (seed, text) in enumerate(zip(seeds.tolist(), texts, strict=True)):
+            self.count = self.count + 1 if self.last is not None and self.last[0] == seed and self.last[1] == text else 0
+            self.last = (seed, text)
+            out[i] = self.count
+        return out
+
+
+def decode_pieces(df: DataFrame, ids: str = "ids", into: str = "text", path: str | None = None) -> DataFrame:
+    """``df`` with the text of each row's ids in column ``into``.
+
+    The blank that every text is given in front is taken off; bytes that are no UTF-8 become replacement
+    characters; control ids have no text. Null ids give null, no ids the empty text. Ids that the model does not
+    know are an error."""
+    path = path or default_model()
+    others = [f"`{c}`" for c in df.columns if c not in (ids, into)]
+    rows = df.select(F.struct(*others).alias("row") if others else F.lit(0).alias("row"), F.col(f"`{ids}`").cast("array<int>").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            texts: list[str | None] = []
+            for own in batch.column(1):
+                flat = own.values.to_numpy(zero_copy_only=False) if own.is_valid else None
+                if flat is not None and len(flat) and not ((flat >= 0) & (flat < len(v.lengths))).all():
+                    raise ValueError(f"ids outside 0..{len(v.lengths) - 1}")
+                text = None if flat is None else v.decode(flat.astype(np.int64))
+                texts.append(None if text is None else (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["row", "ids", "text"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"row {kind}, ids array<int>, text string")
+    return out.select(*([F.col("row.*")] if others else []), F.col("ids").alias(ids), F.col("text").alias(into))
 
 
 def sample_pieces(docs: DataFrame, k: int = 2, key: Column | None = None, seed: int = 1, path: str | None = None) -> DataFrame:
     """Up to k distinct segmentations of every row: ids, log probability, perturbed value, log of the chance of
-    being included, and whether the ids decode to the text again."""
+    being included, and whether the ids decode to the text again.
+
+    Rows of one key and text that follow each other are copies, as mixing writes them, numbered from 0 by ``copy``;
+    each has samples of its own."""
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies = Copies()
         for batch in batches:
             for part in chunks(batch, most=TEXT_AT_ONCE):
                 texts = part.column(1).to_pylist()
-                search = Search(lattices(path), texts, part.column(2).to_numpy().view(np.uint64), k)
+                seeds = part.column(2).to_numpy().view(np.uint64)
+                number = copies.numbers(seeds, texts)
+                seeds = np.where(number > 0, mix(seeds + number.astype(np.uint64)), seeds)
+                search = Search(lattices(path), texts, seeds, k)
                 limit = search.threshold()
                 wanted = [b" " + t.replace(MARK.encode(), b" ") if t else b"" for t in texts]
                 for s, paths in enumerate(search.paths):
@@ -445,10 +495,10 @@ def sample_pieces(docs: DataFrame, k: int = 2, key: Column | None = None, seed:
                     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
                     some = len(on) < len(texts)
                     yield pa.record_batch(
-                        [part.column(0).take(pa.array(on)), pa.array(np.full(len(on), s + 1), pa.int32()), lists.take(pa.array(on)) if some else lists,
+                        [part.column(0).take(pa.array(on)), pa.array(number[on], pa.int32()), pa.array(np.full(len(on), s + 1), pa.int32()), lists.take(pa.array(on)) if some else lists,
                          pa.array(np.diff(starts)[on], pa.int32()), paths.whole[on], search.values[s][on],
                          log_inclusion(paths.whole[on], limit[on]), same],
-                        names=["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "decoded"],
+                        names=["doc_id", "copy", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "decoded"],
                     )
 
     own = key if key is not None else F.col("doc_id")
