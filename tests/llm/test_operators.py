@@ -86,7 +86,7 @@ def test_coding_round_trip(ranks):
 @example(["Â\U00018d09", "ᲀ\U0001e4d0 x\u0308'll"])
 def test_tokenizers_agree(texts):
     want = [library_ids(t) for t in texts]
-    ids, at = token_files.encoded_words(token_files.default_tokenizer()).encode([t.encode() for t in texts])
+    ids, at = token_files.encoded_words(token_files.default_tokenizer()).encode(pa.array([t.encode() for t in texts], pa.binary()))
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == want
     assert token_counts.counted_words(token_counts.default_tokenizer()).count([t.encode() for t in texts]).tolist() == [len(x) for x in want]
 
@@ -334,9 +334,13 @@ def test_boilerplate_lines_are_removed(spark):
     cleaned = quality_rules.without_boilerplate(df, max_docs=10)
     assert cleaned.dtypes == df.dtypes
     assert Counter(map(tuple, cleaned.collect())) == want
-    good = quality_rules.keep_clean(df, max_docs=10)
-    assert good.dtypes == df.dtypes
-    assert Counter(map(tuple, good.collect())) == Counter({k: n for k, n in want.items() if k[0] not in (40, 41)})
+    # lines looked up in the rows, and joined by shuffle
+    for most in (20_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(quality_rules, "FREQUENT_LINES", most)
+            good = quality_rules.keep_clean(df, max_docs=10)
+            assert good.dtypes == df.dtypes
+            assert Counter(map(tuple, good.collect())) == Counter({k: n for k, n in want.items() if k[0] not in (40, 41)})
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in quality_rules.keep_good(df, max_docs=10).collect())
 
 
