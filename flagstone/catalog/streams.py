@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from flagstone.operators.quota import usage_daily
 from flagstone.session import scratch_dir
 from flagstone.sources.bindings import CALL, DOCUMENT, RESULT_LOG, WRITE_ORDER, Tables
 from flagstone.streaming import jobs as J
+from flagstone.streaming.arrivals import ArrivalIndex
+from flagstone.streaming.store import KeyedStore
 
 
 def _stream(t: Tables, table: str, columns: list[str]) -> DataFrame:
@@ -24,10 +27,12 @@ def _paths(t: Tables, name: str) -> tuple[str, str]:
     return os.path.join(root, "table"), os.path.join(root, "checkpoint")
 
 
-def _appended(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+def _appended(t: Tables, stream: DataFrame, name: str) -> tuple[DataFrame, datetime | None]:
+    """The rows that a stream gave out, and its last watermark."""
     path, checkpoint = _paths(t, name)
-    J.start_table(stream, path, checkpoint).awaitTermination()
-    return t.spark.read.parquet(path)
+    run = J.start_table(stream, path, checkpoint)
+    run.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(path), J.last_watermark(run)
 
 
 @query(
@@ -38,16 +43,17 @@ def _appended(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     ),
 )
 def stream_usage_daily(t: Tables) -> DataFrame:
-    rows = _appended(t, J.stream_usage_daily(_stream(t, "events", CALL)), "usage")
-    rows = J.with_open_groups(rows, usage_daily(t.calls()), ["provider", "day"])
+    rows, border = _appended(t, J.stream_usage_daily(_stream(t, "events", CALL)), "usage")
+    rows = J.with_open_groups(rows, usage_daily(t.calls()), (F.col("day") + F.expr("INTERVAL 1 DAY")).cast("timestamp"), border)
     return rows.select("provider", F.col("day").cast("string").alias("day"), "requests", F.col("tokens").cast("double").alias("tokens"))
 
 
 @query("stream_upsert", with_ctes("SELECT run_id, item_id, flag, status, attempts FROM results", "results"))
 def stream_upsert(t: Tables) -> DataFrame:
     path, checkpoint = _paths(t, "writes")
-    J.stream_upsert(_stream(t, "lineitem", RESULT_LOG), path, checkpoint).awaitTermination()
-    return J.read_state(t.spark, path, ["run_id", "item_id"], WRITE_ORDER).select("run_id", "item_id", "flag", "status", "attempts")
+    store = KeyedStore(t.spark, path, ["run_id", "item_id"], WRITE_ORDER)
+    J.stream_upsert(_stream(t, "lineitem", RESULT_LOG), store, checkpoint).awaitTermination()
+    return store.read().select("run_id", "item_id", "flag", "status", "attempts")
 
 
 @query(
@@ -61,8 +67,9 @@ def stream_upsert(t: Tables) -> DataFrame:
 )
 def stream_streaks(t: Tables) -> DataFrame:
     path, checkpoint = _paths(t, "streaks")
-    J.stream_streaks(_stream(t, "events", CALL), path, checkpoint).awaitTermination()
-    return J.read_streaks(t.spark, path, retire_at=3).select("key", "calls", "longest", "retired")
+    store = J.streak_store(t.spark, path)
+    J.stream_streaks(_stream(t, "events", CALL), store, checkpoint).awaitTermination()
+    return J.read_streaks(store, retire_at=3).select(F.col("key").cast("long").alias("key"), "calls", "longest", "retired")
 
 
 @query(
@@ -88,11 +95,17 @@ def stream_progress(t: Tables) -> DataFrame:
 )
 def stream_idle_runs(t: Tables) -> DataFrame:
     writes = ["user_id AS run_id", "CAST(ts AS TIMESTAMP) AS ts"]
-    rows = _appended(t, J.stream_idle_runs(_stream(t, "events", writes)), "idle")
-    rows = J.with_open_groups(rows, J.stream_idle_runs(t.raw("events").selectExpr(*writes)), ["run_id", "last_write"])
+    rows, border = _appended(t, J.stream_idle_runs(_stream(t, "events", writes)), "idle")
+    twin = J.stream_idle_runs(t.raw("events").selectExpr(*writes))
+    rows = J.with_open_groups(rows, twin, F.col("last_write") + F.expr("INTERVAL 12 MINUTES"), border)
     return rows.groupBy("run_id").agg(F.max("writes").alias("most_writes"), F.count(F.lit(1)).alias("stretches"))
 
 
 @query("stream_dedup", with_ctes("SELECT DISTINCT run_id, sha256(text) AS content_hash FROM docs", "docs"))
 def stream_dedup(t: Tables) -> DataFrame:
-    return _appended(t, J.stream_dedup(_stream(t, "documents", DOCUMENT)).select("run_id", "content_hash"), "arrivals")
+    path, checkpoint = _paths(t, "arrivals")
+    index = ArrivalIndex(t.spark, path)
+    # the tables say nothing of when a document came; its place in its run stands for it
+    arrived = _stream(t, "documents", DOCUMENT).withColumn("arrived", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_order", F.lit(7)).cast("int")))
+    J.stream_dedup(arrived, index, checkpoint, "arrived").awaitTermination()
+    return index.firsts().select("run_id", "content_hash")

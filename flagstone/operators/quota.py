@@ -46,9 +46,8 @@ def failure_streaks(calls: DataFrame, retire_at: int = fixed.RETIRE_AFTER) -> Da
 def streak_summary(calls: DataFrame, piece: str = "hour") -> DataFrame:
     """Per key: calls, leading failures (head), trailing failures (tail) and the longest run.
 
-    Two such summaries of consecutive stretches combine into one. Positions inside a piece of
-    time are exact; a run that began earlier is carried in from the pieces before, which are summarised
-    to one row each, so no task sees more than one piece (an hour by default) of one key.
+    Positions inside a piece of time are exact; the pieces, one row each, are folded afterwards, so no task
+    sees more than one piece (an hour by default) of one key.
     """
     inside = Window.partitionBy("key", "_piece").orderBy("ts", "call_id")
     row = (
@@ -63,6 +62,16 @@ def streak_summary(calls: DataFrame, piece: str = "hour") -> DataFrame:
         F.min(F.when(F.col("ok"), F.col("_pos"))).alias("_first_ok"),
         F.max("_last_ok").alias("_ok_at"),
     )
+    return fold_pieces(pieces)
+
+
+def fold_pieces(pieces: DataFrame) -> DataFrame:
+    """The streaks of each key from its pieces of time in order.
+
+    A piece says how many calls it has (`_n`), where its first and last success stand (`_first_ok`, `_ok_at`), the
+    failures before the first (`_open`) and the longest run behind a success (`_closed`). A run that began earlier is
+    carried in from the pieces before.
+    """
     before = Window.partitionBy("key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumns(
         {"_ok_first": F.col("_start") + F.col("_first_ok"), "_ok_last": F.col("_start") + F.col("_ok_at")}

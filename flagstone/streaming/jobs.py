@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
+from datetime import UTC, datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flagstone import fixed
 from flagstone.functions.predicates import is_committed
-from flagstone.functions.text import fingerprint
-from flagstone.operators.quota import streak_summary
-from flagstone.operators.state import current_state
+from flagstone.operators.quota import fold_pieces
+from flagstone.streaming.arrivals import ArrivalIndex
+from flagstone.streaming.store import KeyedStore
 
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -40,59 +46,100 @@ def stream_usage_daily(calls: DataFrame, watermark: str = "1 hour") -> DataFrame
     )
 
 
-def with_open_groups(closed: DataFrame, everything: DataFrame, keys: list[str]) -> DataFrame:
-    """The closing pass of a stream that has ended: groups given out, and those still open at the end.
+def last_watermark(query: StreamingQuery) -> datetime | None:
+    """How far a stream has closed its groups, from its progress; null if it never got a watermark."""
+    found = [p["eventTime"]["watermark"] for p in map(_plain, query.recentProgress) if p.get("eventTime", {}).get("watermark")]
+    return datetime.fromisoformat(max(found)).astimezone(UTC) if found else None
 
-    `everything` is the batch twin over the same rows; only its groups that were not given out count.
-    """
-    done = closed.select(*[F.col(k).alias(f"_d_{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
-    return closed.unionByName(everything.join(done, same, "left_anti"))
 
+def _plain(progress) -> dict:
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
 
-# --- result writes -------------------------------------------------------------------------------------------
-def stream_upsert(writes: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Result writes to a log with one folder per batch.
 
-    A batch that runs twice overwrites its own folder, so the log, and with it the current state,
-    does not depend on retries. Nothing stored is rewritten; `read_state` folds the log.
-    """
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(log_path, f"batch_id={batch_id}"))
+def with_open_groups(closed: DataFrame, everything: DataFrame, end: Column, border: datetime | None) -> DataFrame:
+    """The closing pass of a stream that has ended: groups given out, and those still open at the end.
 
-    return (
-        writes.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    `everything` is the batch twin over the same rows with its groups' `end`. A group is open if it ends beyond
+    `border`, the last watermark; a closed group comes from the stream or not at all, so one that the
+    stream loses shows as missing.
+    """
+    still = F.lit(True) if border is None else F.coalesce(end > F.lit(border), F.lit(False))
+    return closed.unionByName(everything.filter(still).select(*closed.columns))
 
 
-def read_state(spark: SparkSession, log_path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Current state of a write log."""
-    return current_state(spark.read.parquet(log_path).drop("batch_id"), keys, order)
+# --- result writes -------------------------------------------------------------------------------------------
+def stream_into(rows: DataFrame, store: KeyedStore, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Every batch of a stream into a store, once, however often it is tried."""
+    writer = rows.writeStream.outputMode(mode).foreachBatch(store.append)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def compact_log(spark: SparkSession, log_path: str, target: str, keys: list[str], order: list[str]) -> None:
-    """Fold a log into a snapshot with attempts, so that older batches can be dropped."""
-    read_state(spark, log_path, keys, order).write.mode("overwrite").parquet(target)
+def stream_upsert(writes: DataFrame, store: KeyedStore, checkpoint: str) -> StreamingQuery:
+    """Result writes to a store that keeps the last one of each key and their number."""
+    return stream_into(writes, store, checkpoint)
 
 
 # --- failure streaks -------------------------------------------------------------------------------------------
-def stream_streaks(calls: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Calls to a log with one folder per batch, from which `read_streaks` works out the streaks.
-
-    The order of calls is (ts, call_id), whatever batch they came in, so calls of equal time and calls
-    that come late count like all others. A retried batch overwrites its own folder.
+#: The calls of a piece in order: microseconds, call id, whether it went well.
+CALLS = np.dtype([("at", "<i8"), ("id", "<i8"), ("ok", "?")])
+SEGMENT = "key string, _piece timestamp, _n long, _open long, _closed long, _first_ok long, _ok_at long, _seen long"
+
+
+def segment(ok: np.ndarray) -> tuple[int, int | None, int, int | None, int | None]:
+    """What `fold_pieces` needs of a piece whose calls went well or not, in order."""
+    n, good = len(ok), np.flatnonzero(ok) + 1
+    if not len(good):
+        return n, n, 0, None, None
+    first, last = int(good[0]), int(good[-1])
+    return n, first - 1 or None, int(np.diff(np.append(good, n + 1)).max() - 1), first, last
+
+
+def _keep_piece(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    held = [np.frombuffer(state.get[0], CALLS)] if state.exists else []
+    end = 0
+    for frame in frames:
+        rows = np.empty(len(frame), CALLS)
+        rows["at"], rows["id"], rows["ok"] = frame["at"], frame["call_id"], frame["ok"]
+        held.append(rows)
+        end = max(end, int(frame["piece_end"].max()))
+    calls = np.sort(np.concatenate(held), order=["at", "id"])
+    state.update((calls.tobytes(),))
+    # the piece can no longer change once the watermark has passed its end
+    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+    values = dict(zip(["_n", "_open", "_closed", "_first_ok", "_ok_at"], segment(calls["ok"]), strict=True))
+    yield pd.DataFrame({"key": [key[0]], "_piece": [key[1]], **{k: pd.array([v], "Int64") for k, v in values.items()}, "_seen": [len(calls)]})
+
+
+def stream_streaks(calls: DataFrame, store: KeyedStore, checkpoint: str, piece: str = "day", horizon: str = "1 day") -> StreamingQuery:
+    """Failure streaks as a stateful stream: the state of a key is cut into pieces of time (`piece`, a unit that
+    date_trunc knows), each holding its calls in order until the watermark, `horizon` behind the latest call, has passed
+    its end; then it is dropped.
+
+    Each change of a piece gives out its segment, a row that merges with those of other pieces (`read_streaks`), so ties
+    and calls that come late within the horizon count, and nothing is read again. Calls later than the horizon are dropped
+    and counted in the stream's progress. A state is as large as one piece of one key (17 bytes a call).
     """
+    at = F.date_trunc(piece, "ts")
+    end = F.unix_millis(at + F.expr(f"INTERVAL 1 {piece}"))
+    rows = calls.filter("ts is not null").withWatermark("ts", horizon).select(
+        F.col("key").cast("string").alias("key"), at.alias("_piece"), "ts", F.unix_micros("ts").alias("at"),
+        F.col("call_id").cast("long").alias("call_id"), F.coalesce("ok", F.lit(False)).alias("ok"), end.alias("piece_end"),
+    )
+    segments = rows.groupBy("key", "_piece").applyInPandasWithState(_keep_piece, SEGMENT, "calls binary", "update", GroupStateTimeout.EventTimeTimeout)
+    return stream_into(segments, store, checkpoint, "update")
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        batch.select("key", "ts", "call_id", "ok").write.mode("overwrite").parquet(os.path.join(log_path, f"batch_id={batch_id}"))
 
-    return calls.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def streak_store(spark: SparkSession, root: str, fanout: int = 8) -> KeyedStore:
+    """Where segments go: of one piece the one that has seen most calls counts."""
+    return KeyedStore(spark, root, ["key", "_piece"], ["_seen"], fanout)
 
 
-def read_streaks(spark: SparkSession, log_path: str, retire_at: int = fixed.RETIRE_AFTER) -> DataFrame:
-    """Failure streaks per key over all calls landed: calls, tail, longest, retired."""
-    summary = streak_summary(spark.read.parquet(log_path).drop("batch_id"))
+def read_streaks(store: KeyedStore, retire_at: int = fixed.RETIRE_AFTER) -> DataFrame:
+    """Failure streaks per key over all calls so far: calls, tail, longest, retired."""
+    summary = fold_pieces(store.read().drop("_seen", "attempts"))
     return summary.select("key", "calls", "tail", "longest", (F.col("longest") >= retire_at).alias("retired"))
 
 
@@ -144,10 +191,7 @@ def stream_idle_runs(writes: DataFrame, idle: str = "12 minutes", watermark: str
     )
 
 
-def stream_dedup(documents: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """First arrival of each text of a run. With (column, delay) old texts are forgotten."""
-    hashed = documents.withColumn("content_hash", fingerprint(F.col("text")))
-    keys = ["run_id", "content_hash"]
-    if watermark:
-        return hashed.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
-    return hashed.dropDuplicates(keys)
+def stream_dedup(documents: DataFrame, index: ArrivalIndex, checkpoint: str, arrived: str) -> StreamingQuery:
+    """First arrival of each text of a run within the index's horizon; `arrived` is the time column."""
+    writer = documents.writeStream.foreachBatch(lambda batch, batch_id: index.append(batch, batch_id, arrived))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -96,11 +96,11 @@ def test_streamed_streaks_with_ties_late_and_retried_calls(spark, tmp_path):
         [("k", 0, at(-90), False), ("j", 6, at(-1), False), ("k", 7, at(9), True)],
     ]
     source, log, check = (os.path.join(str(tmp_path), n) for n in ("in", "log", "check"))
+    store = jobs.streak_store(spark, log, fanout=2)
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        jobs.stream_streaks(spark.readStream.schema(schema).parquet(source), log, check).awaitTermination()
-    spark.createDataFrame(batches[2], schema).write.mode("overwrite").parquet(os.path.join(log, "batch_id=2"))
-    got = {r["key"]: (r["calls"], r["longest"], r["tail"]) for r in jobs.read_streaks(spark, log).collect()}
+        jobs.stream_streaks(spark.readStream.schema(schema).parquet(source), store, check, "hour").awaitTermination()
+    got = {r["key"]: (r["calls"], r["longest"], r["tail"]) for r in jobs.read_streaks(store).collect()}
     twin = quota.streak_summary(spark.createDataFrame([x for rows in batches for x in rows], schema))
     assert got == {r["key"]: (r["calls"], r["longest"], r["tail"]) for r in twin.collect()} == {"k": (6, 5, 0), "j": (2, 1, 0)}
 
@@ -121,9 +121,15 @@ def test_hits_left_out_are_counted(spark):
 
 
 def test_groups_still_open_at_the_end_come_out(spark):
-    closed = spark.createDataFrame([("a", 1, 5), (None, 1, 2)], "k string, d int, n int")
-    twin = spark.createDataFrame([("a", 1, 5), (None, 1, 2), ("a", 2, 3)], "k string, d int, n int")
-    assert sorted((r["k"] or "", r["d"], r["n"]) for r in jobs.with_open_groups(closed, twin, ["k", "d"]).collect()) == [("", 1, 2), ("a", 1, 5), ("a", 2, 3)]
+    at = lambda d: datetime.datetime(2024, 1, d)
+    closed = [("a", at(1), 5), (None, at(1), 2)]
+    twin = spark.createDataFrame([*closed, ("a", at(2), 3)], "k string, d timestamp, n int")
+    end, border = F.col("d") + F.expr("INTERVAL 1 DAY"), datetime.datetime(2024, 1, 2, 7, tzinfo=datetime.UTC)
+    whole = lambda rows, border: sorted((r["k"] or "", r["d"].day, r["n"]) for r in jobs.with_open_groups(spark.createDataFrame(rows, twin.schema), twin, end, border).collect())
+    assert whole(closed, border) == [("", 1, 2), ("a", 1, 5), ("a", 2, 3)]
+    # a closed group that the stream lost stays lost
+    assert whole(closed[:1], border) == [("a", 1, 5), ("a", 2, 3)]
+    assert whole([], None) == [("", 1, 2), ("a", 1, 5), ("a", 2, 3)]
 
 
 def test_pieces_of_time_do_not_change_the_result(spark):
@@ -135,3 +141,24 @@ def test_pieces_of_time_do_not_change_the_result(spark):
     asked = calls.withColumnRenamed("key", "provider")
     served = lambda piece: {r["call_id"] for r in quota.admit_daily(asked, {"k": 57}, piece=piece).collect() if r["admission"] == "SERVED"}
     assert served("minute") == served("second") == set(range(57))
+
+
+@pytest.mark.parametrize("gone", ["flagstone.llm", "zstandard"])
+def test_missing_packages_do_not_take_the_core_queries_along(gone):
+    """In a process of its own, as imports are kept."""
+    import subprocess
+    import sys
+
+    code = (
+        "import sys, warnings\n"
+        f"sys.modules[{gone!r}] = None\n"
+        "import __spark_entry__ as e\n"
+        "with warnings.catch_warnings(record=True) as said:\n"
+        "    warnings.simplefilter('always')\n"
+        "    names = set(e.queries())\n"
+        "assert 'assessment' in names and not any(n.startswith('op1_') or n == 'pipeline' for n in names), names\n"
+        f"assert any({gone.split('.')[-1]!r} in str(w.message) for w in said), said\n"
+    )
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stderr

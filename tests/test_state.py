@@ -99,11 +99,12 @@ def test_streamed_streaks_over_batches_equal_one_batch(spark, tmp_path):
     random.seed(3)
     oks = [random.random() > 0.85 for _ in range(240)]
     source, state, check = (os.path.join(str(tmp_path), n) for n in ("in", "state", "check"))
+    store = J.streak_store(spark, state)
     for n in range(4):
         calls(spark, oks[n * 60:(n + 1) * 60], start=n * 60).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("key string, call_id long, ts timestamp, ok boolean").parquet(source)
-        J.stream_streaks(stream, state, check).awaitTermination()
-    row = J.read_streaks(spark, state).first()
+        J.stream_streaks(stream, store, check).awaitTermination()
+    row = J.read_streaks(store).first()
     assert (row["calls"], row["longest"]) == (240, brute_streak(oks))
 
 
