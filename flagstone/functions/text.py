@@ -152,14 +152,6 @@ def keywords_from(text: Column, hint: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(words), 1, most)
 
 
-def count_hits(low_text: Column, term: Column) -> Column:
-    """How often a lower-case term occurs, without overlaps; an empty term never does."""
-    removed = F.length(low_text) - F.length(F.replace(low_text, term, F.lit("")))
-    return F.when(F.length(term) > 0, F.floor(removed / F.length(term)).cast("bigint")).otherwise(
-        F.lit(0).cast("bigint")
-    )
-
-
 def excerpt(text: Column, terms: Column, radius: int = fixed.PASSAGE_RADIUS) -> Column:
     """Text around the earliest term, with ellipses where it was cut."""
     places = let(

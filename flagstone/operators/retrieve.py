@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flagstone import fixed
 from flagstone.functions import text as X
+from flagstone.functions.places import heading_places, term_counts
 from flagstone.operators.ordering import top_k
 
 
@@ -59,20 +59,10 @@ def split_pages(documents: DataFrame, size: int = fixed.CHUNK_CHARS) -> DataFram
 def score_chunks(chunks: DataFrame, searches: Sequence[Search]) -> DataFrame:
     """(chunk, item) pairs with a keyword score above zero.
 
-    Each distinct term is counted once per chunk; items then add up their own terms. All of it is
-    one projection: nothing is paired up or shuffled to be thrown away.
+    All terms are counted in one pass over a chunk; items then add up their own terms. Nothing is
+    paired up or shuffled to be thrown away.
     """
     terms = sorted({t for s in searches for t in s.terms})
-    low = F.col("_low")
-    hits = F.map_filter(
-        F.map_from_entries(
-            F.transform(
-                F.array(*[F.lit(t) for t in terms]),
-                lambda t: F.struct(t.alias("k"), X.count_hits(low, t).alias("v")),
-            )
-        ),
-        lambda _k, v: v > 0,
-    )
     wanted = F.array(
         *[
             F.struct(
@@ -104,7 +94,7 @@ def score_chunks(chunks: DataFrame, searches: Sequence[Search]) -> DataFrame:
     )
     return (
         chunks.withColumn("_low", F.lower("chunk"))
-        .withColumn("_hits", hits)
+        .withColumn("_hits", term_counts(F.col("_low"), terms))
         .filter(F.size("_hits") > 0)
         .select(*chunks.columns, F.explode(scored).alias("_s"))
         .select(*chunks.columns, "_s.item_id", "_s.terms", "_s.score")
@@ -135,45 +125,6 @@ def apply_budget(passages: DataFrame, budget: Column) -> DataFrame:
     )
 
 
-def best_heading_offset(low: Column, heading: str) -> Column:
-    """0-based place of the occurrence with the most digits behind it; null when there is none.
-
-    A contents line is followed by few digits, the note itself by many. Walks the occurrences in
-    one pass, holding only the best so far. `low` is the lower-cased text.
-    """
-    size = len(heading)
-    pieces = F.split(low, re.escape(heading.lower()))
-
-    def step(acc: Column, piece: Column) -> Column:
-        found = F.array(
-            F.struct(
-                (acc["pos"] + F.length(piece)).alias("at"),
-                F.length(
-                    F.regexp_replace(
-                        F.substring(low, acc["pos"] + F.length(piece) + size + 1, F.lit(fixed.HEADING_DIGIT_WINDOW)),
-                        r"[^0-9]", "",
-                    )
-                ).alias("digits"),
-            )
-        )
-        return F.get(
-            F.transform(
-                found,
-                lambda f: F.struct(
-                    (f["at"] + size).alias("pos"),
-                    F.when(f["digits"] > acc["digits"], f["at"]).otherwise(acc["best"]).alias("best"),
-                    F.greatest(f["digits"], acc["digits"]).alias("digits"),
-                ),
-            ),
-            F.lit(0),
-        )
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("best"), F.lit(-1).alias("digits"))
-    occurrences = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    walked = F.aggregate(occurrences, start, step)["best"]
-    return F.when(F.size(pieces) > 1, walked)
-
-
 def page_at(text: Column, offset: Column) -> Column:
     """Number of the last page marker before an offset."""
     numbers = F.regexp_extract_all(F.substring(text, F.lit(1), offset), F.lit(fixed.PAGE_MARKER), 1)
@@ -183,10 +134,6 @@ def page_at(text: Column, offset: Column) -> Column:
 def heading_sections(documents: DataFrame, searches: Sequence[Search]) -> DataFrame:
     """Every located heading with the text window behind it, one row per document, item and heading."""
     headings = sorted({h.lower() for s in searches for h in s.headings})
-    places = F.map_filter(
-        F.create_map(*[x for h in headings for x in (F.lit(h), best_heading_offset(F.col("_low"), h))]),
-        lambda _k, v: v.isNotNull(),
-    )
     wanted = F.array(
         *[
             F.struct(
@@ -208,7 +155,7 @@ def heading_sections(documents: DataFrame, searches: Sequence[Search]) -> DataFr
     others = [c for c in documents.columns if c != "text"]
     found = (
         documents.withColumn("_low", F.lower("text"))
-        .withColumn("_places", places)
+        .withColumn("_places", heading_places(F.col("_low"), headings))
         .filter(F.size("_places") > 0)
         .select(*others, "text", "_places", F.explode(hit).alias("_h"))
         .select(*others, "text", "_h.*", F.element_at(F.col("_places"), F.col("_h.heading")).alias("at"))
