@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flagstone import fixed
 from flagstone.functions.predicates import is_committed
 from flagstone.operators.quota import fold_pieces
+from flagstone.operators.state import current_state
 from flagstone.streaming.arrivals import ArrivalIndex
 from flagstone.streaming.store import KeyedStore
 
@@ -79,6 +80,16 @@ def stream_upsert(writes: DataFrame, store: KeyedStore, checkpoint: str) -> Stre
     return stream_into(writes, store, checkpoint)
 
 
+def read_state(spark: SparkSession, log_path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Current state of a plain log with one folder per batch, as other writers leave it."""
+    return current_state(spark.read.parquet(log_path).drop("batch_id"), keys, order)
+
+
+def compact_log(spark: SparkSession, log_path: str, target: str, keys: list[str], order: list[str]) -> None:
+    """Fold such a log into a snapshot with attempts, so that older batches can be dropped."""
+    read_state(spark, log_path, keys, order).write.mode("overwrite").parquet(target)
+
+
 # --- failure streaks -------------------------------------------------------------------------------------------
 #: The calls of a piece in order: microseconds, call id, whether it went well.
 CALLS = np.dtype([("at", "<i8"), ("id", "<i8"), ("ok", "?")])
