@@ -467,21 +467,24 @@ def decode_pieces(df: DataFrame, ids: str = "ids", into: str = "text", path: str
     return out.select(*([F.col("row.*")] if others else []), F.col("ids").alias(ids), F.col("text").alias(into))
 
 
-def sample_pieces(docs: DataFrame, k: int = 2, key: Column | None = None, seed: int = 1, path: str | None = None) -> DataFrame:
+def sample_pieces(
+    docs: DataFrame, k: int = 2, key: Column | None = None, seed: int = 1, path: str | None = None, copies: bool = False
+) -> DataFrame:
     """Up to k distinct segmentations of every row: ids, log probability, perturbed value, log of the chance of
     being included, and whether the ids decode to the text again.
 
-    Rows of one key and text that follow each other are copies, as mixing writes them, numbered from 0 by ``copy``;
-    each has samples of its own."""
+    With ``copies`` rows of one key and text that follow each other are copies, as mixing writes them, numbered from 0
+    by ``copy``; each has samples of its own (a copy that a file split parts from its twin is numbered 0 again).
+    Otherwise equal rows have equal samples, wherever they stand."""
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copies = Copies()
+        counter = Copies()
         for batch in batches:
             for part in chunks(batch, most=TEXT_AT_ONCE):
                 texts = part.column(1).to_pylist()
                 seeds = part.column(2).to_numpy().view(np.uint64)
-                number = copies.numbers(seeds, texts)
+                number = counter.numbers(seeds, texts) if copies else np.zeros(len(texts), np.int64)
                 seeds = np.where(number > 0, mix(seeds + number.astype(np.uint64)), seeds)
                 search = Search(lattices(path), texts, seeds, k)
                 limit = search.threshold()

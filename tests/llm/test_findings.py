@@ -194,13 +194,13 @@ def test_copies_have_samples_of_their_own_and_ids_decode(spark):
     texts = [prose(3, 60), "", None, "if x:\n    return  y", "日本 ▁x"]
     rows = [(i, t, 7) for i, t in enumerate(texts) for _ in range(3)] + [(None, texts[0], 7), (0, prose(4, 30), 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row int").coalesce(1)
-    got = pieces.sample_pieces(df, k=1).collect()
+    got = pieces.sample_pieces(df, k=1, copies=True).collect()
     by = defaultdict(dict)
     for r in got:
         by[r.doc_id, r["copy"] if r.doc_id is not None else "n"][r.sample] = tuple(r.ids)
     assert len({by[0, c][1] for c in range(3)}) == 3
     assert len(got) == len(rows)
-    again = pieces.sample_pieces(df, k=1).collect()
+    again = pieces.sample_pieces(df, k=1, copies=True).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     stored = pieces.sample_pieces(df, k=2).withColumn("text", F.lit("old")).withColumn("row", F.struct("doc_id"))
     decoded = pieces.decode_pieces(stored)
