@@ -20,6 +20,7 @@ empty table gives no rows; only doc_id and text are read; long texts are read wh
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -278,8 +279,8 @@ def scan_licenses(docs: DataFrame, least: float = 0.8, templates: list[tuple] |
                 # hits of one text stand together
                 order = np.argsort(doc, kind="stable")
                 doc, templates, starts = doc[order], templates[order], (at - places)[order]
-                cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-                for b, c in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+                cuts = [*np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)]).tolist(), len(doc)]
+                for b, c in itertools.pairwise(cuts):
                     i = int(doc[b])
                     a = offsets[i]
                     for score, matched, template, x, y in findings(words[a : offsets[i + 1]], templates[b:c], starts[b:c] - a, index, least):

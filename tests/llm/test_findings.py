@@ -210,3 +210,9 @@ def test_copies_have_samples_of_their_own_and_ids_decode(spark):
         assert r.text in (want[r.doc_id], prose(4, 30))
     bare = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [r.text for r in pieces.decode_pieces(bare).collect()] == [None, ""]
+
+
+def test_texts_without_any_hit(spark):
+    for texts in ([None], [""], ["no word of a notice", None, "x"]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        assert licences.scan_licenses(df).count() == 0
