@@ -79,16 +79,15 @@ def dedup_url(t: Tables) -> DataFrame:
     return RS.dedup_by_url(hits(t), ["company_id", "item_id"], ["query_idx", "pos"]).select("company_id", "item_id", "url", "page_id")
 
 
-@query(
-    "research_hits",
-    with_ctes(
-        f"SELECT company_id, item_id, rn, url, passage FROM (SELECT *, CASE WHEN title <> '' AND snippet <> '' THEN title || ' — ' || snippet ELSE title || snippet END AS passage, "
-        f"row_number() OVER (PARTITION BY company_id, item_id ORDER BY query_idx, pos, url) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY company_id, item_id, url ORDER BY query_idx, pos) AS u FROM h "
-        f"WHERE url <> '' AND NOT {_host_in('url', fixed.BLOCKED_HOSTS)} AND NOT ({_RESEARCH} AND {_host_in('url', fixed.FILING_HOSTS)}) AND ({_PERSON} OR {_RELEVANT})) WHERE u = 1) "
-        f"WHERE rn <= CASE WHEN {_RESEARCH} THEN 5 ELSE 3 END AND passage <> ''",
-        h=_HITS,
-    ),
+HITS_KEPT_SQL = (
+    f"SELECT company_id, item_id, rn, url, passage FROM (SELECT *, CASE WHEN title <> '' AND snippet <> '' THEN title || ' — ' || snippet ELSE title || snippet END AS passage, "
+    f"row_number() OVER (PARTITION BY company_id, item_id ORDER BY query_idx, pos, url) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY company_id, item_id, url ORDER BY query_idx, pos) AS u FROM h "
+    f"WHERE url <> '' AND NOT {_host_in('url', fixed.BLOCKED_HOSTS)} AND NOT ({_RESEARCH} AND {_host_in('url', fixed.FILING_HOSTS)}) AND ({_PERSON} OR {_RELEVANT})) WHERE u = 1) "
+    f"WHERE rn <= CASE WHEN {_RESEARCH} THEN 5 ELSE 3 END AND passage <> ''"
 )
+
+
+@query("research_hits", with_ctes(HITS_KEPT_SQL, h=_HITS))
 def research_hits(t: Tables) -> DataFrame:
     return RS.research_hits(hits(t)).select("company_id", "item_id", "rn", "url", "passage")
 

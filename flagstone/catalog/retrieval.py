@@ -27,16 +27,22 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-_TERMS = "SELECT * FROM (VALUES " + ", ".join(f"('{s.item_id}', {_list(s.doc_types)}, {_list(s.terms)})" for s in SEARCHES) + ") AS t(item_id, doc_types, terms)"
-_HEADINGS = (
-    "SELECT * FROM (VALUES "
-    + ", ".join(
+
+def terms_sql(searches) -> str:
+    rows = ", ".join(f"('{s.item_id}', {_list(s.doc_types)}, {_list(s.terms)})" for s in searches if s.terms)
+    return f"SELECT * FROM (VALUES {rows}) AS t(item_id, doc_types, terms)"
+
+
+def headings_sql(searches) -> str:
+    rows = ", ".join(
         f"('{s.item_id}', {_list(s.doc_types)}, {i}, '{h.lower()}', {fixed.NOTE_WINDOW if s.note_mode else fixed.SECTION_WINDOW}, "
         f"{fixed.NOTE_BUDGET if s.note_mode else fixed.PASSAGE_BUDGET})"
-        for s in SEARCHES for i, h in enumerate(s.headings)
+        for s in searches for i, h in enumerate(s.headings)
     )
-    + ") AS t(item_id, doc_types, heading_idx, heading, win, budget)"
-)
+    return f"SELECT * FROM (VALUES {rows}) AS t(item_id, doc_types, heading_idx, heading, win, budget)"
+
+
+_TERMS, _HEADINGS = terms_sql(SEARCHES), headings_sql(SEARCHES)
 _CHUNKS = (
     "SELECT run_id, doc_id, doc_order, doc_type, unlisted, i AS chunk_idx, substr(text, CAST(i * 3000 + 1 AS BIGINT), 3000) AS chunk "
     "FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 3000.0) AS BIGINT))) AS i FROM docs)"
@@ -55,10 +61,11 @@ _TOP = (
     f"SELECT *, {_EXCERPT} AS passage FROM (SELECT *, {_AT} AS spot, row_number() OVER (PARTITION BY run_id, item_id ORDER BY score DESC, doc_order, chunk_idx) AS rn "
     "FROM scored WHERE score > 0) WHERE rn <= 4"
 )
+KEYWORD_STEPS = {"scored": _SCORED, "top": _TOP}
 _KEYWORD = {"terms": _TERMS, "chunks": _CHUNKS, "scored": _SCORED, "top": _TOP}
 
 
-def _budget(source: str, budget: str) -> str:
+def budget_sql(source: str, budget: str) -> str:
     return (
         f"SELECT *, substr(passage, 1, CAST({budget} - used AS BIGINT)) AS kept FROM (SELECT *, coalesce(sum(length(passage)) OVER (PARTITION BY run_id, item_id ORDER BY rn "
         f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM {source}) WHERE used < {budget}"
@@ -72,7 +79,7 @@ def doc_chunks(t: Tables) -> DataFrame:
     )
 
 
-_MARKED = (
+MARKED = (
     "'===== PAGE ' || CAST(doc_id % 5 + 1 AS STRING) || ' =====\n' || substr(text, 1, 1500) || '\n\n=====  PAGE ' || CAST(doc_id % 5 + 7 AS STRING) || ' =====\n' || substr(text, 1501)"
 )
 
@@ -86,7 +93,7 @@ _MARKED = (
     ),
 )
 def marked_pages(t: Tables) -> DataFrame:
-    return RT.split_pages(t.documents().withColumn("text", F.expr(_MARKED))).select("doc_id", "chunk_idx", "page", "chunk")
+    return RT.split_pages(t.documents().withColumn("text", F.expr(MARKED))).select("doc_id", "chunk_idx", "page", "chunk")
 
 
 @query("keyword_score", with_ctes("SELECT doc_id, chunk_idx, item_id, score FROM scored WHERE score > 0", "docs", **_KEYWORD))
@@ -107,7 +114,7 @@ def top_passages(t: Tables) -> DataFrame:
     )
 
 
-@query("passage_budget", with_ctes("SELECT run_id, item_id, rn, kept AS passage FROM b", "docs", **_KEYWORD, b=_budget("top", "4000")))
+@query("passage_budget", with_ctes("SELECT run_id, item_id, rn, kept AS passage FROM b", "docs", **_KEYWORD, b=budget_sql("top", "4000")))
 def passage_budget(t: Tables) -> DataFrame:
     top = RT.top_passages(RT.split_pages(t.documents()), SEARCHES)
     return RT.apply_budget(top, F.lit(4000)).select("run_id", "item_id", "rn", "passage")
@@ -123,7 +130,8 @@ _SECTIONS = (
     f"SELECT *, {TRIM.format('substr(text, spot + 1, win)')} AS passage FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, heading_idx ORDER BY digits DESC, spot) AS pick FROM places) WHERE pick = 1"
 )
 _HEAD_TOP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, item_id ORDER BY doc_order, heading_idx) AS rn FROM sections) WHERE rn <= 4"
-_HEADING = {"headings": _HEADINGS, "places": _PLACES, "sections": _SECTIONS, "htop": _HEAD_TOP, "hb": _budget("htop", "budget")}
+HEADING_STEPS = {"places": _PLACES, "sections": _SECTIONS, "htop": _HEAD_TOP, "hb": budget_sql("htop", "budget")}
+_HEADING = {"headings": _HEADINGS, **HEADING_STEPS}
 
 
 @query("heading_section", with_ctes("SELECT doc_id, item_id, heading_idx, spot, length(passage) AS chars, sha256(passage) AS digest FROM sections", "docs", **_HEADING))
@@ -137,11 +145,11 @@ def heading_section(t: Tables) -> DataFrame:
     with_ctes(
         "SELECT run_id, item_id, rn, doc_id, kept AS passage, 'heading' AS found_by FROM hb UNION ALL SELECT run_id, item_id, rn, doc_id, kept, 'keyword' FROM kb k "
         "WHERE NOT EXISTS (SELECT 1 FROM hb WHERE hb.run_id = k.run_id AND hb.item_id = k.item_id)",
-        "docs", **_HEADING, **_KEYWORD, kb=_budget("top", "6500"),
+        "docs", **_HEADING, **_KEYWORD, kb=budget_sql("top", "6500"),
     ),
 )
 def document_evidence(t: Tables) -> DataFrame:
-    return RT.document_evidence(t.documents(), SEARCHES).drop("page")
+    return RT.document_evidence(t.documents(), SEARCHES).drop("page", "url")
 
 
 @query(

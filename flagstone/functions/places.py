@@ -57,6 +57,8 @@ def _once(run, kind: str):
 def term_counts(low: Column, terms: Sequence[str]) -> Column:
     """Map from each term found in a lower-cased text to its number of occurrences; empty terms are never found."""
     wanted = tuple(dict.fromkeys(t for t in terms if t))
+    if not wanted:
+        return F.expr("cast(map() as map<string,bigint>)")
 
     def count(text: str) -> dict[int, int]:
         out: dict[int, int] = {}
@@ -84,6 +86,8 @@ def heading_places(low: Column, headings: Sequence[str], window: int = fixed.HEA
     A contents line is followed by few digits, the note itself by many: the occurrence with the most digits in the
     ``window`` behind it is the best, the first of several."""
     wanted = tuple(dict.fromkeys(h for h in headings if h))
+    if not wanted:
+        return F.expr("cast(map() as map<string,int>)")
 
     def best(text: str) -> dict[int, int]:
         found = list(occurrences(text, wanted))

@@ -73,7 +73,7 @@ def score_chunks(chunks: DataFrame, searches: Sequence[Search]) -> DataFrame:
             for s in searches
             if s.terms
         ]
-    )
+    ).cast("array<struct<item_id:string,doc_types:array<string>,terms:array<string>>>")
     scored = F.filter(
         F.transform(
             wanted,
@@ -147,7 +147,7 @@ def heading_sections(documents: DataFrame, searches: Sequence[Search]) -> DataFr
             for s in searches
             for i, h in enumerate(s.headings)
         ]
-    )
+    ).cast("array<struct<item_id:string,doc_types:array<string>,heading_idx:int,heading:string,window:int,budget:int>>")
     hit = F.filter(
         wanted,
         lambda w: readable(w["doc_types"]) & F.map_contains_key(F.col("_places"), w["heading"]),
@@ -180,11 +180,11 @@ def heading_passages(documents: DataFrame, searches: Sequence[Search], k: int =
 def document_evidence(documents: DataFrame, searches: Sequence[Search]) -> DataFrame:
     """Passages of each run and item: by heading where one is found, else by keyword.
 
-    Needs run_id, doc_id, doc_order, doc_type, unlisted and text; fetch_status is heeded if there.
+    Needs run_id, doc_id, doc_order, doc_type, unlisted and text; fetch_status is heeded and url carried if there.
     """
     documents = with_text(documents)
     by_heading = heading_passages(documents, [s for s in searches if s.headings])
-    columns = ["run_id", "item_id", "rn", "doc_id", "page", "passage"]
+    columns = ["run_id", "item_id", "rn", "doc_id", "page", "passage", *(["url"] if "url" in documents.columns else [])]
     by_keyword = apply_budget(top_passages(split_pages(documents), searches), F.lit(fixed.PASSAGE_BUDGET))
     both = by_heading.select(*columns, F.lit("heading").alias("found_by")).unionByName(
         by_keyword.select(*columns, F.lit("keyword").alias("found_by"))

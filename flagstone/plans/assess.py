@@ -15,6 +15,7 @@ from flagstone.functions import rules as R
 from flagstone.operators import classify as C
 from flagstone.operators import finance as fin
 from flagstone.operators.state import Checklist, grid, results_by_run
+from flagstone.plans import evidence as EV
 
 _ROW = "struct<value:string,evidence:string,series:array<string>>"
 FINDING_COLUMNS = ["value", "evidence", "rationale", "source", "deferred"]
@@ -76,7 +77,8 @@ def analyses(
     unfold only then, so no shuffle ever carries runs times items.
     """
     by_company = structured_by_company(statements)
-    found = results_by_run(findings, checklist, FINDING_COLUMNS).withColumnRenamed("_by_item", "_found")
+    folded = findings if _is_folded(findings) else results_by_run(findings, checklist, FINDING_COLUMNS)
+    found = folded.withColumnRenamed("_by_item", "_found")
     judged = results_by_run(C.opinions_wide(opinions, ["run_id", "item_id"]), checklist, ["first", "second"])
     joined = (
         runs.join(by_company, "company_id", "left")
@@ -100,6 +102,7 @@ def analyses(
         }
     )
     structured = F.col("_m.value").isNotNull()
+    lineage = [F.when(~structured, F.col(f"_f.{c}")).alias(c) for c in EV.LINEAGE] if _is_folded(findings) else []
     sized = F.struct(*[(F.col(f"scale.{c}") / scale_divisor).alias(c) for c in ("net_worth", "revenue", "profit")])
     return cells.select(
         *runs.columns, "item_id", *columns,
@@ -111,10 +114,15 @@ def analyses(
         F.when(structured, "structured").otherwise(F.coalesce("_f.source", F.lit("none"))).alias("source"),
         (F.coalesce("_f.deferred", F.lit(False)) & ~structured).alias("deferred"),
         F.when(F.col("scale").isNotNull(), sized).alias("scale"),
-        F.col("_j.first").alias("first"), F.col("_j.second").alias("second"),
+        F.col("_j.first").alias("first"), F.col("_j.second").alias("second"), *lineage,
     ).withColumn("from_web", F.col("source") == "web")
 
 
+def _is_folded(findings: DataFrame) -> bool:
+    """Findings of the evidence stage come as one row per run and carry their lineage."""
+    return "_by_item" in findings.columns
+
+
 def _metrics(checklist: Checklist) -> dict[str, str]:
     found = {i.id: ST.BY_ITEM[i.id].metric for i in checklist.items if i.id in ST.BY_ITEM and ST.BY_ITEM[i.id].metric}
     return found or {"": ""}
@@ -129,7 +137,10 @@ def run_assessment(
 
     Without `results`, or under force or a scope, everything in scope is evaluated; otherwise only
     what is not committed yet. An item whose finding is deferred stays DEFERRED and carries no flag.
+    Findings of `evidence.with_readings` bring document, page, link, confidence, reader and error along:
+    the result then has them too, and an item whose reading failed ends in ERROR.
     """
+    traced = _is_folded(findings)
     scoped = checklist.scoped(item_ids, sections)
     resume = results if results is not None and not force and scoped is checklist else None
     owned = runs.select("run_id", "company_id").join(companies.select("company_id", "ticker"), "company_id", "left")
@@ -148,6 +159,9 @@ def run_assessment(
     )
     skip, deferred = F.col("skip"), F.col("deferred") & ~F.col("skip")
     own = F.when(F.col("source") == "structured", "deterministic")
+    sure = F.when(skip | (F.col("source") == "structured"), 0.9)
+    if traced:
+        return _traced(flagged, skip, deferred, verdict, own, sure)
     return flagged.select(
         "run_id", "company_id", "item_id", "section_code", "non_negotiable",
         F.when(skip, "not_applicable").when(deferred, "deferred").otherwise(F.col("rule_fired")).alias("rule_fired"),
@@ -156,7 +170,27 @@ def run_assessment(
         F.when(skip, "not applicable").otherwise(F.col("value")).alias("value"),
         F.when(skip, fixed.LISTED_ONLY_VERDICT).when(~deferred, verdict).alias("verdict"),
         "evidence",
-        F.when(skip | (F.col("source") == "structured"), 0.9).when(F.col("source") == "web", 0.3).otherwise(0.6).alias("confidence"),
+        sure.when(F.col("source") == "web", 0.3).otherwise(0.6).alias("confidence"),
         F.when(~deferred, F.col("gate_pass")).alias("gate_pass"),
         P.provider_set(own, F.col("provider")).alias("provider"),
     )
+
+
+def _traced(flagged: DataFrame, skip: Column, deferred: Column, verdict: Column, own: Column, sure: Column) -> DataFrame:
+    """Results with their lineage. What is skipped cites nothing; a failed reading has no answer, and says why."""
+    failed = F.col("error").isNotNull() & ~skip
+    read = F.when(~failed, P.provider_set(own, F.col("reader"), F.col("provider")))
+    place = [F.when(~skip, F.col(c)).alias(c) for c in ("doc_id", "page", "url")]
+    return flagged.select(
+        "run_id", "company_id", "item_id", "section_code", "non_negotiable",
+        F.when(skip, "not_applicable").when(failed, "error").when(deferred, "deferred").otherwise(F.col("rule_fired")).alias("rule_fired"),
+        F.when(failed, "ERROR").when(deferred, "DEFERRED").when(F.col("needs_review"), "NEEDS_REVIEW").otherwise("DONE").alias("status"),
+        F.when(~deferred, F.col("flag")).alias("flag"),
+        F.when(skip, "not applicable").otherwise(F.col("value")).alias("value"),
+        F.when(skip, fixed.LISTED_ONLY_VERDICT).when(failed, F.concat(F.lit("Error: "), F.col("error"))).when(~deferred, verdict).alias("verdict"),
+        F.when(~skip, F.col("evidence")).alias("evidence"),
+        sure.when(~deferred, P.confidence_score(F.coalesce("confidence", F.lit("low")))).alias("confidence"),
+        F.when(~deferred, F.col("gate_pass")).alias("gate_pass"),
+        read.alias("provider"), F.when(skip, "none").otherwise(F.col("source")).alias("source"), *place,
+        F.when(failed, F.col("error")).when(deferred, "no reading yet").alias("error"),
+    )
