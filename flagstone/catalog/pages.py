@@ -103,3 +103,58 @@ def page_links(t: Tables) -> DataFrame:
 )
 def page_list_items(t: Tables) -> DataFrame:
     return PG.list_items(t.raw("pages"))
+
+
+_QUARTERS = "SELECT l_suppkey AS company_id, year(l_shipdate) AS y, quarter(l_shipdate) AS q, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3"
+
+
+@query(
+    "page_quarters",
+    "SELECT company_id, CASE WHEN company_id % 4 = 3 THEN 'Sales of which9' ELSE 'Sales' END AS label, CAST(row_number() OVER (PARTITION BY company_id ORDER BY y, q) - 1 AS INT) AS period_idx, "
+    f"'Q' || q || ' ' || y AS period, CAST(n AS VARCHAR) AS raw FROM ({_QUARTERS}) SEMI JOIN supplier ON s_suppkey = company_id",
+)
+def page_quarters(t: Tables) -> DataFrame:
+    rows = PG.structure_pages(t.quarterly_pages()).select("company_id", F.col("quarters.periods").alias("p"), F.explode("quarters.rows").alias("r"))
+    return rows.select("company_id", "r.label", F.posexplode(F.arrays_zip(F.col("p").alias("period"), F.col("r.values").alias("raw"))).alias("period_idx", "x")).select(
+        "company_id", "label", "period_idx", "x.period", "x.raw"
+    )
+
+
+_WITH_LINES = "FROM supplier SEMI JOIN lineitem ON l_suppkey = s_suppkey"
+
+
+@query(
+    "page_peers",
+    f"SELECT s_suppkey AS company_id, 0 AS row_idx, s_name AS Name, 'C-' || s_suppkey AS Code {_WITH_LINES} UNION ALL SELECT s_suppkey, 1, 'Next & Co', 'C-' || (s_suppkey + 1) {_WITH_LINES}",
+)
+def page_peers(t: Tables) -> DataFrame:
+    peers = PG.structure_pages(t.quarterly_pages()).select("company_id", F.col("peers.columns").alias("c"), F.posexplode("peers.rows").alias("row_idx", "r"))
+    named = F.map_from_arrays("c", "r")
+    return peers.select("company_id", "row_idx", named["Name"].alias("Name"), named["Code"].alias("Code"))
+
+
+@query(
+    "page_quarterly_holding",
+    "SELECT s_suppkey AS company_id, 'Jun' AS period, (s_suppkey % 60) || '.5%' AS promoters, CASE WHEN s_suppkey % 4 = 2 THEN '1 end tags without a start, 1 elements without an end' END AS markup_error, 2 AS peers "
+    + _WITH_LINES,
+)
+def page_quarterly_holding(t: Tables) -> DataFrame:
+    s = PG.structure_pages(t.quarterly_pages())
+    return s.select(
+        "company_id", F.col("shareholding.periods")[0].alias("period"), F.col("shareholding.rows")[0]["values"][0].alias("promoters"),
+        "markup_error", F.size("peers.rows").alias("peers"),
+    )
+
+
+def _count(pattern: str, text: str = "html") -> str:
+    return f"CAST(len(regexp_extract_all({text}, '{pattern}')) AS INT)"
+
+
+@query(
+    "page_outline",
+    "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, "
+    + f"{_count('<h[123][ >]')} AS headings, {_count('<p[ >]', "regexp_extract(html, '(?s)<article.*</article>')")} AS paragraphs, {_count('<a ')} AS links, "
+    + f"{_count('<a ', "regexp_extract(html, '(?s)<nav.*</nav>')")} AS nav_links FROM pages",
+)
+def page_outline(t: Tables) -> DataFrame:
+    return PG.outline(t.raw("pages")).drop("markup_error")

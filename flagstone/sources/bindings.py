@@ -308,3 +308,27 @@ class Tables:
             .repartition(self.spark.sparkContext.defaultParallelism, "company_id")
             .select("company_id", F.concat(F.lit("https://pages.example.org/company/"), cid, F.lit("/")).alias("url"), html.alias("html"))
         )
+
+    def quarterly_pages(self) -> DataFrame:
+        """A page of each company with quarters, peers and both shareholding tables, in four shapes: a section
+        with an id, a section found by its heading only, one with end tags missing and stray, one with a table in a cell."""
+        sums = self.spread("lineitem").groupBy(
+            F.col("l_suppkey").alias("company_id"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")
+        ).agg(F.sum("l_quantity").cast("bigint").alias("n"))
+        rows = sums.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("y", "q", "n"))).alias("quarters"))
+        head = "array_join(transform(quarters, x -> concat('<th>Q', x.q, ' ', x.y, '</th>')), '')"
+        figure = "array_join(transform(quarters, x -> concat('<td>', x.n, if(company_id % 4 = 2, '', '</td>'))), '')"
+        html = f"""concat('<html><body><h1>', name, '</h1>',
+            if(company_id % 4 = 1, '<section><h2>Quarterly  Results</h2>', '<section id="quarters">'),
+            '<table class="wide data-table"><thead><tr><th></th>', {head}, '</tr></thead><tbody><tr>',
+            CASE company_id % 4 WHEN 2 THEN '<td>Sales&nbsp;+' WHEN 3
+                THEN '<td>Sales <table class="data-table"><tbody><tr><td>of which</td><td>9</td></tr></tbody></table></td>'
+                ELSE '<td>Sales&nbsp;+</td>' END, {figure}, if(company_id % 4 = 2, '', '</tr>'), '</tbody></table>',
+            if(company_id % 4 = 2, '</div><span>', ''), '</section>',
+            '<section id="peers"><table><tr><th>Name</th><th>Code</th></tr><tr><td>', name, '</td><td>C-', company_id,
+            '</td></tr><tr><td></td><td></td></tr><tr><td>Next &amp; Co</td><td>C-', company_id + 1, '</td></tr></table></section>',
+            '<section id="shareholding"><div id="yearly-shp"><table class="data-table"><tbody><tr><td>Promoters</td><td>1%</td></tr></tbody></table></div>',
+            '<div id="quarterly-shp"><table class="data-table"><thead><tr><th></th><th>Jun</th></tr></thead><tbody><tr><td>Promoters</td><td>',
+            company_id % 60, '.5%</td></tr></tbody></table></div></section></body></html>')"""
+        url = "concat('https://pages.example.org/company/', company_id, '/')"
+        return rows.join(self.companies(), "company_id").selectExpr("company_id", f"{url} AS url", f"{html} AS html")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql.types import StructType
 
 from flagstone import fixed
 from flagstone.functions import text as X
+from flagstone.functions.once import let
+from flagstone.sources import markup as M
 
 _TABLE = "struct<periods:array<string>,rows:array<struct<label:string,values:array<string>>>>"
 # field -> element id, heading used when the id is missing
@@ -35,7 +39,7 @@ PAGE_TYPE = (
     "name string, about string, ratios map<string,string>, "
     + ", ".join(f"{t} {_TABLE}" for t in PAGE_TABLES)
     + ", peers struct<columns:array<string>,rows:array<array<string>>>, pros array<string>, cons array<string>, "
-    "links array<struct<category:string,doc_type:string,pos:int,group_label:string,label:string,href:string>>"
+    "links array<struct<category:string,doc_type:string,pos:int,group_label:string,label:string,href:string>>, markup_error string"
 )
 #: Pages turned into Python objects at a time.
 PAGES_AT_ONCE = 64
@@ -43,25 +47,29 @@ _VOID = {"br", "img", "hr", "input", "meta", "link", "col", "source", "wbr"}
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 
 
+#: Elements whose end tag may be left out.
+_OPTIONAL_END = {"li", "tr", "td", "th", "p", "tbody", "thead", "body", "html", "option", "dd", "dt"}
+
+
 class _Node:
-    def __init__(self, tag: str, attrs: dict, parent: _Node | None):
-        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
+    """An element. Elements are numbered in document order, so those below one have numbers in a row up to `last`."""
+
+    def __init__(self, tree: _Tree, tag: str, attrs: dict, parent: _Node | None):
+        self.tree, self.tag, self.attrs, self.parent, self.parts = tree, tag, attrs, parent, []
+        self.at = self.last = len(tree.nodes)
+        self.classes = attrs.get("class", "").split()
 
-    def walk(self) -> Iterator[_Node]:
+    def walk(self) -> list[_Node]:
         """All nodes below, in document order. Pages may nest as deep as they like."""
-        waiting = [p for p in reversed(self.parts) if isinstance(p, _Node)]
-        while waiting:
-            node = waiting.pop()
-            yield node
-            waiting += [p for p in reversed(node.parts) if isinstance(p, _Node)]
+        return self.tree.nodes[self.at + 1 : self.last + 1]
 
     def all(self, tag: str | None = None, cls: str | None = None, id: str | None = None) -> list[_Node]:
-        return [
-            n for n in self.walk()
-            if (tag is None or n.tag == tag)
-            and (cls is None or cls in n.attrs.get("class", "").split())
-            and (id is None or n.attrs.get("id") == id)
-        ]
+        """The nodes below with a tag, a class or an id, read from the page's index of these."""
+        kind, key = ("id", id) if id is not None else ("class", cls) if cls is not None else ("tag", tag)
+        listed = self.tree.index.get((kind, key), [])
+        below = listed[bisect_right(listed, self.at) : bisect_right(listed, self.last)]
+        found = (self.tree.nodes[i] for i in below)
+        return [n for n in found if (tag is None or n.tag == tag) and (cls is None or cls in n.classes)]
 
     def raw(self) -> str:
         out: list[str] = []
@@ -75,7 +83,7 @@ class _Node:
         return "".join(out)
 
     def text(self) -> str:
-        return re.sub(r"\s+", " ", self.raw()).strip()
+        return " ".join(self.raw().split())
 
     def up(self, *tags: str) -> _Node | None:
         node = self.parent
@@ -85,54 +93,99 @@ class _Node:
 
 
 class _Tree(HTMLParser):
+    """The nodes of a page, and for every tag, class and id the numbers of its nodes."""
+
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("root", {}, None)
+        self.nodes: list[_Node] = []
+        self.stray = self.open_ends = 0
+        self.root = self.at = self._add("root", {}, None)
         self.feed(html)
         self.close()
+        while self.at.parent is not None:
+            self.open_ends += self.at.tag not in _OPTIONAL_END
+            self.at = self.at.parent
+        self.index: dict[tuple[str, str], list[int]] = {}
+        for node in self.nodes[1:]:
+            keys = {("tag", node.tag), *(("class", c) for c in node.classes)}
+            if "id" in node.attrs:
+                keys.add(("id", node.attrs["id"]))
+            for key in keys:
+                self.index.setdefault(key, []).append(node.at)
+        for node in reversed(self.nodes[1:]):
+            node.parent.last = max(node.parent.last, node.last)
+
+    def _add(self, tag: str, attrs: dict, parent: _Node | None) -> _Node:
+        node = _Node(self, tag, attrs, parent)
+        self.nodes.append(node)
+        return node
 
     def handle_starttag(self, tag, attrs):
         while self.at.tag in _CLOSES.get(tag, ()) and self.at.parent is not None:
             self.at = self.at.parent
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node = self._add(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.parts.append(node)
         if tag not in _VOID:
             self.at = node
 
     def handle_endtag(self, tag):
-        node = self.at
+        node, passed = self.at, 0
         while node is not None and node.tag != tag:
+            passed += node.tag not in _OPTIONAL_END
             node = node.parent
-        if node is not None and node.parent is not None:
+        if node is None or node.parent is None:
+            self.stray += 1
+        else:
             self.at = node.parent
+            self.open_ends += passed
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.at = self.at.parent
 
     def handle_data(self, data):
         if self.at.tag not in ("script", "style"):
             self.at.parts.append(data)
 
+    @cached_property
+    def headings(self) -> list[_Node]:
+        return sorted((h for tag in ("h1", "h2", "h3") for h in self.root.all(tag)), key=lambda h: h.at)
+
+    @property
+    def error(self) -> str | None:
+        return f"{self.stray} end tags without a start, {self.open_ends} elements without an end" if self.stray or self.open_ends else None
+
 
 def _region(root: _Node, element_id: str, headings: list[str]) -> _Node | None:
-    for node in root.all(id=element_id):
+    for node in root.all(id=element_id) if element_id else []:
         return node
     for wanted in headings:
-        for h in root.walk():
-            if h.tag in ("h1", "h2", "h3") and h.text().lower() == wanted:
+        for h in root.tree.headings:
+            if h.text().lower() == wanted:
                 return h.up("section", "div")
     return None
 
 
-def _cells(tr: _Node) -> list[str]:
-    return [n.text() for n in tr.all("td")]
+def _own(table: _Node, nodes: list[_Node]) -> list[_Node]:
+    """Those nodes that are not part of a table inside the table."""
+    inner = table.all("table")
+    return [n for n in nodes if not any(t.at < n.at <= t.last for t in inner)] if inner else nodes
+
+
+def _cells(table: _Node, tr: _Node) -> list[str]:
+    return [n.text() for n in _own(table, tr.all("td"))]
 
 
 def _period_table(region: _Node | None) -> dict | None:
     tables = region.all("table", cls="data-table") if region else []
     if not tables:
         return None
-    heads = [n for part in tables[0].all("thead") for n in part.all("th")]
+    table = tables[0]
+    heads = [n for part in _own(table, table.all("thead")) for n in _own(table, part.all("th"))]
     rows = []
-    for tr in (n for part in tables[0].all("tbody") for n in part.all("tr")):
-        cells = _cells(tr)
+    for tr in (n for part in _own(table, table.all("tbody")) for n in _own(table, part.all("tr"))):
+        cells = _cells(table, tr)
         label = re.sub(r"\s*\+\s*$", "", cells[0]) if len(cells) > 1 else ""
         if label:
             rows.append({"label": label, "values": [c or None for c in cells[1:]]})
@@ -152,7 +205,8 @@ def _links(root: _Node) -> list[dict]:
 
 
 def _read_page(html: str) -> dict:
-    root = _Tree(html or "").root
+    tree = _Tree(html or "")
+    root = tree.root
     regions = {f: _region(root, i, h) for f, (i, h) in PAGE_TABLES.items()}
     quarterly = regions["shareholding"].all(id="quarterly-shp") if regions["shareholding"] else []
     if quarterly:
@@ -164,20 +218,25 @@ def _read_page(html: str) -> dict:
             ratios[first("name")] = first("value") or first("number")
     peers, region = None, _region(root, "peers", ["peers", "peer comparison"])
     for table in (region.all("table") if region else [])[:1]:
-        rows = [c for c in map(_cells, table.all("tr")) if any(c)]
-        peers = {"columns": [n.text() for n in table.all("th")], "rows": rows}
+        rows = [c for tr in _own(table, table.all("tr")) if any(c := _cells(table, tr))]
+        peers = {"columns": [n.text() for n in _own(table, table.all("th"))], "rows": rows}
     bullets = lambda cls: [t for d in root.all(cls=cls) for li in d.all("li") if (t := li.text())]
-    about = [n for d in root.all(cls="company-profile") for n in d.walk() if n.tag == "p" or "about" in n.attrs.get("class", "").split()]
+    about = [n for d in root.all(cls="company-profile") for n in d.walk() if n.tag == "p" or "about" in n.classes]
     return {
         "name": next((n.text() for n in root.all("h1")), None) or None,
         "about": (about[0].text() or None) if about else None,
         "ratios": ratios, **{f: _period_table(r) for f, r in regions.items()},
-        "peers": peers, "pros": bullets("pros"), "cons": bullets("cons"), "links": _links(root),
+        "peers": peers, "pros": bullets("pros"), "cons": bullets("cons"), "links": _links(root), "markup_error": tree.error,
     }
 
 
 def structure_pages(pages: DataFrame, keep: tuple[str, ...] = ("company_id", "url")) -> DataFrame:
-    """Every page as one nested record. Pages are independent, so each partition reads its own."""
+    """Every page as one nested record. Pages are independent, so each partition reads its own.
+
+    Broken pages are read as far as they go; `markup_error` counts end tags without a start and elements without
+    an end, and is null for sound pages. A null or empty page gives a record without parts. Rows of a table inside
+    a cell are not rows of the outer table, their text belongs to the cell.
+    """
     kept = pages.select(*keep, "html")
     schema = StructType(kept.select(*keep).schema.fields + StructType.fromDDL(PAGE_TYPE).fields)
     arrow = to_arrow_schema(schema)
@@ -194,6 +253,21 @@ def structure_pages(pages: DataFrame, keep: tuple[str, ...] = ("company_id", "ur
     return kept.mapInArrow(read, schema)
 
 
+def outline(pages: DataFrame) -> DataFrame:
+    """Title, headings, paragraphs of the article and links of raw pages, in column expressions (`sources.markup`)."""
+    read = M.with_elements(pages.select("page_id", "html")).drop("html")
+    elements = F.col("elements")
+    of_part = lambda part, tag: F.size(F.filter(
+        elements, lambda e: (e["tag"] == tag) & F.exists(M.of_tag(elements, part), lambda p: M.holds(p, e))
+    ))
+    title = let(M.first(M.of_tag(elements, "h1")), lambda h: F.when(h.isNotNull(), M.text_of(F.col("tokens"), h)))
+    return read.select(
+        "page_id", title.alias("title"), F.size(M.of_tag(elements, "h1", "h2", "h3")).alias("headings"),
+        of_part("article", "p").alias("paragraphs"), F.size(M.of_tag(elements, "a")).alias("links"),
+        of_part("nav", "a").alias("nav_links"), "markup_error",
+    )
+
+
 def looks_like_company_page(html: Column) -> Column:
     return html.rlike(fixed.COMPANY_PAGE)
 
