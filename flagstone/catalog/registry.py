@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from flagstone.sources.bindings import Tables
 
-MODULES = ["finance", "findings", "state", "reading", "retrieval", "research", "scalars", "pages", "streams", "assessment", "evidence"]
+MODULES = ["finance", "findings", "state", "reading", "retrieval", "research", "scalars", "pages", "streams", "assessment", "evidence", "judging"]
 
 
 @dataclass(frozen=True)
