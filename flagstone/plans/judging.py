@@ -72,9 +72,9 @@ def ask(
     """The log rows of a pass over questions (call_id bigint, unique and not null; provider; ts; what the judge reads).
 
     `earlier` is the log of passes before: an answered question is not asked again, and every call made that day counts
-    against the cap of its provider (a null provider has a cap like any other). Who is admitted is settled in the first stage. The admitted questions are
-    then asked in rounds, each a stage of its own, so a pass that is started again asks only the rounds that are not
-    whole; inside a round a lost task asks its own questions again. Deferred questions are logged without a call.
+    against the cap of its provider (a null provider has a cap like any other). Who is admitted is
+    settled in the first stage, and the second joins the texts to them once. They are then asked in rounds, each a stage
+    of its own, so a pass that is started again asks only the rounds that are not whole; inside a round a lost task asks its own questions again. Deferred questions are logged without a call.
     A table without questions gives no rows.
     """
     spark = questions.sparkSession
@@ -90,9 +90,11 @@ def ask(
         return placed.select("call_id", "provider", "ts", "admission")
 
     admitted = stages.table("admission", admission)
-    served = questions.drop("provider", "ts").join(admitted.filter("admission = 'SERVED'").drop("admission"), "call_id")
-    turn = F.pmod(F.xxhash64("call_id"), F.lit(rounds))
-    parts = [stages.table(f"answers-{n}", lambda n=n: _asked(served.filter(turn == n), judge)) for n in range(rounds)]
+    turn = F.pmod(F.xxhash64("call_id"), F.lit(rounds)).alias("_turn")
+    allowed = admitted.filter("admission = 'SERVED'").select("call_id", "provider", "ts", turn)
+    served = stages.table("served", lambda: questions.drop("provider", "ts").join(allowed, "call_id"))
+    of_round = lambda n: served.filter(F.col("_turn") == n).drop("_turn")
+    parts = [stages.table(f"answers-{n}", lambda n=n: _asked(of_round(n), judge)) for n in range(rounds)]
     nothing = F.lit(None).cast("string")
     waiting = admitted.filter("admission = 'DEFERRED'").select(
         "call_id", "provider", "ts", F.lit("DEFERRED").alias("state"), nothing.alias("flag"), nothing.alias("reason"),
