@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flagstone import fixed
+from flagstone.functions.once import let, terms
 from flagstone.functions.text import trim_all
 
 _PLAIN_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -21,10 +22,15 @@ def parse_number(text: Column) -> Column:
     return F.when(F.abs(number) < F.lit(_INFINITY), number)
 
 
+def first_match(text: Column, pattern: str, group: int) -> Column:
+    """A group of the first match; null without one, as the cast of an empty text to a number throws and catches an
+    error inside Spark for every row, which costs more than ten patterns."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def first_number(text: Column) -> Column:
     """The first number written in a text, thousands commas ignored."""
-    hit = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), fixed.FIRST_NUMBER, 0)
-    return hit.try_cast("double")
+    return first_match(F.replace(text, F.lit(","), F.lit("")), fixed.FIRST_NUMBER, 0).try_cast("double")
 
 
 def round_half_up(value: Column, places: int = 0) -> Column:
@@ -88,20 +94,22 @@ def max_amount_crore(text: Column) -> Column:
 
 def parse_ratio(text: Column) -> Column:
     """Share between 0 and 1 from "a of b", "a/b" or "p%"."""
-    part = F.regexp_extract(text, fixed.COUNT_OF_TOTAL, 1).try_cast("double")
-    total = F.regexp_extract(text, fixed.COUNT_OF_TOTAL, 2).try_cast("double")
-    percent = F.regexp_extract(text, fixed.PERCENT_VALUE, 1).try_cast("double")
-    return F.coalesce(
-        F.when((total > 0) & (part <= total), part / total),
-        F.when((percent >= 0) & (percent <= 100), percent / 100),
+    pair = lambda hit: terms(**{n: first_match(hit, fixed.COUNT_OF_TOTAL, g).try_cast("double") for n, g in [("part", 1), ("total", 2)]})
+    share = let(
+        let(first_match(text, fixed.COUNT_OF_TOTAL, 0), pair),
+        lambda x: F.when((x["total"] > 0) & (x["part"] <= x["total"]), x["part"] / x["total"]),
+    )
+    percent = let(
+        first_match(text, fixed.PERCENT_VALUE, 1).try_cast("double"), lambda p: F.when((p >= 0) & (p <= 100), p / 100)
     )
+    return F.coalesce(share, percent)
 
 
 def parse_meetings(text: Column) -> Column:
     """How often a committee met."""
     return F.coalesce(
-        F.regexp_extract(text, fixed.MET_TIMES, 1).try_cast("int"),
-        F.regexp_extract(text, fixed.N_MEETINGS, 1).try_cast("int"),
+        first_match(text, fixed.MET_TIMES, 1).try_cast("int"),
+        first_match(text, fixed.N_MEETINGS, 1).try_cast("int"),
     )
 
 
@@ -127,7 +135,7 @@ def parse_band(text: Column) -> Column:
     )
 
     def bound(row: Column) -> Column:
-        first, second = row["low"].try_cast("double"), row["high"].try_cast("double")
+        first, second = row["low"].try_cast("double"), F.when(row["high"] != "", row["high"]).try_cast("double")
         upper = row["ops"].startswith("<")
         value = (
             F.when(second.isNull(), first)

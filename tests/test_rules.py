@@ -121,3 +121,17 @@ def test_urls(spark):
 
 def test_indian_grouping(spark):
     assert values(spark, [(226.4,), (7508.0,), (123456.0,), (12345678.0,)], "n double", N.format_crore(F.col("n"))) == ["₹226cr", "₹7,508cr", "₹1,23,456cr", "₹1,23,45,678cr"]
+
+
+def test_no_match_is_null_before_any_cast(spark):
+    """An empty text never reaches a cast to a number: each such cast throws and catches an error inside Spark."""
+    df = spark.createDataFrame([("none",), ("3 of 4, 80%, met 5 times",), ("5 of 3, 70%",), ("4 meetings",), ("0/2",), (None,)], "t string").coalesce(1)
+    c = F.col("t")
+    assert [r[0] for r in df.select(N.first_match(c, r"(\d+) of", 1)).collect()] == [None, "3", "5", None, None, None]
+    assert [r[0] for r in df.select(N.parse_ratio(c)).collect()] == [None, 0.75, 0.7, None, 0.0, None]
+    assert [r[0] for r in df.select(N.parse_meetings(c)).collect()] == [None, 5, None, 4, None, None]
+    for made in (N.first_number(c), N.parse_ratio(c), N.parse_meetings(c)):
+        plan = df.select(made)._jdf.queryExecution().optimizedPlan().toString()
+        assert "try_cast(regexp_extract(" not in plan and "regexp_extract_all" in plan
+    bounds = df.limit(1).select(N.parse_band(F.lit(">0.3, <2-1, <=5"))).first()[0]
+    assert [tuple(b) for b in bounds] == [(">", 0.3), ("<=", 2.0), ("<=", 5.0)]
