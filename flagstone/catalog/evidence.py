@@ -17,6 +17,8 @@ from flagstone.operators.state import grid
 from flagstone.plans import assess
 from flagstone.plans import evidence as EV
 from flagstone.plans.evidence import Route
+from flagstone.plans.stages import Stages
+from flagstone.session import scratch_dir
 from flagstone.sources.bindings import WRITE_ORDER, Tables
 
 _R1, _R2, _R3, _R4 = RV.SEARCHES
@@ -74,9 +76,12 @@ def readings(t: Tables) -> DataFrame:
     )
 
 
+def candidates(t: Tables) -> DataFrame:
+    return A.runs(t).join(t.companies().select("company_id", "ticker"), "company_id").select("run_id", "company_id", "ticker")
+
+
 def chosen(t: Tables) -> DataFrame:
-    runs = A.runs(t).join(t.companies().select("company_id", "ticker"), "company_id").select("run_id", "company_id", "ticker")
-    return EV.choose_places(runs, ROUTES, passages(t), hits(t))
+    return EV.choose_places(candidates(t), ROUTES, passages(t), hits(t))
 
 
 def assessed(t: Tables, stored: DataFrame | None = None) -> DataFrame:
@@ -178,7 +183,12 @@ def evidence_sources(t: Tables) -> DataFrame:
     ),
 )
 def evidence_to_read(t: Tables) -> DataFrame:
-    read = EV.to_read(chosen(t), passages(t), hits(t), readings(t))
+    # places and texts come from the same passages, which are worked out once
+    stages = Stages(t.spark, scratch_dir(t.spark, "evidence"))
+    inside, outside, places = EV.gather(
+        candidates(t), A.CHECKLIST, documents(t), t.raw("pages").selectExpr(*_HIT), stages, ROUTES
+    )
+    read = EV.to_read(places, inside, outside, readings(t))
     return read.withColumn("digest", F.sha2("passage", 256)).drop("passage")
 
 
