@@ -123,6 +123,33 @@ def items_with_results(
     return out
 
 
+def runs_with_items(
+    runs: DataFrame, checklist: Checklist, results: DataFrame,
+    columns: Sequence[str] = ("status", "flag"),
+    item_columns: Sequence[str] = ("section_code", "non_negotiable"),
+) -> DataFrame:
+    """One row per run_id with `items`, the rows of `items_with_results` as an array of structs.
+
+    Nothing unfolds, so what is worked out for whole runs needs no gathering afterwards. Runs of one id, of which the
+    narrow columns alone are gathered, have their items in one array.
+    """
+    others = [c for c in runs.columns if c != "run_id"]
+    own = F.struct(*others) if others else F.struct(F.lit(None).alias("_none"))
+    grouped = runs.groupBy("run_id").agg(F.collect_list(own).alias("_runs"))
+    joined = grouped.join(results_by_run(results, checklist, columns), "run_id", "left")
+
+    def cell(run: Column, item: Column) -> Column:
+        found = F.try_element_at(F.col("_by_item"), item["item_id"])
+        value = lambda c: F.coalesce(found[c], F.lit("PENDING")) if c == "status" else found[c]
+        return F.struct(
+            *[run[c].alias(c) for c in others], *[item[c].alias(c) for c in ("item_id", *item_columns)],
+            *[value(c).alias(c) for c in columns],
+        )
+
+    items = F.flatten(F.transform("_runs", lambda run: F.transform(checklist.literal(item_columns), lambda item: cell(run, item))))
+    return joined.select("run_id", items.alias("items"))
+
+
 # --- writes ---------------------------------------------------------------------------------------------
 def current_state(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last write of each key and how often it was written."""
