@@ -103,6 +103,8 @@ class Vocabulary:
         self.roots = np.full(self.n_chars + 1, -1, np.int64)  # the last is for characters the vocabulary lacks
         first = self.keys < self.n_chars
         self.roots[self.keys[first]] = self.children[first]
+        self.inner = np.zeros(fresh, bool)
+        self.inner[self.keys // self.n_chars] = True
         self.piece_at = np.full(fresh, -1, np.int64)
         self.piece_at[[*found]] = [*found.values()]
         self.lengths = np.array([len(t) for t in texts], np.int64)
@@ -139,12 +141,43 @@ class Lattices(WordTable):
         self.base, self.last = Growing(np.int64), Growing(np.int64)
         self.first, self.degree = Growing(np.int32), Growing(np.uint8)
         self.length, self.piece, self.logp, self.upto = Growing(np.uint8), Growing(np.int32), Growing(np.float32), Growing(np.float32)
+        self.met = Growing(np.uint16)
 
     def index(self, words: list[bytes]) -> np.ndarray:
         if self.length.size > EDGES:
-            self.slot.clear()
-            self.reset()
-        return super().index(words)
+            self.forget()
+        slots = super().index(words)
+        self.met.extend(np.zeros(self.base.size - self.met.size, np.uint16))
+        again = np.zeros(self.base.size, bool)
+        again[slots] = True
+        met = self.met.data[: self.met.size]
+        met += again & (met < 0xFFFF)
+        return slots
+
+    def forget(self) -> None:
+        """Keep the words met in most runs of text, half as many and with half as many edges as may be kept, and halve their counts."""
+        met = self.met.data[: self.met.size]
+        ranked = np.argsort(-met.astype(np.int32), kind="stable")[: self.limit // 2]
+        ranked = ranked[met[ranked] > 1]
+        begin, end = self.first.data[self.base.data[ranked]], self.first.data[self.last.data[ranked]]
+        stay = np.sort(ranked[np.cumsum(end.astype(np.int64) - begin) <= EDGES // 2])
+        words = list(self.slot)
+        base, nodes = self.base.data[stay], self.last.data[stay] - self.base.data[stay] + 1
+        begin = self.first.data[base].astype(np.int64)
+        spans = self.first.data[self.last.data[stay]] - begin
+        first, degree = gather_runs(self.first.data, base, nodes), gather_runs(self.degree.data, base, nodes)
+        stores = [gather_runs(x.data, begin, spans) for x in (self.length, self.piece, self.logp, self.upto)]
+        counts = met[stay] // 2
+        self.reset()
+        self.slot = {words[i]: j for j, i in enumerate(stay.tolist())}
+        at = ragged_starts(nodes)[:-1]
+        self.base.extend(at)
+        self.last.extend(at + nodes - 1)
+        self.first.extend(first - np.repeat(begin - ragged_starts(spans)[:-1], nodes))
+        self.degree.extend(degree)
+        self.met.extend(counts)
+        for store, values in zip((self.length, self.piece, self.logp, self.upto), stores, strict=True):
+            store.extend(values)
 
     def add(self, words: list[bytes]) -> None:
         s, total = 0, 0
@@ -164,14 +197,17 @@ class Lattices(WordTable):
         end = np.repeat(np.cumsum(sizes), sizes)
         at, node, depth = np.arange(len(points)), v.roots[codes], 1
         edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        degree = np.zeros(len(points), np.int64)
         while len(at):
-            on = node >= 0
+            on = np.flatnonzero(node >= 0)
             at, node = at[on], node[on]
             pieces = v.piece_at[node]
             found = np.flatnonzero(pieces >= 0)
-            edges.append((at[found], np.full(len(found), depth), pieces[found]))
+            own = at[found]
+            edges.append((own, np.full(len(found), depth), pieces[found], degree[own]))
+            degree[own] += 1  # a place has one piece of each length at most
             far = at + depth
-            inside = far < end[at]
+            inside = np.flatnonzero((far < end[at]) & v.inner[node])
             at, node, code = at[inside], node[inside], codes[far[inside]]
             keys = np.where(code >= 0, node * v.n_chars + code, -1)
             hit = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
@@ -180,14 +216,21 @@ class Lattices(WordTable):
         single = np.zeros(len(points), bool)
         single[edges[0][0]] = True
         bare = np.flatnonzero(~single)
-        edges.append((bare, np.ones(len(bare), np.int64), -1 - points[bare]))
-        start, length, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
+        edges.append((bare, np.ones(len(bare), np.int64), -1 - points[bare], degree[bare]))
+        degree[bare] += 1
+        start, length, piece, nth = (np.concatenate(x) for x in zip(*edges, strict=True))
         # node numbers: a word of n characters has n + 1, the last without edges
         nodes = len(points) + len(words)
+        # edges by distance to the word's end and place, those of a place together: each has its row by counting
+        left = end - np.arange(len(points))
+        ranked = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 0x10000 else left, kind="stable")
+        row = np.empty(len(points), np.int64)
+        row[ranked] = ragged_starts(degree[ranked])[:-1]
+        order = np.empty(len(start), np.int64)
+        order[row[start] + nth] = np.arange(len(start))
+        start, length, piece = start[order], length[order], piece[order]
+        point, distance = points[start], left[start]
         node_of = start + np.repeat(np.arange(len(words)), sizes)[start]
-        distance = end[start] - start
-        order = np.argsort(distance * nodes + node_of)
-        point, length, piece, node_of, distance = points[start[order]], length[order], piece[order], node_of[order], distance[order]
         width = 1 + (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
         weight = np.where(piece >= 0, v.weights[np.maximum(piece, 0)], width * v.weights[v.bytes_at[0]])
         # from the words' ends backwards: nodes at the same distance at once, the edges of a node together

@@ -43,7 +43,7 @@ def split_texts(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
 class WordTable:
     """Numbers for the words a worker has met; ``add`` works out what new ones stand for.
 
-    Beyond ``limit`` words everything is forgotten and met again, so memory stays bounded.
+    Beyond ``limit`` words ``forget`` makes room, so memory stays bounded.
     """
 
     def __init__(self, limit: int = 800_000) -> None:
@@ -53,6 +53,11 @@ class WordTable:
     def reset(self) -> None:
         """Forget what ``add`` has stored."""
 
+    def forget(self) -> None:
+        """Make room: everything is forgotten and met again."""
+        self.slot.clear()
+        self.reset()
+
     def add(self, words: list[bytes]) -> None:
         """Store results for new words, numbered on from those stored."""
 
@@ -60,9 +65,8 @@ class WordTable:
         new = set(words).difference(self.slot)
         if new:
             if len(self.slot) + len(new) > self.limit and self.slot:
-                self.slot.clear()
-                self.reset()
-                new = set(words)
+                self.forget()
+                new = set(words).difference(self.slot)
             fresh = list(new)
             base = len(self.slot)
             self.add(fresh)
