@@ -38,9 +38,9 @@ from flagstone.llm.words import Growing, WordTable, chunks, gather_runs
 MARK = "▁"
 FLATTEN = 10.0
 OPEN = 40
-WORDS_AT_ONCE, BYTES_AT_ONCE, TEXT_AT_ONCE = 10_000, 100_000, 500_000
-#: Edges a worker keeps between runs of text; a mark in a long run of them has up to sixteen.
-EDGES = 12_000_000
+WORDS_AT_ONCE, BYTES_AT_ONCE, TEXT_AT_ONCE = 5_000, 50_000, 500_000
+#: Edges a worker keeps between runs of text, of 13 bytes each; a mark in a long run of them has up to sixteen.
+EDGES = 6_000_000
 _SAMPLE, _WORD, _PIECE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -99,12 +99,13 @@ class Vocabulary:
         self.weights, self.n_chars = weights, len(self.chars) + 1
         keys = np.array([n * self.n_chars + c for n, c in trie], np.int64)
         order = np.argsort(keys)
-        self.keys, self.children = keys[order], np.array([*trie.values()], np.int64)[order]
+        keys, children = keys[order], np.array([*trie.values()], np.int64)[order]
         self.roots = np.full(self.n_chars + 1, -1, np.int64)  # the last is for characters the vocabulary lacks
-        first = self.keys < self.n_chars
-        self.roots[self.keys[first]] = self.children[first]
+        first = keys < self.n_chars
+        self.roots[keys[first]] = children[first]
         self.inner = np.zeros(fresh, bool)
-        self.inner[self.keys // self.n_chars] = True
+        self.inner[keys // self.n_chars] = True
+        self._spread(keys, children)
         self.piece_at = np.full(fresh, -1, np.int64)
         self.piece_at[[*found]] = [*found.values()]
         self.lengths = np.array([len(t) for t in texts], np.int64)
@@ -113,6 +114,35 @@ class Vocabulary:
         for c, i in self.chars.items():
             self.code[ord(c)] = i
 
+    def _spread(self, keys: np.ndarray, children: np.ndarray) -> None:
+        """Lay the trie's edges out by a hash, each in the next free place; -1 stands in empty ones."""
+        bits = max(len(keys), 1).bit_length() + 1
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.children = np.full(1 << bits, -1), np.full(1 << bits, -1)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            laid = self.keys[at] == keys
+            self.children[at[laid]] = children[laid]
+            keys, children, at = keys[~laid], children[~laid], (at[~laid] + 1) & self.last
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _WORD >> self.shift).astype(np.int64)
+
+    def child(self, keys: np.ndarray) -> np.ndarray:
+        """The node that each edge of the trie leads to, -1 where there is none."""
+        at = self._place(keys)
+        met = self.keys[at]
+        out = np.where(met == keys, self.children[at], -1)
+        on = np.flatnonzero((met != keys) & (met >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & self.last
+            met, own = self.keys[at[on]], keys[on]
+            out[on] = np.where(met == own, self.children[at[on]], -1)
+            on = on[(met != own) & (met >= 0)]
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of some ids, the first blank being the one that every text is given."""
         return gather_runs(self.data, self.starts[ids], self.lengths[ids]).tobytes()
@@ -132,16 +162,16 @@ def words_of_text(text: bytes) -> list[bytes]:
 class Lattices(WordTable):
     """The lattice of each word: nodes between characters, edges for pieces, likeliest first at each node."""
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000) -> None:
         super().__init__(limit)
         self.vocabulary = vocabulary(path)
         self.reset()
 
     def reset(self) -> None:
-        self.base, self.last = Growing(np.int64), Growing(np.int64)
-        self.first, self.degree = Growing(np.int32), Growing(np.uint8)
-        self.length, self.piece, self.logp, self.upto = Growing(np.uint8), Growing(np.int32), Growing(np.float32), Growing(np.float32)
-        self.met = Growing(np.uint16)
+        self.base, self.last = Growing(np.int64, self.limit), Growing(np.int64, self.limit)
+        self.first, self.degree = Growing(np.int32, EDGES), Growing(np.uint8, EDGES)
+        self.length, self.piece, self.logp, self.upto = (Growing(t, EDGES) for t in (np.uint8, np.int32, np.float32, np.float32))
+        self.met = Growing(np.uint16, self.limit)
 
     def index(self, words: list[bytes]) -> np.ndarray:
         if self.length.size > EDGES:
@@ -162,21 +192,19 @@ class Lattices(WordTable):
         begin, end = self.first.data[self.base.data[ranked]], self.first.data[self.last.data[ranked]]
         stay = np.sort(ranked[np.cumsum(end.astype(np.int64) - begin) <= EDGES // 2])
         words = list(self.slot)
+        self.slot = {words[i]: j for j, i in enumerate(stay.tolist())}
         base, nodes = self.base.data[stay], self.last.data[stay] - self.base.data[stay] + 1
         begin = self.first.data[base].astype(np.int64)
         spans = self.first.data[self.last.data[stay]] - begin
-        first, degree = gather_runs(self.first.data, base, nodes), gather_runs(self.degree.data, base, nodes)
-        stores = [gather_runs(x.data, begin, spans) for x in (self.length, self.piece, self.logp, self.upto)]
         counts = met[stay] // 2
-        self.reset()
-        self.slot = {words[i]: j for j, i in enumerate(stay.tolist())}
+        for store in (self.length, self.piece, self.logp, self.upto):
+            store.keep(begin, spans)
+        for store in (self.first, self.degree):
+            store.keep(base, nodes)
+        self.first.data[: self.first.size] -= np.repeat((begin - ragged_starts(spans)[:-1]).astype(np.int32), nodes)
         at = ragged_starts(nodes)[:-1]
-        self.base.extend(at)
-        self.last.extend(at + nodes - 1)
-        self.first.extend(first - np.repeat(begin - ragged_starts(spans)[:-1], nodes))
-        self.degree.extend(degree)
-        self.met.extend(counts)
-        for store, values in zip((self.length, self.piece, self.logp, self.upto), stores, strict=True):
+        for store, values in ((self.base, at), (self.last, at + nodes - 1), (self.met, counts)):
+            store.size = 0
             store.extend(values)
 
     def add(self, words: list[bytes]) -> None:
@@ -209,9 +237,7 @@ class Lattices(WordTable):
             far = at + depth
             inside = np.flatnonzero((far < end[at]) & v.inner[node])
             at, node, code = at[inside], node[inside], codes[far[inside]]
-            keys = np.where(code >= 0, node * v.n_chars + code, -1)
-            hit = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
-            node = np.where(v.keys[hit] == keys, v.children[hit], -1)
+            node = v.child(np.where(code >= 0, node * v.n_chars + code, -1))
             depth += 1
         single = np.zeros(len(points), bool)
         single[edges[0][0]] = True

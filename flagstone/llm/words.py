@@ -13,6 +13,8 @@ from flagstone.llm.hashing import hash_spans
 
 #: Text handled at once inside a task; a longer single text is handled alone.
 CHUNK_BYTES = 4_000_000
+#: Values that ``Growing.keep`` moves at once; a longer single run is moved alone.
+KEPT_AT_ONCE = 200_000
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -183,10 +185,10 @@ class SpanTable:
 
 
 class Growing:
-    """A numpy array that is appended to."""
+    """A numpy array that is appended to. Up to ``reserve`` values nothing is copied to make room; what is reserved takes no memory before it is filled."""
 
-    def __init__(self, dtype: type) -> None:
-        self.data, self.size = np.empty(1024, dtype), 0
+    def __init__(self, dtype: type, reserve: int = 1024) -> None:
+        self.data, self.size, self.reserve = np.empty(reserve, dtype), 0, reserve
 
     def extend(self, values: np.ndarray) -> None:
         need = self.size + len(values)
@@ -195,6 +197,17 @@ class Growing:
         self.data[self.size : need] = values
         self.size = need
 
+    def keep(self, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep only the runs ``data[start : start + length]``, given in ascending order, and move them up in place, some at a time."""
+        ends = ragged_starts(lengths)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], KEPT_AT_ONCE)), len(lengths))).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            self.data[ends[a] : ends[b]] = gather_runs(self.data, starts[a:b], lengths[a:b])
+        self.size = int(ends[-1])
+        if len(self.data) > self.reserve >= self.size:
+            own, self.data = self.data, np.empty(self.reserve, self.data.dtype)
+            self.data[: self.size] = own[: self.size]
+
 
 def gather_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs ``data[start : start + length]`` laid one after the other."""
