@@ -35,6 +35,8 @@ from flagstone.llm.words import chunks
 
 WIDTH = 13
 BLOCK_BYTES = 4_000_000
+#: Marks rows whose text is null, beside the table's own columns.
+NO_TEXT = "__no_text"
 CELL_BITS = 24
 CELLS = 1 << CELL_BITS
 LAST_ID = (1 << 63) - 1
@@ -217,7 +219,7 @@ def _joined(table: pa.Table, column: str, dtype: type) -> np.ndarray:
 
 
 def _cut(with_text: bool):
-    """A block's rows with their counts, the hash of the words left, and the text left (null if nothing went)."""
+    """A block's rows with their counts, the hash of the words left, and the text left."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.column("text").combine_chunks()
@@ -245,9 +247,9 @@ def _cut(with_text: bool):
                 words = list(compress(words, ~removed[a:b]))
             sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
             if with_text:
-                kept.append(_without(text, w.first[a:b], removed[a:b]) if lost[i] else None)
+                kept.append(_without(text, w.first[a:b], removed[a:b]).encode() if lost[i] else text)
         out = [left.column("row"), pa.array(counts), pa.array(lost), pa.array(sums, pa.string())]
-        return pa.table([*out, pa.array(kept, pa.string())] if with_text else out, names=["row", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text])
+        return pa.table([*out, pa.array(kept, pa.binary())] if with_text else out, names=["row", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text])
 
     return run
 
@@ -261,7 +263,7 @@ def _without(text: bytes, first: np.ndarray, removed: np.ndarray) -> str:
 
 
 def deduplicated(docs: DataFrame, columns: list[str], with_text: bool = False) -> DataFrame:
-    """``row`` (the given columns), ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, ``text``."""
+    """``row`` (the given columns), ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, ``text`` (binary; empty for null)."""
     text = text_of(F.col("text"))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -288,7 +290,7 @@ def deduplicated(docs: DataFrame, columns: list[str], with_text: bool = False) -
     candidates = per_block(repeated, _candidates(shards), "shard int, block int, h binary, g binary, d binary, more binary")
     found = per_shard(candidates, _least_documents, "block int, all binary, some binary, limits binary")
     fields = own.schema["row"].dataType.simpleString()
-    return per_block(found, _cut(with_text), f"row {fields}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return per_block(found, _cut(with_text), f"row {fields}, n_words long, n_removed long, kept_sha256 string" + ", text binary" * with_text)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -299,7 +301,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the repeated words cut out of ``text`` (and ``n_chars`` counted again)."""
-    out = deduplicated(docs, docs.columns, with_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("row.text"))
+    # the text goes through the blocks once, by itself and not in its row; a null is told by a mark
+    others = [c for c in docs.columns if c != "text"]
+    out = deduplicated(docs.withColumn(NO_TEXT, F.when(F.col("text").isNull(), True)), [*others, NO_TEXT], with_text=True)
+    text = F.when(F.col(f"row.`{NO_TEXT}`").isNull(), F.col("text").cast("string"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

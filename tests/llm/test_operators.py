@@ -479,6 +479,15 @@ def test_cut_text_keeps_its_layout(spark, edges):
     assert all(r.n_chars == len(r.text) for r in out.collect() if r.text is not None)
 
 
+def test_texts_go_through_the_blocks_once(spark, edges, monkeypatch):
+    docs, seen, whole = spark.read.parquet(f"{edges}/documents.parquet"), [], substring_dedup.deduplicated
+    monkeypatch.setattr(substring_dedup, "deduplicated", lambda df, columns, **k: seen.append(columns) or whole(df, columns, **k))
+    out = substring_dedup.without_repeats(docs)
+    assert len(seen) == 1 and "text" not in seen[0]
+    nulls = docs.filter("text is null").count()
+    assert nulls and out.filter("text is null and n_chars is null").count() == nulls and out.count() == docs.count()
+
+
 @given(st.lists(st.integers(0, substring_dedup.CELLS - 1), max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_cells_round_trip(cells):
